@@ -1,11 +1,11 @@
 """Exact deduplication by skew-safe combining.
 
-Each partition first combines its own rows of equal text, then the digest groups are
-merged within salts (a salt is a class of input partitions, so a hot text meets itself
-in many tasks), and last the salts' winners are combined globally. Every stage groups
-by the digest and the full normalised text, so rows are equal only if their contents
-are. Spark's map-side aggregation does the combining: a task passes on one row for
-each text it has seen, however often it saw it.
+A first pass gives each row its digest. Rows whose digest nobody shares are done. The
+texts of the others are combined in three stages, each of which groups by the digest
+and the full normalised text, so that rows are equal only if their contents are:
+each task combines its own rows of equal text and passes on one row for each; these
+are merged within salts (a salt is a class of input partitions, so a hot text meets
+itself in many tasks); and the salts' winners are combined globally.
 
 The rows then look up their winner by digest, a second hash and the length, in a
 shuffle join on small rows that adaptive execution can split at hot keys. Should two
@@ -13,52 +13,78 @@ different texts ever share all three, the job fails and says so.
 
 Defined results: a null text counts as empty; texts are equal when identical after
 lower-casing A-Z only; of equal ones the largest doc_id stays, and of repeated rows
-with that doc_id each is marked kept; rows with a null doc_id stay only if their group has no other;
-other columns are not read.
+with that doc_id each is marked kept; rows with a null doc_id stay only if their
+group has no other; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import durable, lower_ascii
+from setlist.llm.common import durable
 
 SALTS = 16
-
-
-def normalised(text: Column) -> Column:
-    return lower_ascii(F.coalesce(text, F.lit("")))
-
-
-def _named(rows: DataFrame) -> DataFrame:
-    """With `digest` (of the group) and `check` (which tells texts with one digest apart), from `content`."""
-    return rows.withColumns({"digest": F.sha2(F.col("content"), 256), "check": F.struct(F.xxhash64("content").alias("hash"), F.octet_length("content").alias("bytes"))})
-
-
-def text_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """digest, check, content, keep_id, group_size: one row for each distinct text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"))
-    rows = _named(rows).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+#: Digests with several rows (about 100 bytes each in memory) up to which they are broadcast.
+BROADCAST_DIGESTS = 200_000
+KEY = ["digest", "hash", "bytes"]
+
+
+def normalised(text: bytes | None) -> bytes:
+    """A text in UTF-8 with A-Z lower-cased: bytes.lower() knows ASCII only."""
+    return (text or b"").lower()
+
+
+def digests(docs: DataFrame, with_content: bool = False) -> DataFrame:
+    """doc_id, digest (SHA-256), hash (XXH64) and bytes (length) of each row's normalised text, and its content if asked for."""
+    fields = [("doc_id", pa.int64()), ("digest", pa.binary()), ("hash", pa.int64()), ("bytes", pa.int64()), ("content", pa.binary())]
+    arrow = pa.schema(fields if with_content else fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [normalised(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                columns = [
+                    part.column(0),
+                    pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
+                    pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * with_content, schema=arrow)
+
+    schema = "doc_id long, digest binary, hash long, bytes long" + ", content binary" * with_content
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def shared_groups(docs: DataFrame, own: DataFrame, salts: int = SALTS) -> DataFrame:
+    """digest, hash, bytes, keep_id, group_size for each text that several rows have; `own`: digests(docs)."""
+    shared = durable(own.groupBy("digest").count().where("count > 1").select("digest"))
+    rows = digests(docs, with_content=True).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    rows = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left_semi")
     largest, size = F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-    salted = rows.groupBy("salt", "digest", "check", "content").agg(largest, size)
-    return salted.groupBy("digest", "check", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    salted = rows.groupBy("salt", *KEY, "content").agg(largest, size)
+    groups = salted.groupBy(*KEY, "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    groups = groups.groupBy(*KEY).agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
+    sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("different texts with one SHA-256, XXH64 and length"))).otherwise(F.col("group_size"))
+    return groups.select(*KEY, "keep_id", sure.cast("long").alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row."""
-    groups = text_groups(docs, salts).groupBy("digest", "check").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
-    sure = F.when(F.col("texts") > 1, F.raise_error(F.lit("different texts with one SHA-256, XXH64 and length"))).otherwise(F.col("group_size"))
-    groups = durable(groups.select("digest", "check", "keep_id", sure.cast("long").alias("group_size")))
-    rows = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"))).drop("content")
-    return rows.join(groups, ["digest", "check"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
+    own = durable(digests(docs))
+    groups = durable(shared_groups(docs, own, salts))
+    rows = own.join(groups, KEY, "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return rows.select(
+        "doc_id",
+        keep_id.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
-
-
-def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; of repeated rows with the same doc_id and text, one."""
-    own = docs.withColumns({"_digest": F.sha2(normalised(F.col("text")), 256)})
-    kept = text_groups(docs, salts).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    stays = own.join(durable(kept), "_digest").where(F.col("doc_id").eqNullSafe(F.col("_keep")))
-    return stays.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
