@@ -13,6 +13,7 @@ all texts get `und`; repeated rows each give a row; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setlist.llm.common import durable, held_out
-from setlist.llm.lattice import SPACE, Pieces, build, load_pieces
-from setlist.llm.words import text_slices
+from setlist.llm.lattice import SPACE, Pieces, build, load_pieces, log_sums
+from setlist.llm.words import find_words, text_slices
 
 #: Labelled texts to learn from, for each language.
 TEXTS = 800
@@ -30,11 +31,31 @@ ROUNDS = 3
 #: Prior count of each piece in each language.
 PRIOR = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
-_CACHE = 100_000
+_CACHE = 200_000
 
 
-def units_of(words: list[str]) -> list[bytes]:
-    return [(SPACE + w).encode() for w in words]
+#: ASCII case, digits, punctuation and control characters tell no language apart.
+_KEPT = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_INSIDE = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
+
+
+def words_in(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8, lower-cased in ASCII, without what _KEPT drops."""
+    return (text or b"").translate(_KEPT).split()
+
+
+def units_of(words: list[bytes]) -> list[bytes]:
+    mark = SPACE.encode()
+    return [mark + w for w in words]
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of (lang, text) rows."""
+    for batch in batches:
+        n: Counter[tuple[int, bytes]] = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            n.update((lang, w) for w in words_in(text))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.int32()), pa.array([w for _, w in n], pa.binary()), pa.array(map(float, n.values()), pa.float64())], names=["lang", "word", "n"])
 
 
 def _expected(path: str, log_p: np.ndarray):
@@ -60,19 +81,19 @@ def _expected(path: str, log_p: np.ndarray):
 
 def fit_languages(texts: DataFrame, path: str, per_language: int = TEXTS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and their log piece probabilities, from (doc_id, text, lang) rows; sends languages x pieces numbers to the driver."""
-    known = texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    known = texts.where(F.col("lang").isNotNull())
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
     pieces = load_pieces(path)
     log_p = np.full((len(languages), len(pieces)), -np.log(len(pieces)))
     if not languages:
         return languages, log_p
-    # An even share of each language's rows by a hash of the text, so that it's the same on every run.
+    # An even share of each language's rows by a hash of the id, so that it's the same on every run.
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / sizes[lang])))])
     place = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))])
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    words = sample.select(place[F.col("lang")].alias("lang"), F.explode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("word"))
-    counts = durable(words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    words = sample.select(place[F.col("lang")].alias("lang"), "text").mapInArrow(_word_counts, "lang int, word binary, n double")
+    counts = durable(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     for _ in range(rounds):
         found = counts.mapInArrow(_expected(path, log_p), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         total = np.full(log_p.shape, PRIOR)
@@ -83,36 +104,32 @@ def fit_languages(texts: DataFrame, path: str, per_language: int = TEXTS, rounds
 
 
 class WordScores:
-    """Log likelihoods of words in each language; holds the words met lately, the oldest half goes first."""
+    """Log likelihoods of words in each language, by word hash; holds the words met lately, the oldest half goes first."""
 
     def __init__(self, pieces: Pieces, log_p: np.ndarray, size: int = _CACHE) -> None:
         self.pieces, self.log_p, self.size = pieces, log_p, size
-        self.new: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        self.new: dict[int, int] = {}
+        self.old: dict[int, int] = {}
         self.rows, self.old_rows = np.zeros((0, len(log_p))), np.zeros((0, len(log_p)))
 
-    def sums(self, texts: list[list[str]]) -> np.ndarray:
-        """The summed log likelihood of each text's words."""
-        distinct = set().union(*texts) if texts else set()
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The summed log likelihood of the words of each text in `data`."""
+        words = find_words(data, offsets, _INSIDE)
+        hashes, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.new) > self.size:
             self.old, self.old_rows, self.new, self.rows = self.new, self.rows, {}, self.rows[:0]
-        missing = [w for w in distinct if w not in self.new]
-        again = [w for w in missing if w in self.old]
-        fresh = [w for w in missing if w not in self.old]
-        parts = [self.rows, self.old_rows[[self.old[w] for w in again]] if again else self.rows[:0]]
-        for at in range(0, len(fresh), 20_000):
-            lattice = build(units_of(fresh[at : at + 20_000]), self.pieces)
-            parts.append(lattice.backward(self.log_p.T[lattice.piece])[lattice.base[:-1]])
-        for w in again + fresh:
-            self.new[w] = len(self.new)
-        self.rows = np.concatenate(parts)
-        get = self.new.__getitem__
-        flat = np.fromiter((get(w) for t in texts for w in t), np.int64, sum(map(len, texts)))
-        sums = np.zeros((len(texts) + 1, len(self.log_p)))
-        sums[:-1] = 0
-        cuts = np.cumsum([0, *map(len, texts)])
-        rows = np.concatenate([np.zeros((1, len(self.log_p))), np.cumsum(self.rows[flat], axis=0)])
-        return rows[cuts[1:]] - rows[cuts[:-1]]
+        keys = hashes.tolist()
+        missing = [i for i, h in enumerate(keys) if h not in self.new]
+        again = [i for i in missing if keys[i] in self.old]
+        fresh = [i for i in missing if keys[i] not in self.old]
+        self.new.update(zip([keys[i] for i in again + fresh], range(len(self.new), len(self.new) + len(missing)), strict=True))
+        flat, starts, ends = words.data.tobytes(), words.starts[first[fresh]].tolist(), words.ends[first[fresh]].tolist()
+        known = self.old_rows[[self.old[keys[i]] for i in again]] if again else self.rows[:0]
+        units = units_of([flat[s:e] for s, e in zip(starts, ends, strict=True)])
+        self.rows = np.concatenate([self.rows, known, log_sums(units, self.pieces, self.log_p)])
+        at = np.array([self.new[h] for h in keys], np.int64)[inverse]
+        rows = np.concatenate([np.zeros((1, len(self.log_p))), np.cumsum(self.rows[at], axis=0)])
+        return rows[words.of_text[1:]] - rows[words.of_text[:-1]]
 
 
 def identify(docs: DataFrame, languages: list[str], log_p: np.ndarray, path: str) -> DataFrame:
@@ -124,13 +141,9 @@ def identify(docs: DataFrame, languages: list[str], log_p: np.ndarray, path: str
         scores = WordScores(load_pieces(path), shared.value) if languages else None
         for batch in batches:
             names, best, all_sums = [], [], []
-            for first, last, _, _ in text_slices(batch.column(1), 2 << 20):
-                texts = [t or "" for t in batch.column(1)[first:last].to_pylist()]
-                lettered = np.array([scores is not None and bool(_LETTER.search(t)) for t in texts])
-                if scores is None:
-                    sums = np.zeros((len(texts), 1))
-                else:
-                    sums = scores.sums([t.split() for t in texts])
+            for first, last, data, offsets in text_slices(batch.column(1), 2 << 20):
+                lettered = np.array([scores is not None and bool(_LETTER.search(t or "")) for t in batch.column(1)[first:last].to_pylist()])
+                sums = np.zeros((last - first, 1)) if scores is None else scores.sums(data, offsets)
                 top = sums.argmax(axis=1)
                 share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 names += [languages[i] if ok else "und" for i, ok in zip(top, lettered, strict=True)]

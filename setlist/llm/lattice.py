@@ -18,16 +18,21 @@ SPACE = "▁"
 
 @dataclass
 class Pieces:
-    """trie: each piece's bytes to its id, each proper prefix of one to -1."""
+    """step[state, byte] walks the trie of all pieces from state 0 (0 again: no piece goes on so); piece_at[state]: the piece that ends there, or -1."""
 
-    trie: dict[bytes, int]
-    byte_ids: list[int]
+    step: np.ndarray
+    piece_at: np.ndarray
+    byte_ids: np.ndarray
     surface: list[bytes]
     scores: np.ndarray
 
     def __len__(self) -> int:
         return len(self.surface)
 
+    @property
+    def longest(self) -> int:
+        return max(map(len, self.surface))
+
 
 @lru_cache(maxsize=2)
 def load_pieces(path: str) -> Pieces:
@@ -35,8 +40,8 @@ def load_pieces(path: str) -> Pieces:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    trie: dict[bytes, int] = {}
-    byte_ids, surface, scores = [0] * 256, [], []
+    byte_ids, surface, scores = np.zeros(256, np.int64), [], []
+    states, ends = {b"": 0}, {}
     for i in range(model.vocab_size()):
         name = model.id_to_piece(i)
         scores.append(model.get_score(i))
@@ -48,11 +53,20 @@ def load_pieces(path: str) -> Pieces:
             surface.append(b"")
         else:
             surface.append(name.encode())
-            trie[surface[-1]] = i
-    for piece in list(trie):
-        for n in range(1, len(piece)):
-            trie.setdefault(piece[:n], -1)
-    return Pieces(trie, byte_ids, surface, np.array(scores))
+            for n in range(1, len(surface[-1]) + 1):
+                states.setdefault(surface[-1][:n], len(states))
+            ends[states[surface[-1]]] = i
+    step, piece_at = np.zeros((len(states), 256), np.int32), np.full(len(states), -1, np.int32)
+    for prefix, state in states.items():
+        if prefix:
+            step[states[prefix[:-1]], prefix[-1]] = state
+    piece_at[list(ends)] = list(ends.values())
+    return Pieces(step, piece_at, byte_ids, surface, np.array(scores))
+
+
+def _char_size(lead: np.ndarray) -> np.ndarray:
+    """Bytes of the characters with these first bytes; 0 for bytes inside a character."""
+    return np.select([lead < 0x80, lead < 0xC0, lead < 0xE0, lead < 0xF0], [1, 0, 2, 3], 4)
 
 
 @dataclass
@@ -98,34 +112,95 @@ class Lattice:
 
 def build(units: list[bytes], pieces: Pieces) -> Lattice:
     """The lattices of `units` (UTF-8)."""
-    get, trie, byte_ids = pieces.trie.get, pieces.trie, pieces.byte_ids
-    start: list[int] = []
-    end: list[int] = []
-    ids: list[int] = []
-    base, at = [0], 0
-    for unit in units:
-        n, i = len(unit), 0
-        while i < n:
-            lead = unit[i]
-            size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            if trie.get(unit[i : i + size], -1) < 0:
-                for j in range(i, i + size):
-                    start.append(at + j)
-                    end.append(at + j + 1)
-                    ids.append(byte_ids[unit[j]])
-            j = i + 1
-            while j <= n:
-                piece = get(unit[i:j])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    start.append(at + i)
-                    end.append(at + j)
-                    ids.append(piece)
-                j += 1
-            i += size
-        at += n + 1
-        base.append(at)
-    edges = np.array(start, np.int64)
-    order = np.argsort(edges, kind="stable")
-    return Lattice(np.array(base), edges[order], np.array(end, np.int64)[order], np.array(ids, np.int64)[order])
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    data = np.frombuffer(b"".join(units), np.uint8)
+    base = np.concatenate([[0], np.cumsum(sizes + 1)])
+    unit = np.repeat(np.arange(len(units)), sizes)
+    stop = np.cumsum(sizes)[unit]
+    char = _char_size(data)
+    begin = np.flatnonzero(char)
+    at, state, length = begin, pieces.step[0, data[begin]], 1
+    whole = np.zeros(data.size, bool)  # characters that are a piece
+    found = []
+    while at.size:
+        on = state > 0
+        at, state = at[on], state[on]
+        piece = pieces.piece_at[state]
+        hit = piece >= 0
+        found.append((at[hit], np.full(int(hit.sum()), length), piece[hit]))
+        whole[at[hit & (char[at] == length)]] = True
+        on = at + length < stop[at]
+        at, state = at[on], state[on]
+        state = pieces.step[state, data[at + length]]
+        length += 1
+    missing = begin[~whole[begin]]
+    for j in range(4):
+        at = missing[char[missing] > j] + j
+        found.append((at, np.ones(at.size, np.int64), pieces.byte_ids[data[at]]))
+    at, length, piece = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    start = (at + unit[at])[order]
+    return Lattice(base, start, start + length[order], piece[order])
+
+
+def log_sums(units: list[bytes], pieces: Pieces, log_p: np.ndarray, scale: float = 2.5) -> np.ndarray:
+    """For each unit and each row of log_p (languages x pieces) the log of the summed probability of all segmentations.
+
+    A forward pass over byte positions, for many units at once, on probabilities that are
+    scaled by exp(scale) a byte (and again where a unit is long), so that they stay near 1.
+    """
+    lengths = np.array([len(x) for x in pieces.surface])
+    weights = np.exp(log_p.T + (lengths * scale)[:, None])
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    out = np.zeros((len(units), len(log_p)))
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(units):
+        widest = max(1, int(sizes[order[at]]))
+        rows = order[at : at + max(1, min(20_000, (1 << 20) // widest))]
+        rows = rows[np.maximum(sizes[rows], 1) * 2 >= widest]  # so that little of the table is padding
+        out[rows] = _forward([units[i] for i in rows], sizes[rows], pieces, weights) - scale * sizes[rows][:, None]
+        at += rows.size
+    return out
+
+
+def _forward(units: list[bytes], sizes: np.ndarray, pieces: Pieces, weights: np.ndarray) -> np.ndarray:
+    """Logs of the scaled sums of units that are sorted by falling size."""
+    widest, n = int(sizes[0]), len(units)
+    data = np.zeros((widest, n), np.uint8)
+    data.T[np.arange(widest) < sizes[:, None]] = np.frombuffer(b"".join(units), np.uint8)
+    alpha = np.zeros((widest + 1, n, weights.shape[1]))
+    alpha[0] = 1
+    shift, longest = np.zeros(alpha.shape[1:]), pieces.longest
+    spelt = np.zeros((widest + 4, n), bool)  # bytes of characters that are no piece
+    for p in range(widest):
+        if p and p % 32 == 0:
+            window = alpha[p : p + longest]
+            top = window.max(axis=0)
+            top[top == 0] = 1
+            window /= top
+            shift += np.log(top)
+        live = np.searchsorted(-sizes, -p, "left")  # units longer than p
+        char = _char_size(data[p, :live])
+        rows = np.flatnonzero(char)
+        state, known = pieces.step[0, data[p, rows]], np.zeros(live, bool)
+        own, length = alpha[p, rows], 1
+        while rows.size:
+            on = state > 0
+            rows, state, own = rows[on], state[on], own[on]
+            piece = pieces.piece_at[state]
+            hit = piece >= 0
+            alpha[p + length, rows[hit]] += own[hit] * weights[piece[hit]]
+            known[rows[hit & (char[rows] == length)]] = True
+            on = sizes[rows] > p + length
+            rows, state, own = rows[on], state[on], own[on]
+            if rows.size:
+                state = pieces.step[state, data[p + length, rows]]
+            length += 1
+        rows = np.flatnonzero((char > 0) & ~known)
+        for j in range(4):
+            spelt[p + j, rows[char[rows] > j]] = True
+        rows = np.flatnonzero(spelt[p, :live])
+        alpha[p + 1, rows] += alpha[p, rows] * weights[pieces.byte_ids[data[p, rows]]]
+    with np.errstate(divide="ignore"):
+        return np.log(alpha[sizes, np.arange(n)]) + shift
