@@ -68,10 +68,10 @@ def _expected(path: str, log_p: np.ndarray):
         for batch in batches:
             lang, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             lattice = build(units_of(batch.column(1).to_pylist()), pieces)
-            unit = np.repeat(np.arange(len(batch)), np.diff(lattice.base))[lattice.start]
+            unit = lattice.unit
             weights = log_p[lang[unit], lattice.piece]
             alpha, beta = lattice.forward(weights), lattice.backward(weights)
-            share = np.exp(alpha[lattice.start] + weights + beta[lattice.end] - beta[lattice.base[:-1]][unit])
+            share = np.exp(alpha[lattice.start] + weights + beta[lattice.end] - beta[lattice.begin][unit])
             np.add.at(total, (lang[unit], lattice.piece), share * n[unit])
         lang, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[lang, piece])], schema=arrow)

@@ -71,39 +71,54 @@ def _char_size(lead: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lattice:
-    """Edges of many units' lattices, by start node; unit u has the nodes base[u] .. base[u + 1] - 1."""
+    """Edges of many units' lattices, by start node.
 
-    base: np.ndarray
+    Nodes are numbered by their distance in bytes from their unit's end, so all nodes at
+    one distance lie together and each edge leads to a smaller number.
+    """
+
+    begin: np.ndarray  # each unit's first node
+    last: np.ndarray  # each unit's last node
+    levels: np.ndarray  # where the nodes of each distance begin
+    first: np.ndarray  # where the edges of each node begin, and their number
+    rank: np.ndarray  # of the units by falling length
     start: np.ndarray
     end: np.ndarray
     piece: np.ndarray
 
-    def _levels(self) -> list[np.ndarray]:
-        """Edges by the distance of their start from the unit's end, least first; within one by start."""
-        last = np.repeat(self.base[1:] - 1, np.diff(self.base))[self.start]
-        distance = last - self.start
-        order = np.argsort(distance, kind="stable")
-        cuts = np.flatnonzero(np.diff(distance[order])) + 1
-        return np.split(order, cuts)
-
-    def backward(self, weights: np.ndarray) -> np.ndarray:
-        """For each node the log of the summed weight of all ways to the unit's end; `weights`: a log weight, or a row of them, for each edge."""
-        beta = np.full((self.base[-1], *weights.shape[1:]), -np.inf)
-        beta[self.base[1:] - 1] = 0
-        if self.start.size:
-            for edges in self._levels():
-                start = self.start[edges]
-                cuts = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
-                beta[start[cuts]] = np.logaddexp.reduceat(weights[edges] + beta[self.end[edges]], cuts, axis=0)
+    @property
+    def unit(self) -> np.ndarray:
+        """The unit of each edge."""
+        of_rank = np.empty_like(self.rank)
+        of_rank[self.rank] = np.arange(self.rank.size)
+        level = np.searchsorted(self.levels, self.start, "right") - 1
+        return of_rank[self.start - self.levels[level]]
+
+    def backward(self, weights: np.ndarray, add: np.ufunc = np.logaddexp) -> np.ndarray:
+        """For each node the summed weight of all ways to its unit's end.
+
+        `weights`: a weight for each edge, or a row of them. With np.logaddexp all are logs,
+        with np.add plain numbers.
+        """
+        zero, one, times = (-np.inf, 0.0, np.add) if add is np.logaddexp else (0.0, 1.0, np.multiply)
+        beta = np.full((self.levels[-1], *weights.shape[1:]), zero)
+        beta[self.last] = one
+        for low, high in zip(self.levels[1:-1], self.levels[2:], strict=True):
+            e0, e1 = self.first[low], self.first[high]
+            if e1 > e0:
+                cuts = self.first[low:high]
+                own = np.flatnonzero(self.first[low + 1 : high + 1] > cuts)
+                beta[low + own] = add.reduceat(times(weights[e0:e1], beta[self.end[e0:e1]]), cuts[own] - e0, axis=0)
         return beta
 
     def forward(self, weights: np.ndarray) -> np.ndarray:
-        """As backward, for all ways from the unit's begin."""
-        alpha = np.full((self.base[-1], *weights.shape[1:]), -np.inf)
-        alpha[self.base[:-1]] = 0
-        order = np.lexsort((self.end, self.end - np.repeat(self.base[:-1], np.diff(self.base))[self.end]))
-        at = (self.end - np.repeat(self.base[:-1], np.diff(self.base))[self.end])[order]
-        for edges in np.split(order, np.flatnonzero(np.diff(at)) + 1) if order.size else []:
+        """The logs of the summed weights of all ways from the unit's begin to each node; log weights."""
+        alpha = np.full((self.levels[-1], *weights.shape[1:]), -np.inf)
+        alpha[self.begin] = 0
+        distance = np.searchsorted(self.levels, np.arange(self.levels[-1]), "right") - 1
+        at = distance[self.begin][self.unit] - distance[self.end]
+        order = np.lexsort((self.end, at))
+        for edges in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if order.size else []:
             end = self.end[edges]
             cuts = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
             alpha[end[cuts]] = np.logaddexp.reduceat(weights[edges] + alpha[self.start[edges]], cuts, axis=0)
@@ -111,10 +126,13 @@ class Lattice:
 
 
 def build(units: list[bytes], pieces: Pieces) -> Lattice:
-    """The lattices of `units` (UTF-8)."""
+    """The lattices of `units` (UTF-8); a node's edges come with the longest first."""
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     data = np.frombuffer(b"".join(units), np.uint8)
-    base = np.concatenate([[0], np.cumsum(sizes + 1)])
+    rank = np.empty(len(units), np.int64)
+    rank[np.argsort(-sizes, kind="stable")] = np.arange(len(units))
+    long_enough = np.cumsum(np.bincount(sizes)[::-1])[::-1] if len(units) else np.zeros(1, np.int64)
+    levels = np.concatenate([[0], np.cumsum(long_enough)])
     unit = np.repeat(np.arange(len(units)), sizes)
     stop = np.cumsum(sizes)[unit]
     char = _char_size(data)
@@ -127,7 +145,7 @@ def build(units: list[bytes], pieces: Pieces) -> Lattice:
         at, state = at[on], state[on]
         piece = pieces.piece_at[state]
         hit = piece >= 0
-        found.append((at[hit], np.full(int(hit.sum()), length), piece[hit]))
+        found.append((at[hit], length, piece[hit]))
         whole[at[hit & (char[at] == length)]] = True
         on = at + length < stop[at]
         at, state = at[on], state[on]
@@ -136,11 +154,21 @@ def build(units: list[bytes], pieces: Pieces) -> Lattice:
     missing = begin[~whole[begin]]
     for j in range(4):
         at = missing[char[missing] > j] + j
-        found.append((at, np.ones(at.size, np.int64), pieces.byte_ids[data[at]]))
-    at, length, piece = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-    order = np.argsort(at, kind="stable")
-    start = (at + unit[at])[order]
-    return Lattice(base, start, start + length[order], piece[order])
+        found.append((at, 1, pieces.byte_ids[data[at]]))
+    nodes = levels[stop - np.arange(data.size)] + rank[unit]
+    count = np.zeros(levels[-1], np.int64)
+    for at, _, _ in found:
+        count[nodes[at]] += 1
+    first = np.concatenate([[0], np.cumsum(count)])
+    free = first[:-1].copy()
+    start, end, ids = (np.empty(first[-1], np.int32) for _ in range(3))
+    for at, length, piece in reversed(found):
+        node = nodes[at]
+        place = free[node]
+        free[node] += 1
+        start[place], ids[place] = node, piece
+        end[place] = levels[stop[at] - at - length] + rank[unit[at]]
+    return Lattice(levels[sizes] + rank, rank, levels, first, rank, start, end, ids)
 
 
 def log_sums(units: list[bytes], pieces: Pieces, log_p: np.ndarray, scale: float = 2.5) -> np.ndarray:
