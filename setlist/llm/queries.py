@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, language_id, license_scan, simhash
+from setlist.llm import decontaminate, exact_dedup, language_id, license_scan, simhash, sp_sampling, token_counts, toxicity, url_filter
 from setlist.llm.common import table
 
 
@@ -15,10 +15,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the sampled segmentations, of which the operator returns the ids themselves."""
+    found = sp_sampling.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "log_inclusion")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     starts = F.transform("base", lambda p: p["start"])
@@ -56,4 +75,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_license_scan, op8_language_id, op9_decontaminate, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_sentencepiece, op4_url_filter, op6_token_counts, op7_license_scan, op8_language_id, op9_decontaminate, op10_simhash)}
