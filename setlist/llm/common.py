@@ -35,3 +35,13 @@ def held_out(doc_id: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Ids (about 50 bytes each in memory) up to which they are broadcast.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in `dropped` (doc_id); a row without an id can't be named and stays."""
+    dropped = durable(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)

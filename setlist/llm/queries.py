@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setlist.llm import decontaminate, exact_dedup, language_id, license_scan, simhash, sp_sampling, token_counts, toxicity, url_filter
+from setlist.llm import decontaminate, exact_dedup, language_id, license_scan, secret_scan, simhash, sp_sampling, token_counts, toxicity, url_filter
 from setlist.llm.common import table
 
 
@@ -33,6 +33,19 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(secret_scan.span_names(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.span_names(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
@@ -75,4 +88,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_sentencepiece, op4_url_filter, op6_token_counts, op7_license_scan, op8_language_id, op9_decontaminate, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_sentencepiece, op4_url_filter, op5_secret_scan, op6_token_counts, op7_license_scan, op8_language_id, op9_decontaminate, op10_simhash)}
+
+ORACLE_SQL: dict[str, str] = {}

@@ -183,3 +183,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
     scored = score(docs, fit(docs, labels, **options))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score under `threshold`, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = WordFeatures(machine.terms)
+        for batch in batches:
+            clean = np.zeros(batch.num_rows, bool)
+            for first, last, data, offsets in text_slices(batch.column(at), 2 << 20):
+                text, feature = words_of.pairs(find_words(data, offsets, ALNUM))
+                clean[first:last] = machine.scores(text, feature, last - first) < threshold
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
