@@ -1,12 +1,12 @@
 """Exact token counts at every prefix of a text, by dynamic programming.
 
-A byte-level BPE vocabulary encodes each word-like part of a text on its own, so the
-count at the end of a part is the count at the end of the one before and the part's own
-tokens, which each distinct part is encoded for once. This table over part ends is what
-is stored. For a prefix that ends inside a part, the counts of all prefixes of that part
-follow from left to right, one step each: the encoding of a prefix ends in exactly one
-token whose bytes are a suffix of the prefix and which may follow the last token of the
-rest. So questions of truncation and budget are answered without encoding a text again.
+A byte-level BPE vocabulary encodes each word-like part of a text on its own. Inside a
+part the counts of all prefixes follow from left to right, one step each: the encoding of
+a prefix ends in exactly one token whose bytes are a suffix of the prefix and which may
+follow the last token of the rest. The count at the end of a part is the count at the end
+of the one before and the part's own. The table over part ends is what is stored; a
+prefix that ends inside a part takes the step-by-step counts of that part alone. So
+questions of truncation and budget are answered without encoding a text again.
 
 The places of the special token's own text are that one token, as in the library.
 
@@ -124,7 +124,8 @@ class Vocabulary:
                     ends.append((token, j))
                 j -= 1
             for token, j in reversed(ends):
-                if j == 0 or (pairs.get((last[j], token)) if (last[j], token) in pairs else self.follows(last[j], token)):
+                known = True if j == 0 else pairs.get((last[j], token))
+                if self.follows(last[j], token) if known is None else known:
                     counts.append(counts[j] + 1)
                     last.append(token)
                     break
@@ -162,7 +163,6 @@ class PartCounts:
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
         new, old, ids = self.new, self.old, self.vocabulary.ids
-        encode = self.vocabulary.library.encode_single_piece
         counts = []
         for h, s, e in zip(hashes.tolist(), parts.starts[first].tolist(), parts.ends[first].tolist(), strict=True):
             n = new.get(h)
@@ -170,7 +170,7 @@ class PartCounts:
                 n = old.get(h)
                 if n is None:
                     part = parts.data[s:e].tobytes().decode("utf-32-le").encode()
-                    n = 1 if part in ids else len(encode(part))
+                    n = 1 if part in ids else self.vocabulary.prefix_counts(part)[-1]
                 new[h] = n
             counts.append(n)
         return np.array(counts, np.int64)[inverse]
