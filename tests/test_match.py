@@ -47,7 +47,7 @@ def test_local_reports(spark):
     assert "别名" in got["alias"][0].match_method and got["alias"][0].score == 0.98
     assert "OCR" in got["ocr"][0].match_method
     assert got["split"][0].matched_alias == "林志炫"
-    assert [r.date_display for r in got["two"]] == ["8月15日-16日", "10月24日-25日"] and [r.index for r in got["two"]] == [1, 2]
+    assert [r.date_display for r in got["two"]] == ["8月15日-16日", "10月24日-25日"] and [r["index"] for r in got["two"]] == [1, 2]
     assert "none" not in got
     assert report_rows(report).columns == ["job_id", *HEADERS]
     counts = job_counts(report, artists, events)
