@@ -90,4 +90,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_sentencepiece, op4_url_filter, op5_secret_scan, op6_token_counts, op7_license_scan, op8_language_id, op9_decontaminate, op10_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER},'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The others learn, sample or hash in ways that SQL can't express; tests hold them against brute force.
+ORACLE_SQL = {
+    "op2_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op9_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark),
+ bw AS (SELECT item_id, least(13,len(w)) AS n, array_to_string(list_slice(w,i,i+least(13,len(w))-1),' ') AS win FROM (SELECT item_id, w, unnest(range(1,greatest(len(w)-13,0)+2)) AS i FROM b WHERE len(w)>0)),
+ dw AS (SELECT doc_id, i, n, array_to_string(list_slice(w,i,i+n-1),' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1,len(w)-n+2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w)>=n)),
+ h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (n, win)),
+ p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i,i+n)) AS q FROM h) GROUP BY 1),
+ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id,',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AND 20*coalesce(n_hit,0)>=len(w) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
