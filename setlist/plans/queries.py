@@ -37,7 +37,7 @@ def tracks(spark: SparkSession, d: str) -> DataFrame:
     orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = _table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
     rows = li.join(orders, li.l_orderkey == orders.o_orderkey).join(part, li.l_partkey == part.p_partkey)
-    order = F.struct("o_orderdate", "l_orderkey", "l_linenumber")
+    order = F.struct("o_orderdate", "l_orderkey", "l_linenumber", "l_partkey")
     return rows.select(F.col("o_custkey").alias("playlist_id"), order.alias("track_ord"), F.col("p_name").alias("name"), F.array("p_brand").alias("artists"))
 
 
@@ -219,7 +219,7 @@ _RANGE = """r AS (SELECT *, split_part(split_part(date_text,'-',1),'.',1)::INT A
 _URL = r"regexp_extract(url,'^([a-zA-Z]+)://([^/?#]*)([^?#]*)'"
 
 ORACLE_SQL = {
-    "playlist_rollup": """WITH c AS (SELECT o_custkey AS pid, [epoch_us(o_orderdate), l_orderkey, l_linenumber] AS place, p_brand AS artist, trim(p_name) AS title FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey),
+    "playlist_rollup": """WITH c AS (SELECT o_custkey AS pid, [epoch_us(o_orderdate), l_orderkey, l_linenumber, l_partkey] AS place, p_brand AS artist, trim(p_name) AS title FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey),
  t AS (SELECT pid, artist, title, count(*) AS n, min(place) AS place FROM c GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY pid, artist ORDER BY place) AS rk FROM t),
  g AS (SELECT pid, artist, sum(n)::BIGINT AS song_count, min(place) AS place, string_agg(title,'|' ORDER BY rk) FILTER (WHERE rk<=5) AS samples FROM k GROUP BY ALL)
