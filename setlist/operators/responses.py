@@ -57,8 +57,8 @@ def _list(value: Column, name: str) -> Column:
 def recognised_events(responses: DataFrame) -> DataFrame:
     """note_id, batch_index, attempt_ord, pos, date_text, performer, venue of the usable rows in raw_text.
 
-    An answer is a list, or an object with a list under events, rows or items (an empty one passes to the next).
-    Answers that are no JSON give no rows.
+    An answer is an object with a list under events, rows or items (an empty one passes to the next); of a text
+    only the first object counts. Answers that are no JSON give no rows.
     """
     value = F.try_parse_json(first_object(F.col("raw_text")))
     rows = responses.withColumn("v", value)
