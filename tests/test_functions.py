@@ -69,9 +69,9 @@ def test_spelling(spark):
 
 
 def test_urls(spark):
-    ids = ["https://music.163.com/#/playlist?app_version=9.5.45&id=167320827&userid=132918937", "https://music.163.com/playlist?id=12345", "nothing", None]
+    ids = ["https://music.example.com/#/playlist?app_version=9.5.45&id=167320827&userid=132918937", "https://music.example.com/playlist?id=12345", "nothing", None]
     assert column(spark, ids, urls.playlist_id(F.col("x"))) == ["167320827", "12345", None, None]
-    assert column(spark, ["https://www.xiaohongshu.com/explore/abc123?xsec_token=foo&xsec_source=pc"], urls.note_url(F.col("x"))) == ["https://www.xiaohongshu.com/explore/abc123"]
+    assert column(spark, ["https://www.example.com/explore/abc123?xsec_token=foo&xsec_source=pc"], urls.note_url(F.col("x"))) == ["https://www.example.com/explore/abc123"]
     a, b = column(spark, ["http://a/20260708/spectrum/abc123!x?w=1080", "http://b/20260709/spectrum/abc123!x?w=1440"], urls.image_mark(F.col("x")))
     assert a == b == "xhs-spectrum:abc123"
     page = '<img data-xhs-img src="http://h/a.jpg?x=1&amp;y=2"><IMG src="https://h/b.webp" data-xhs-img><img src="c">'

@@ -4,11 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from setlist.functions.names import name_features
 from setlist.operators import matching as m
 from setlist.operators import suggestions as s
 from setlist.operators.playlist import resolve_songs, roll_up
-from setlist.operators.scoring import features, may_be_slip, score_pair, slip_score
+from setlist.operators.scoring import score_pair
 from setlist.plans.match import anchored_report, job_counts, match_report
 from setlist.sources.tables import HEADERS, report_rows, result_json
 
