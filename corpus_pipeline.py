@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlist.llm import decontaminate, exact_dedup, simhash, sp_sampling, toxicity
-from setlist.llm.common import durable, table, without
+from setlist.llm.common import durable, small_batches, table, without
 from setlist.llm.queries import tokenizer_path
 
 
@@ -21,11 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest id."""
+    small_batches(spark)
     return without(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id."""
+    small_batches(spark)
     return without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
 
 
@@ -37,6 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each document: ids, log probability and log inclusion score."""
+    small_batches(spark)
     return sp_sampling.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

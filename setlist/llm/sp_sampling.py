@@ -38,7 +38,7 @@ SAMPLES = 2
 SEED = 17
 RANK_SHIFT = 10.0
 _MARK = SPACE.encode()
-_SLICE = 4 << 20
+_SLICE = 1 << 19
 #: Scales probabilities by exp(SCALE) a byte, so that those of usual units stay near 1.
 SCALE = 2.5
 

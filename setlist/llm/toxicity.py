@@ -171,7 +171,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         words_of = WordFeatures(machine.terms)
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for first, last, data, offsets in text_slices(batch.column(1), 2 << 20):
+            for first, last, data, offsets in text_slices(batch.column(1)):
                 text, feature = words_of.pairs(find_words(data, offsets, ALNUM))
                 scores[first:last] = machine.scores(text, feature, last - first)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], schema=arrow)
@@ -193,7 +193,7 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) ->
         words_of = WordFeatures(machine.terms)
         for batch in batches:
             clean = np.zeros(batch.num_rows, bool)
-            for first, last, data, offsets in text_slices(batch.column(at), 2 << 20):
+            for first, last, data, offsets in text_slices(batch.column(at)):
                 text, feature = words_of.pairs(find_words(data, offsets, ALNUM))
                 clean[first:last] = machine.scores(text, feature, last - first) < threshold
             yield batch.filter(pa.array(clean))

@@ -26,7 +26,7 @@ ALNUM_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = 0xD6E8FEB86659FD93
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 
