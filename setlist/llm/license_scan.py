@@ -4,7 +4,9 @@ All rolling word k-gram hashes of the texts are joined to the positions of the s
 k-grams in license templates. A hit votes for its diagonal (text position less template
 position). A diagonal with every k-gram of its template is an exact place; neighbouring
 diagonals, which small insertions and deletions give, are merged and kept if they gather
-enough votes. All places are then verified on the words themselves.
+the votes that any place with enough of the template's words has. k is lowered until every
+template leaves such a place a vote (bounds()). All places are then verified on the words
+themselves.
 
 Defined results: a null or empty text has no words and no places; rows that repeat a
 doc_id and text each give a row; a null doc_id is kept as it is; other columns are not
@@ -25,6 +27,7 @@ from setlist.llm.common import durable
 from setlist.llm.decontaminate import fingerprint_rows, words_of
 from setlist.llm.words import ALNUM, find_words, gram_hashes, text_slices
 
+#: Words of a gram, at most.
 K = 3
 #: Merged diagonals of a template lie at most this far apart.
 SLACK = 3
@@ -51,6 +54,19 @@ TEMPLATES = [
 ]
 
 
+def bounds(sizes: list[int], k: int, least: float) -> tuple[int, list[int], list[int]]:
+    """The k to use, and for each template the votes that a place has at least and the words that it may lack.
+
+    Of n words a place may lack m. One that another takes the place of spoils k of the n - k + 1
+    grams; k is the largest, from the given one down, that leaves every template a gram. One left
+    out spoils k and one put in k - 1, which a run of n text words has m times at most.
+    """
+    lack = [int((1 - least) * n + 1e-9) for n in sizes]
+    while k > 1 and any(n - (k - 1) - k * m < 1 for n, m in zip(sizes, lack, strict=True)):
+        k -= 1
+    return k, [max(1, n - (k - 1) - (2 * k - 1) * m) for n, m in zip(sizes, lack, strict=True)], lack
+
+
 def template_positions(templates: list[str], k: int) -> list[tuple[int, int, int]]:
     """(hash, template, position) of the k-grams of each template."""
     if any(len(words_of(t)) < k for t in templates):
@@ -93,23 +109,26 @@ def _verify(templates: list[list[str]], least: float):
 def license_places(docs: DataFrame, templates: list[str], k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
     """doc_id, text_key, n_words, places (template, start, end, exact, score) for each document; words count from 0, ends are exclusive."""
     spark, sizes = docs.sparkSession, [len(words_of(t)) for t in templates]
+    if any(n < k for n in sizes):
+        raise ValueError(f"a template needs at least {k} words")
+    k, fewest, lack = bounds(sizes, k, least)
     positions = template_positions(templates, k)
     known = spark.createDataFrame(positions, "hash long, template int, at int")
     rows = fingerprint_rows(docs, "doc_id", "text", k, k, [])
     rows = rows.join(F.broadcast(known) if len(positions) <= BROADCAST_POSITIONS else known, "hash", "left")
     rows = durable(rows.where("position < 0 or template is not null").select("key", "text_key", "n_words", "position", "template", "at"))
 
-    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("template") + 1)
+    size, few, spread = (F.element_at(F.array(*map(F.lit, x)), F.col("template") + 1) for x in (sizes, fewest, lack))
     text = ["key", "text_key", "template"]
     votes = rows.where("position >= 0").select(*text, "position", "at").distinct()
-    diagonals = votes.groupBy(*text, (F.col("position") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("position").alias("first"), F.max("position").alias("last"))
+    diagonals = votes.groupBy(*text, (F.col("position") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
     order = Window.partitionBy(*text).orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > slack).cast("int"), F.lit(0))
     diagonals = diagonals.withColumn("apart", apart).withColumn("group", F.sum("apart").over(order)).withColumn("whole", F.col("votes") == size - (k - 1))
     exact = diagonals.where("whole").select(*text, F.col("diagonal").alias("start"), (F.col("diagonal") + size).alias("end"), F.lit(True).alias("exact"))
-    merged = diagonals.groupBy(*text, "group").agg(F.sum("votes").alias("votes"), F.max("whole").alias("whole"), F.min("first").alias("start"), (F.max("last") + k).alias("end"))
-    # Each word that differs spoils up to k votes; the words decide later.
-    merged = merged.where(~F.col("whole") & (F.col("votes") * 2 >= size - (k - 1))).select(*text, (F.col("start") - k).alias("start"), (F.col("end") + k).alias("end"), F.lit(False).alias("exact"))
+    merged = diagonals.groupBy(*text, "group").agg(F.sum("votes").alias("votes"), F.max("whole").alias("whole"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
+    # The grams left may all be from one end of the template, and words put in or left out shift the rest.
+    merged = merged.where(~F.col("whole") & (F.col("votes") >= few)).select(*text, (F.col("first") - spread).alias("start"), (F.col("last") + size + spread).alias("end"), F.lit(False).alias("exact"))
     places = exact.unionByName(merged).groupBy("key", "text_key").agg(F.sort_array(F.collect_list(F.struct("template", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "exact"))).alias("places"))
     places = durable(places)
 

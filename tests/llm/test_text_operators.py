@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import zlib
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -159,6 +160,26 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_edited_licenses(spark):
+    rng, words_of = np.random.default_rng(3), license_scan.words_of
+    texts = ["Licensed under CC BX-NC 4.0", "Released under no MIT License", "Licensed under the X License, Version Y 0"]
+    for _, notice in license_scan.TEMPLATES * 12:
+        words = words_of(notice)
+        for _ in range(int(rng.integers(0, len(words) // 4 + 1))):
+            at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 4))
+            words[at : at + 1] = [[f"q{at}"], [f"q{at}"], [], [words[at], f"q{at}"]][kind]
+        texts.append(" ".join([*(f"a{i}" for i in range(int(rng.integers(0, 4)))), *words, *(f"z{i}" for i in range(20))]))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        for label, notice in license_scan.TEMPLATES:
+            own = words_of(notice)
+            runs = (words[s : s + len(own)] for s in range(max(1, len(words) - len(own) + 1)))
+            best = max(sum(b.size for b in SequenceMatcher(None, run, own, autojunk=False).get_matching_blocks()) for run in runs) / len(own)
+            assert best < license_scan.LEAST or (label in got[i].labels and got[i].score >= best - 1e-9), (text, notice)
+    assert ["cc-by-nc" in got[0].labels, "mit" in got[1].labels, "apache-2" in got[2].labels] == [True] * 3
+
+
 def test_languages(spark):
     d = "/root/testdata/sf0.01/documents.parquet"
     path = tokenizer_path("piece_bpe_32k.model")
