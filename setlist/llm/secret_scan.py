@@ -4,8 +4,9 @@ All work is column expressions. The places of a pattern's matches follow from th
 of the matches and of what lies between them. Candidates are long runs of the characters
 that keys are written in; a window slides over each, and the counts of its characters,
 and with them the entropy, change by the character that comes and the one that goes. Hex
-strings and others have thresholds of their own. A candidate that the allow-list knows,
-or that a pattern has found already, is left alone.
+strings and others have thresholds of their own. What a pattern has found already, with
+the letters and digits that adjoin it, and what the allow-list knows is cut out of a
+candidate; what is left on either side counts.
 
 Defined results: a null or empty text has no spans; places count code points, ends are
 exclusive; repeated rows each give a row; other columns are not read.
@@ -30,13 +31,19 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character that a window of random characters of each class passes and prose does not.
 LEAST_BITS = {"hex": 2.9, "other": 3.85}
-#: Candidates with a match are known not to be secrets: placeholders, UUIDs, words joined by hyphens or slashes.
+_SEGMENT, _APART = "[A-Za-z0-9]", "(?<![A-Za-z0-9])"
+#: Parts of candidates that are known not to be secrets: segments with a placeholder and those joined to them by
+#: hyphens or underscores, and UUIDs. Patterns from ^ to $ are for all that is left in one piece: words, each in one
+#: case or capitalised, and digits, joined by any sign.
 ALLOWED = [
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6}|0{8}|12345678",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]*([-_/+=]+[A-Za-z]*)*$",
-    r"^[0-9]*([-_/+=]+[0-9]*)*$",
+    rf"(?i){_APART}(?:{_SEGMENT}*[-_]+)?{_SEGMENT}*?(?:example|sample|dummy|placeholder|changeme|redacted|x{{6}}|0{{8}}|12345678){_SEGMENT}*(?:[-_]+{_SEGMENT}*)?",
+    rf"{_APART}[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}(?![A-Za-z0-9])",
+    r"^(?!.*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z])).*$",
+    r"^[-_/+=0-9]*$",
 ]
+#: What a base span is replaced by; the rest of a segment that it is in belongs to the same string.
+_CUT = "\x01"
+_CUT_SEGMENT = rf"{_APART}{_SEGMENT}*\x01[A-Za-z0-9\x01]*"
 _FIRST, _SLOTS = ord("+"), ord("z") - ord("+") + 1
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -89,10 +96,35 @@ def dense_range(candidate: Column, least: Column, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(chars)), state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
+def _blank(text: Column, pattern: str) -> Column:
+    """`text` with spaces for each match."""
+    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, match: F.concat(gap, F.coalesce(F.repeat(F.lit(" "), F.char_length(match)), F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+
+def _without_spans(run: Column, base: Column) -> Column:
+    """The text of a run with _CUT where base spans are."""
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+
+    def cut(text: Column, b: Column) -> Column:
+        first, last = F.greatest(b["start"] - run["start"], F.lit(0)).cast("int"), F.least(b["end"], run["end"]) - run["start"]
+        blank = F.repeat(F.lit(_CUT), (last - first).cast("int"))
+        return F.concat(F.substr(text, F.lit(1), first), blank, F.substr(text, (last + 1).cast("int")))
+
+    return F.aggregate(touching, run["match"], cut)
+
+
 def entropy_spans(text: Column, base: Column, window: int = WINDOW, least: dict[str, float] = LEAST_BITS, allowed: list[str] = ALLOWED) -> Column:
-    """Spans of dense windows in candidates that no base span touches."""
-    found = F.filter(places(text, CANDIDATE, len(KINDS) - 1), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    found = F.filter(found, lambda x: ~reduce(or_, [x["match"].rlike(pattern) for pattern in allowed], F.lit(False)))
+    """Spans of dense windows in the pieces of candidates that base spans and the allow-list leave."""
+    whole, parts = [x for x in allowed if x.startswith("^")], [x for x in allowed if not x.startswith("^")]
+
+    def pieces(run: Column) -> Column:
+        left = reduce(_blank, [_CUT_SEGMENT, *parts], run["left"])
+        return F.transform(places(left, CANDIDATE, len(KINDS) - 1), lambda x: x.withField("start", x["start"] + run["start"]).withField("end", x["end"] + run["start"]))
+
+    runs = F.transform(places(text, CANDIDATE, len(KINDS) - 1), lambda x: F.struct(x["start"].alias("start"), _without_spans(x, base).alias("left")))
+    found = F.flatten(F.transform(runs, pieces))
+    found = F.filter(found, lambda x: ~reduce(or_, [x["match"].rlike(pattern) for pattern in whole], F.lit(False)))
 
     def measured(x: Column) -> Column:
         bits = F.when(x["match"].rlike("^[0-9a-fA-F]+$"), least["hex"]).otherwise(least["other"])
