@@ -1,11 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words and their beginnings of three to six letters, as 64-bit
-hashes. Terms that go with the label far more (or less) often than chance allows are kept
-as features; a factorization machine learns a weight for each and a vector whose inner
-products weigh pairs, so that an insult next to a group's mention can count for more than
-both alone. The likelihood-ratio screen keeps rare words, of which long texts have
-thousands, from adding up to a verdict.
+hashes. Those that a few learnt texts have are features, whether or not they go with the
+label on their own; a factorization machine learns a weight for each and a vector whose
+inner products weigh pairs, so that an insult next to a group's mention can count for more
+than both alone. The solver's steps are alike for all features, so their values are a
+prior: one that goes with the label (or against it) far beyond chance counts in full, a
+neutral one for LEAST_VALUE. That keeps rare words, of which long texts have thousands,
+from adding up to a verdict, and leaves neutral words to be learnt in pairs.
 
 Only a bounded sample of labelled rows is learnt from, one text of each family of near
 copies (those with one smallest shingle hash); every row is scored.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,10 @@ from setlist.llm.words import ALNUM, Words, find_words, gram_hashes, text_slices
 
 #: Labelled rows of each class to learn from, at most.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
-#: Features at most, rows that have one at least, and how far beyond chance (log-likelihood ratio) a feature is.
-FEATURES, ROWS_WITH, RATIO = 1024, 3, 28.0
+#: Rows that have a feature at least, and features at most; beyond it those of the least values go.
+ROWS_WITH, FEATURES = 3, 1 << 17
+#: Log-likelihood ratio with the label from which a feature counts in full, and the value of a neutral one.
+RATIO, LEAST_VALUE = 28.0, 0.1
 FACTORS, ROUNDS, STEP = 4, 60, 0.1
 _CACHE = 200_000
 
@@ -55,18 +60,17 @@ class Machine:
 
     def scores(self, text: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """Of n texts, from distinct (text, feature) pairs."""
-        linear, total, squares = np.zeros(n), np.zeros((n, self.vectors.shape[1])), np.zeros(n)
-        np.add.at(linear, text, self.weights[feature])
-        np.add.at(total, text, self.vectors[feature])
-        np.add.at(squares, text, (self.vectors[feature] ** 2).sum(axis=1))
-        return 1 / (1 + np.exp(-(self.bias + linear + ((total**2).sum(axis=1) - squares) / 2)))
+        sums = lambda of: np.bincount(text, of[feature], n)
+        linear, squares = sums(self.weights), sums((self.vectors**2).sum(axis=1))
+        total = np.stack([sums(v) for v in self.vectors.T], axis=1)
+        return 1 / (1 + np.exp(-np.clip(self.bias + linear + ((total**2).sum(axis=1) - squares) / 2, -500, 500)))
 
 
 class WordFeatures:
     """Features of words, by word hash; holds the words met lately, the oldest half goes first."""
 
     def __init__(self, terms: dict[int, int], size: int = _CACHE) -> None:
-        self.terms, self.size = terms, size
+        self.terms, self.size, self.places = terms, size, max(terms.values(), default=0) + 1
         self.new: dict[int, tuple[int, ...]] = {}
         self.old: dict[int, tuple[int, ...]] = {}
 
@@ -85,13 +89,16 @@ class WordFeatures:
                 new[h] = own
             if own:
                 hit[i] = own
-        n = max(1, len(self.terms))
-        marked = np.zeros(hashes.size, bool)
-        marked[list(hit)] = True
-        at = np.flatnonzero(marked[inverse])
-        text = words.text_of_word()[at]
-        found = {t * n + f for t, i in zip(text.tolist(), inverse[at].tolist(), strict=True) for f in hit[i]}
-        both = np.array(sorted(found), np.int64)
+        n = self.places
+        sizes, places = np.zeros(hashes.size, np.int64), np.fromiter(chain.from_iterable(hit.values()), np.int64)
+        sizes[list(hit)] = [len(x) for x in hit.values()]
+        begin = np.cumsum(sizes) - sizes
+        # Each word once a text, then each feature once a text.
+        once = np.unique(words.text_of_word() * np.int64(max(1, hashes.size)) + inverse)
+        text, word = once // max(1, hashes.size), once % max(1, hashes.size)
+        own = sizes[word]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(begin[word], own)
+        both = np.unique(np.repeat(text, own) * n + places[at])
         return both // n, both % n
 
 
@@ -123,8 +130,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_r
     return docs.select("doc_id", "text").join(F.broadcast(durable(ids)), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
-def screened_terms(rows: DataFrame, features: int, rows_with: int, ratio: float) -> list[int]:
-    """Hashes of the terms of (label, terms) rows that tell the classes apart best, at most `features`."""
+def known_terms(rows: DataFrame, limit: int, rows_with: int) -> list[tuple[int, float]]:
+    """(hash, value) of the terms that `rows_with` of the (label, terms) rows have, at most `limit`: the largest values and the most rows first."""
     n, toxic = rows.agg(F.count("*"), F.sum("label")).first()
     share = toxic / n
     terms = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(F.col("n") >= rows_with)
@@ -135,12 +142,12 @@ def screened_terms(rows: DataFrame, features: int, rows_with: int, ratio: float)
     a, m = F.col("a").cast("double"), F.col("n").cast("double")
     rest = F.lit(float(n)) - m
     score = 2 * (part(a, m, F.lit(share)) + part(m - a, m, F.lit(1 - share)) + part(toxic - a, rest, F.lit(share)) + part(n - toxic - (m - a), rest, F.lit(1 - share)))
-    best = terms.withColumn("score", score).where(F.col("score") >= ratio).orderBy(F.desc("score"), "term").limit(features)
-    return [r.term for r in best.select("term").collect()]
+    value = F.least(F.lit(1.0), F.greatest(F.lit(LEAST_VALUE), score / RATIO))
+    return [(r.term, r.value) for r in terms.withColumn("value", value).orderBy(F.desc("value"), F.desc("n"), "term").limit(limit).select("term", "value").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, features: int = FEATURES, seed: int = 7) -> Machine:
-    """Learns from rows whose ids are not held out; sends the screened terms and the machine to the driver."""
+    """Learns from rows whose ids are not held out; sends the terms and the machine to the driver."""
     from pyspark.ml.classification import FMClassifier
     from pyspark.ml.linalg import Vectors, VectorUDT
 
@@ -148,19 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     rows = sample.mapInArrow(_text_terms, "family long, label int, terms array<long>")
     rows = durable(rows.groupBy("family").agg(F.max(F.struct("label", "terms")).alias("x")).select("x.label", "x.terms"))
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    chosen = screened_terms(rows, features, ROWS_WITH, RATIO) if 0 < toxic < n else []
+    chosen = known_terms(rows, features, ROWS_WITH) if 0 < toxic < n else []
     if not chosen:
         share = toxic / n if n else 0.0
         return Machine({}, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, 1)))
-    place = {t: i for i, t in enumerate(chosen)}
+    place = {t: i for i, (t, _) in enumerate(chosen)}
+    value = np.array([x for _, x in chosen])
 
     @F.udf(VectorUDT())
     def vector(terms):
-        return Vectors.sparse(len(place), sorted((place[t], 1.0) for t in terms if t in place))
+        own = sorted(place[t] for t in terms if t in place)
+        return Vectors.sparse(value.size, own, value[own])
 
     data = durable(rows.select(F.col("label").cast("double").alias("label"), vector("terms").alias("features")).repartition(2))
     model = FMClassifier(factorSize=FACTORS, maxIter=ROUNDS, stepSize=STEP, regParam=1e-4, initStd=0.05, solver="adamW", seed=seed).fit(data)
-    return Machine({t & ((1 << 64) - 1): i for t, i in place.items()}, float(model.intercept), model.linear.toArray(), model.factors.toArray())
+    return Machine({t & ((1 << 64) - 1): i for t, i in place.items()}, float(model.intercept), model.linear.toArray() * value, model.factors.toArray() * value[:, None])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

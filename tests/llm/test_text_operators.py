@@ -221,6 +221,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), marked).count() == 0
 
 
+def test_toxic_pairs(spark):
+    # Either word alone is as often toxic as any text; toxic are those with both and those with neither.
+    rng, texts, labels = np.random.default_rng(1), [], []
+    for i in range(4000):
+        one, two = i % 2, i // 2 % 2
+        filler = [f"w{x}" for x in rng.integers(0, 300, 12)]
+        texts.append(" ".join([*filler, "zebra" * one or "otter", "violin" * two or "cello"]))
+        labels.append((i, int(one == two)))
+    got = toxicity.toxicity(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    assert sum(r.predicted == labels[r.doc_id][1] for r in got) >= 0.97 * len(got)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/a?x=1#y", "http://example.org/en/1", "http://notexample.org/es/", "https://a.com/fr/", "https://a.com/de/1", "https://b.net/x", "https://c.com/en/", "x://org", "http://h?q=://z", "http://a.com/fr/", "http://e.org?a"]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, label string")
