@@ -47,11 +47,30 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Ids (about 50 bytes each in memory) up to which they are broadcast.
-BROADCAST_IDS = 200_000
+#: Rows of a few numbers (about 100 bytes each in memory) up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
+#: Rows of one key from which it is joined apart from the others.
+HOT_ROWS = 1 << 17
+
+
+def attach(rows: DataFrame, known: DataFrame, key: list[str], size: str, how: str = "inner", most: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`rows` joined to `known` (written), which has each key once and in `size` how many rows have it.
+
+    A small `known` is broadcast. Of a large one only the keys that very many rows have are, of
+    which there are at most rows / hot_rows, so that no hot key is moved to one task.
+    """
+    if known.count() <= most:
+        return rows.join(F.broadcast(known), key, how)
+    while (hot := durable(known.where(F.col(size) >= hot_rows))).count() > most:
+        hot_rows *= 16
+    if hot.isEmpty():
+        return rows.join(known, key, how)
+    first = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(known.where(F.col(size) < hot_rows), key, how)
+    return first.unionByName(rest)
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not in `dropped` (doc_id); a row without an id can't be named and stays."""
     dropped = durable(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -7,9 +7,9 @@ each task combines its own rows of equal text and passes on one row for each; th
 are merged within salts (a salt is a class of input partitions, so a hot text meets
 itself in many tasks); and the salts' winners are combined globally.
 
-The rows then look up their winner by digest, a second hash and the length, in a
-shuffle join on small rows that adaptive execution can split at hot keys. Should two
-different texts ever share all three, the job fails and says so.
+The rows then look up their winner by digest, a second hash and the length; the winners
+of hot texts are broadcast, so no task gets all rows of one. Should two different texts
+ever share all three, the job fails and says so.
 
 Defined results: a null text counts as empty; texts are equal when identical after
 lower-casing A-Z only; of equal ones the largest doc_id stays, and of repeated rows
@@ -27,11 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import durable
+from setlist.llm.common import BROADCAST_ROWS, attach, durable
 
 SALTS = 16
-#: Digests with several rows (about 100 bytes each in memory) up to which they are broadcast.
-BROADCAST_DIGESTS = 200_000
 KEY = ["digest", "hash", "bytes"]
 
 
@@ -66,7 +64,7 @@ def shared_groups(docs: DataFrame, own: DataFrame, salts: int = SALTS) -> DataFr
     """digest, hash, bytes, keep_id, group_size for each text that several rows have; `own`: digests(docs)."""
     shared = durable(own.groupBy("digest").count().where("count > 1").select("digest"))
     rows = digests(docs, with_content=True).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    rows = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left_semi")
+    rows = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "digest", "left_semi")
     largest, size = F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     salted = rows.groupBy("salt", *KEY, "content").agg(largest, size)
     groups = salted.groupBy(*KEY, "content").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
@@ -79,7 +77,7 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row."""
     own = durable(digests(docs))
     groups = durable(shared_groups(docs, own, salts))
-    rows = own.join(groups, KEY, "left")
+    rows = attach(own, groups, KEY, "group_size", "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
         "doc_id",

@@ -4,21 +4,26 @@ A text's fingerprint takes, for each of 64 bits, the majority over the XXH64 has
 its word shingles. Two fingerprints link at `distance` or fewer differing bits, and a
 document's component is what links reach.
 
-Linkable fingerprints agree on at least one of `distance + 1` blocks of bits, so each
-fingerprint goes, once for each block, to the cell named by the block and its value.
-Inside a cell the fingerprints are sorted by Gray rank, so neighbours share long bit
-patterns; leaves of consecutive fingerprints and the nodes above them keep the bits on
-which all below agree. Two nodes are compared by those shared patterns alone, and a
-whole pair of groups is pruned once the differences gathered so far exceed `distance`.
-A cell gives a spanning forest of its links, never the pairs, and the forests of all
-cells are merged by alternating large-star and small-star steps on DataFrames.
-
-Cells that hold far more than their share (one huge group of near copies) are cut into
-tiles of consecutive Gray ranks, and each pair of tiles whose shared patterns allow a
-link becomes a cell of its own, so no task gets a whole hot cell.
+Linkable fingerprints agree on at least one of `distance + 1` blocks of bits. For each
+block the fingerprints are rotated so that it leads and sorted by Gray rank, in which
+neighbours share long bit patterns. Leaves are LEAF consecutive fingerprints; leaves and
+the nodes above them keep the bits on which all below agree. Two nodes are compared by
+those shared patterns alone: a whole pair of groups is pruned once the differences
+gathered on the way down exceed `distance`, or if the leading block differs anywhere (that
+pair is looked at in the order of another block). Ranges of the Gray order are Spark
+partitions, cut where the leading block changes, so that above them every pair of groups
+is pruned; inside, all links come out of the tree. It gives a spanning forest, never the
+pairs, and the forests of all ranges are merged by alternating large-star and small-star
+steps on DataFrames.
+
+A leading block that very many fingerprints have is cut into groups by the next bits of
+the Gray rank (and by a hash where these don't tell them apart), and each pair of groups
+whose shared patterns allow a link is a range of its own.
 
 Defined results: null and empty texts have fingerprint zero and link like any other;
-equal texts, repeated rows included, share a component; other columns are not read.
+equal texts, repeated rows included, share a component; a null doc_id is never a
+component's id unless it has no other; an empty table gives an empty one; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import durable
+from setlist.llm.common import BROADCAST_ROWS, attach, durable
+
 BITS = 64
 SHINGLE = 3
 DISTANCE = 3
@@ -105,122 +111,149 @@ class _Level:
         cuts = np.arange(0, self.all_set.size, LEAF)
         return _Level(np.bitwise_and.reduceat(self.all_set, cuts), np.bitwise_or.reduceat(self.any_set, cuts))
 
-    def differences(self, i: np.ndarray, j: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bits that both nodes share among all below and that differ, without the known ones; and the bits now known."""
+    def compare(self, i: np.ndarray, j: np.ndarray, d: np.ndarray, known: np.ndarray, distance: int, lead: np.uint64) -> tuple[np.ndarray, ...]:
+        """The pairs of nodes that may have links below, their differences so far, and the bits these were counted on."""
         both = self.shared[i] & self.shared[j]
-        return np.bitwise_count((self.all_set[i] ^ self.all_set[j]) & both & ~known), both
+        differ = (self.all_set[i] ^ self.all_set[j]) & both
+        d = d + np.bitwise_count(differ & ~known)
+        keep = (d <= distance) & ((differ & lead) == 0)
+        return i[keep], j[keep], d[keep], both[keep]
+
 
+def tree_forest(prints: np.ndarray, distance: int = DISTANCE, lead: int = 0, chunk: int = 1 << 12, seen: dict[str, int] | None = None) -> np.ndarray:
+    """For fingerprints in Gray order the position of the first one of each one's class.
 
-def cell_forest(prints: np.ndarray, distance: int = DISTANCE, chunk: int = 1 << 12) -> np.ndarray:
-    """For fingerprints in Gray order, the position of the first one of each one's class."""
-    label = np.arange(prints.size)
+    Classes are those of the links whose `lead` bits agree. `seen` takes the numbers of
+    compared and pruned pairs of nodes, and of compared pairs of fingerprints.
+    """
+    label, lead, seen = np.arange(prints.size), np.uint64(lead), {} if seen is None else seen
     levels = [_Level(prints, prints)]
     while levels[-1].all_set.size > LEAF:
         levels.append(levels[-1].above())
-    n = levels[-1].all_set.size
-    i, j = np.triu_indices(n)
-    d, known = levels[-1].differences(i, j, np.zeros(i.size, np.uint64))
-    stack = [(len(levels) - 1, i, j, d, known)]
     inner = np.arange(LEAF)
+
+    def compared(height: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, known: np.ndarray) -> None:
+        found = levels[height].compare(i, j, d, known, distance, lead)
+        what = "nodes" if height else "fingerprints"
+        seen[what] = seen.get(what, 0) + i.size
+        seen["pruned " + what] = seen.get("pruned " + what, 0) + i.size - found[0].size
+        if height:
+            stack.append((height, *found))
+        else:
+            _join_labels(label, found[0], found[1])
+
+    stack: list[tuple] = []
+    i, j = np.triu_indices(levels[-1].all_set.size, 1 if len(levels) == 1 else 0)
+    compared(len(levels) - 1, i, j, np.zeros(i.size, np.int64), np.zeros(i.size, np.uint64))
     while stack:
         height, i, j, d, known = stack.pop()
-        keep = d <= distance
-        i, j, d, known = i[keep], j[keep], d[keep].astype(np.int64), known[keep]
-        if height == 0:
-            keep = i < j
-            _join_labels(label, i[keep], j[keep])
-            continue
-        below, size = levels[height - 1], levels[height - 1].all_set.size
-        if height == 1:  # pairs of leaves that are already one class need no look
-            first, last = i * LEAF, np.minimum(i * LEAF + LEAF, size) - 1
-            low, high = np.minimum.reduceat(label, np.arange(0, size, LEAF)), np.maximum.reduceat(label, np.arange(0, size, LEAF))
+        size = levels[height - 1].all_set.size
+        if height == 1 and i.size:  # pairs of leaves that are already one class need no look
+            cuts = np.arange(0, size, LEAF)
+            low, high = np.minimum.reduceat(label, cuts), np.maximum.reduceat(label, cuts)
             keep = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
             i, j, d, known = i[keep], j[keep], d[keep], known[keep]
         for at in range(0, i.size, chunk):
             part = slice(at, at + chunk)
             ci = (i[part, None, None] * LEAF + inner[None, :, None]).repeat(LEAF, 2).ravel()
             cj = (j[part, None, None] * LEAF + inner[None, None, :]).repeat(LEAF, 1).ravel()
-            cd, ck = np.repeat(d[part], LEAF * LEAF), np.repeat(known[part], LEAF * LEAF)
-            there = (ci <= cj) & (cj < size) & (ci < size)
-            ci, cj, cd, ck = ci[there], cj[there], cd[there], ck[there]
-            more, ck = below.differences(ci, cj, ck)
-            keep = cd + more <= distance
-            stack.append((height - 1, ci[keep], cj[keep], (cd + more)[keep], ck[keep]))
-            if height == 1:
-                h, ci, cj, cd, ck = stack.pop()
-                apart = ci < cj
-                _join_labels(label, ci[apart], cj[apart])
+            there = (ci + (height == 1) <= cj) & (cj < size) & (ci < size)
+            compared(height - 1, ci[there], cj[there], np.repeat(d[part], LEAF * LEAF)[there], np.repeat(known[part], LEAF * LEAF)[there])
     return label
 
 
-def _links_in_cells(distance: int):
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _rotate(prints: np.ndarray, by: int) -> np.ndarray:
+    """The bits moved left in a circle."""
+    return prints << np.uint64(by) | prints >> np.uint64(BITS - by) if by % BITS else prints
 
-    def small(prints: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """cell_forest for many cells of one leaf each, all at once."""
-        label, step = np.arange(prints.size), 1
-        while step < prints.size:
-            same = np.flatnonzero(cell[step:] == cell[:-step])
-            if not same.size:
-                break
-            near = same[np.bitwise_count(prints[same] ^ prints[same + step]) <= distance]
-            _join_labels(label, near, near + step)
-            step += 1
-        return label
-
-    def links(cell: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((gray_rank(prints), cell))
-        cell, prints = cell[order], prints[order]
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [cell.size]]))
-        label = np.arange(cell.size)
-        few = np.repeat(sizes <= LEAF, sizes)
-        at = np.flatnonzero(few)
-        label[at] = at[small(prints[at], cell[at])]
-        for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-            label[s : s + n] = s + cell_forest(prints[s : s + n], distance)
-        linked = np.flatnonzero(label != np.arange(cell.size))
-        signed = prints.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed[linked]), pa.array(signed[label[linked]])], schema=arrow)
+
+def _orders(distance: int):
+    """(cell, rank) of each fingerprint in the order of each block; cell: the block's number and its Gray rank there."""
+    width = BITS // (distance + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:  # sorted by cell: all but the last cell are whole
-            cells = np.concatenate([cells, batch.column(0).to_numpy()])
-            prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(cells, cells[-1])) if cells.size else 0
-            if cut >= 1 << 16:
-                yield from links(cells[:cut], prints[:cut])
-                cells, prints = cells[cut:], prints[cut:]
-        if cells.size:
-            yield from links(cells, prints)
+        for batch in batches:
+            prints = batch.column(0).to_numpy().view(np.uint64)
+            for b in range(distance + 1):
+                rank = gray_rank(_rotate(prints, b * width))
+                cell = (rank >> np.uint64(BITS - width)).astype(np.int64) + (b << width)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(rank.view(np.int64))], names=["cell", "rank"])
 
     return run
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, tile: int = 1 << 16) -> DataFrame:
-    """a, b: a spanning forest of the links inside each cell of the distinct fingerprints."""
+def _tree_links(distance: int, at_once: int = 1 << 16):
+    """(a, b) of a spanning forest in each range of rows (cell, pair, rank), which come sorted."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     width = BITS // (distance + 1)
-    names = F.array(*[F.shiftrightunsigned("fingerprint", b * width).bitwiseAND((1 << width) - 1) + (b << width) for b in range(distance + 1)])
-    cells = prints.select("fingerprint", F.explode(names).alias("cell"))
-    hot = durable(cells.groupBy("cell").count().where(F.col("count") > tile).select("cell", F.ceil(F.col("count") / tile).alias("tiles")))
-    n = hot.count()
-    if n:
-        cells = cells.join(F.broadcast(hot) if n <= 100_000 else hot, "cell", "left")
-        own = F.pmod(F.xxhash64("fingerprint"), F.col("tiles"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.xxhash64("cell", F.least(t, own), F.greatest(t, own)))
-        cells = cells.select("fingerprint", F.explode(F.when(F.col("tiles").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
-    cells = cells.select("cell", "fingerprint").repartition("cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(_links_in_cells(distance), "a long, b long")
+    lead = ((1 << width) - 1) << (BITS - width)
+
+    def links(cell: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole cells; one tree for all of an order, or of a pair of groups."""
+        block = cell >> width
+        starts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (pair[1:] != pair[:-1])]))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), cell.size], strict=True):
+            prints = rank[s:e] ^ rank[s:e] >> np.uint64(1)
+            label = tree_forest(prints, distance, lead)
+            linked = np.flatnonzero(label != np.arange(prints.size))
+            back = BITS - int(block[s]) * width
+            own = [_rotate(prints[x], back).view(np.int64) for x in (linked, label[linked])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= at_once:
+                cell, pair, rank = _columns(held)
+                cut = int(np.flatnonzero((cell != cell[-1]) | (pair != pair[-1]))[-1]) + 1 if (cell[0], pair[0]) != (cell[-1], pair[-1]) else 0
+                if cut:  # all but the last cell are whole
+                    yield from links(cell[:cut], pair[:cut], rank[:cut])
+                rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[cut:], pair[cut:], rank[cut:].view(np.int64))], names=["cell", "pair", "rank"])
+                held = [rows]
+        if held and sum(x.num_rows for x in held):
+            yield from links(*_columns(held))
 
-#: Links up to which a table with a row for each of their ends (16 bytes) is broadcast.
-BROADCAST_LINKS = 200_000
+    return run
 
 
-def _attach(left: DataFrame, right: DataFrame, key: str, few: bool, how: str = "inner") -> DataFrame:
+def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cell, pair, rank = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(3))
+    return cell, pair, rank.view(np.uint64)
+
+
+def _group_pairs(rows: DataFrame, hot: DataFrame, distance: int, tile: int) -> DataFrame:
+    """The rows (cell, rank) of hot cells, once for each pair of groups of about `tile` rows whose shared patterns allow a link."""
+    width = BITS // (distance + 1)
+    bits = F.least(F.lit(BITS - width - 1), F.ceil(F.log2(2 * F.col("count") / tile)).cast("int"))
+    place = F.call_function("shiftrightunsigned", F.shiftleft("rank", width), F.lit(BITS) - bits)
+    rows = rows.join(F.broadcast(hot), "cell").select("cell", "rank", place.alias("place"))
+    sizes = rows.groupBy("cell", "place").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    rows = durable(rows.join(sizes, ["cell", "place"]).select("cell", "rank", F.struct("place", F.pmod(F.xxhash64("rank"), F.col("parts")).alias("part")).alias("own")))
+    code = F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", 1))
+    groups = durable(rows.groupBy("cell", "own").agg(F.bit_and(code).alias("all_set"), F.bit_or(code).alias("any_set")))
+    groups = groups.select("cell", "own", "all_set", F.bitwise_not(F.col("all_set").bitwiseXOR(F.col("any_set"))).alias("shared"))
+    a, b = groups.alias("a"), groups.alias("b")
+    differ = F.col("a.all_set").bitwiseXOR(F.col("b.all_set")).bitwiseAND(F.col("a.shared")).bitwiseAND(F.col("b.shared"))
+    near = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.own") <= F.col("b.own")) & (F.bit_count(differ) <= distance))
+    ends = near.select(F.col("a.cell").alias("cell"), F.xxhash64("a.own", "b.own").alias("pair"), F.explode(F.array_distinct(F.array("a.own", "b.own"))).alias("own"))
+    return rows.join(ends, ["cell", "own"]).select("cell", "pair", "rank")
+
+
+def near_links(prints: DataFrame, distance: int = DISTANCE, tile: int = 1 << 20) -> DataFrame:
+    """a, b: a spanning forest of the links inside each range of the Gray orders of the distinct fingerprints."""
+    rows = prints.select("fingerprint").mapInArrow(_orders(distance), "cell long, rank long")
+    # At most a row for each value of each block.
+    hot = durable(rows.groupBy("cell").count().where(F.col("count") > tile))
+    ranges = rows.select("cell", F.lit(0).cast("long").alias("pair"), "rank")
+    if hot.count():
+        ranges = ranges.join(F.broadcast(hot.select("cell")), "cell", "left_anti").unionByName(_group_pairs(rows, hot, distance, tile))
+    return ranges.repartitionByRange("cell", "pair").sortWithinPartitions("cell", "pair", "rank").mapInArrow(_tree_links(distance), "a long, b long")
+
+
+def _attach(left: DataFrame, right: DataFrame, key: str, few: bool) -> DataFrame:
     """A join that stays even where one key has most rows: broadcast, or a shuffle join that adaptive execution can split."""
-    return left.join(F.broadcast(right) if few else durable(right), key, how)
+    return left.join(F.broadcast(right) if few else durable(right), key)
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -231,7 +264,7 @@ def star_components(links: DataFrame) -> DataFrame:
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state, few = now, now[0] <= BROADCAST_LINKS
+        state, few = now, now[0] <= BROADCAST_ROWS
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = _attach(both, least, "u", few).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -245,14 +278,15 @@ def star_components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (long), component_id for each document."""
     prints = durable(fingerprints(docs, size))
-    nodes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
+    nodes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
     roots = durable(star_components(near_links(nodes, distance)))
-    few = roots.count() <= BROADCAST_LINKS
+    few = roots.count() <= BROADCAST_ROWS
     named = nodes.join(F.broadcast(roots) if few else roots, nodes.fingerprint == roots.node, "left")
-    named = durable(named.select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")))
+    named = durable(named.select("fingerprint", "rows", "first_id", F.coalesce("root", "fingerprint").alias("root")))
     # Only components of several fingerprints need a second look.
-    several = named.join(F.broadcast(roots.select("root").distinct()) if few else durable(roots.select("root").distinct()), "root", "left_semi")
-    smallest = several.groupBy("root").agg(F.min("first_id").alias("smallest"))
-    named = _attach(named, smallest, "root", few, "left")
-    named = durable(named.select("fingerprint", F.coalesce("smallest", "first_id").alias("component_id")))
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    heads = roots.select("root").distinct()
+    several = named.join(F.broadcast(heads) if few else heads, "root", "left_semi")
+    smallest = several.groupBy("root").agg(F.min("first_id").alias("smallest"), F.count("*").alias("prints"))
+    named = attach(named, durable(smallest), ["root"], "prints", "left")
+    named = durable(named.select("fingerprint", "rows", F.coalesce("smallest", "first_id").alias("component_id")))
+    return attach(prints, named, ["fingerprint"], "rows").select("doc_id", "fingerprint", "component_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from setlist.llm import decontaminate, exact_dedup, simhash
-from setlist.llm.common import without
+from setlist.llm.common import attach, without
 
 DOCS = "doc_id long, text string, key string, fingerprint long"
 A_TO_Z = {c: c + 32 for c in range(65, 91)}
@@ -135,6 +135,44 @@ def test_hot_cells_are_tiled(spark):
     assert [roots.get(i, i) for i in ids] == expected
 
 
+def test_tree_makes_all_links(spark):
+    """On whole tables: equal to all pairs, most pairs of groups are pruned unseen, and nothing but the tree makes links."""
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prints = np.unique(np.array([r.fingerprint for r in simhash.fingerprints(known).collect()], np.int64).view(np.uint64))
+    rng = np.random.default_rng(9)  # near copies of the table's own fingerprints
+    more = prints[rng.integers(0, prints.size, 2000)]
+    for _ in range(3):
+        more = more ^ (np.uint64(1) << rng.integers(0, 64, more.size).astype(np.uint64))
+    prints = np.unique(np.concatenate([prints, more]))
+    forest, seen = np.arange(prints.size), {}
+    for block in range(4):
+        turned = simhash._rotate(prints, 16 * block)
+        order = np.argsort(simhash.gray_rank(turned))
+        label = simhash.tree_forest(turned[order], lead=0xFFFF << 48, seen=seen)
+        simhash._join_labels(forest, order, order[label])
+    every = np.arange(prints.size)
+    for i in range(prints.size):
+        near = np.flatnonzero(np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= 3) + i + 1
+        simhash._join_labels(every, np.full(near.size, i), near)
+    assert np.array_equal(forest, every) and (np.bincount(every) > 1).sum() > 100
+    pairs = prints.size * (prints.size - 1) // 2
+    assert seen["pruned nodes"] > 0.4 * seen["nodes"] and seen["fingerprints"] < 0.1 * 4 * pairs
+    frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fingerprint long")
+    for tile in (1 << 20, 64):
+        roots = {r.node: r.root for r in simhash.star_components(simhash.near_links(frame, tile=tile)).collect()}
+        found = np.array([roots.get(int(x), int(x)) for x in prints.view(np.int64)])
+        assert np.unique(found).size == np.unique(every).size and all(found[i] == found[j] for i, j in enumerate(every))
+
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(90)] + [(None, 99)], "k int, x int")
+    known = spark.createDataFrame([(k, n, f"v{k}") for k, n in rows.groupBy("k").count().where("k < 5").collect()], "k int, n long, v string")
+    for how in ("inner", "left"):
+        expected = sorted(map(repr, rows.join(known, ["k"], how).collect()))
+        for most, hot_rows in ((100, 1), (0, 1 << 20), (2, 20), (1, 2)):
+            assert sorted(map(repr, attach(rows, known, ["k"], "n", how, most, hot_rows).collect())) == expected
+
+
 def test_long_chains_are_one_component(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(500, 501)], "a long, b long")
     roots = {r.node: r.root for r in simhash.star_components(chain.orderBy(F.rand(1))).collect()}
@@ -154,7 +192,7 @@ def test_cell_forest_against_all_pairs():
         for i in range(prints.size):
             near = np.flatnonzero(np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= 3) + i + 1
             simhash._join_labels(label, np.full(near.size, i), near)
-        assert np.array_equal(label, simhash.cell_forest(prints))
+        assert np.array_equal(label, simhash.tree_forest(prints))
 
 
 def test_pipeline(spark):
