@@ -70,7 +70,31 @@ def attach(rows: DataFrame, known: DataFrame, key: list[str], size: str, how: st
     return first.unionByName(rest)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in `dropped` (doc_id); a row without an id can't be named and stays."""
-    dropped = durable(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)
+def text_key(text: Column) -> Column:
+    """What tells rows with one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, dropped: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """The rows of docs but for those with the doc_id and text_key() of a row of `dropped`.
+
+    Of the rows that `several` (doc_id, text_key, group) names one of each group stays,
+    whichever it may be of equal ones. Null ids are ids like any other.
+    """
+    names = [n + "_" * max(map(len, docs.columns)) for n in ("id", "key", "group")]  # no column is called so
+    named = docs.withColumn(names[1] + "own", text_key(F.col("text")))
+    own = [docs[c] for c in docs.columns]
+
+    def meet(rows: DataFrame, how: str, *more: str) -> DataFrame:
+        other = rows.select(F.col("doc_id").cast("long").alias(names[0]), F.col("text_key").alias(names[1]), *more)
+        few = rows.count() <= BROADCAST_ROWS
+        return named.join(F.broadcast(other) if few else other, named["doc_id"].cast("long").eqNullSafe(F.col(names[0])) & (F.col(names[1] + "own") == F.col(names[1])), how)
+
+    dropped = dropped.select("doc_id", "text_key")
+    several = durable(several.select("doc_id", "text_key", "group").distinct()) if several is not None else None
+    if several is None or several.isEmpty():
+        return meet(durable(dropped.distinct()), "left_anti").select(*own)
+    rest = meet(durable(dropped.unionByName(several.select("doc_id", "text_key")).distinct()), "left_anti").select(*own)
+    row = F.struct(*own)
+    one = meet(several, "inner", F.col("group").alias(names[2])).groupBy(names[2]).agg(F.min_by(row, F.to_json(row)).alias(names[0]))
+    return rest.unionByName(one.select(f"{names[0]}.*"))

@@ -14,7 +14,8 @@ ever share all three, the job fails and says so.
 Defined results: a null text counts as empty; texts are equal when identical after
 lower-casing A-Z only; of equal ones the largest doc_id stays, and of repeated rows
 with that doc_id each is marked kept; rows with a null doc_id stay only if their
-group has no other; other columns are not read.
+group has no other; an empty table gives an empty one; other columns are not read.
+without_duplicates() keeps one row of each text, of repeated rows too.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import BROADCAST_ROWS, attach, durable
+from setlist.llm.common import BROADCAST_ROWS, attach, durable, text_key, without
 
 SALTS = 16
 KEY = ["digest", "hash", "bytes"]
@@ -39,8 +40,8 @@ def normalised(text: bytes | None) -> bytes:
 
 
 def digests(docs: DataFrame, with_content: bool = False) -> DataFrame:
-    """doc_id, digest (SHA-256), hash (XXH64) and bytes (length) of each row's normalised text, and its content if asked for."""
-    fields = [("doc_id", pa.int64()), ("digest", pa.binary()), ("hash", pa.int64()), ("bytes", pa.int64()), ("content", pa.binary())]
+    """doc_id, text_key, digest (SHA-256), hash (XXH64) and bytes (length) of each row's normalised text, and its content if asked for."""
+    fields = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("hash", pa.int64()), ("bytes", pa.int64()), ("content", pa.binary())]
     arrow = pa.schema(fields if with_content else fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,14 +51,15 @@ def digests(docs: DataFrame, with_content: bool = False) -> DataFrame:
                 texts = [normalised(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 columns = [
                     part.column(0),
+                    part.column(2),
                     pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                     pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.binary())] * with_content, schema=arrow)
 
-    schema = "doc_id long, digest binary, hash long, bytes long" + ", content binary" * with_content
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, text_key long, digest binary, hash long, bytes long" + ", content binary" * with_content
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, schema)
 
 
 def shared_groups(docs: DataFrame, own: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -73,16 +75,30 @@ def shared_groups(docs: DataFrame, own: DataFrame, salts: int = SALTS) -> DataFr
     return groups.select(*KEY, "keep_id", sure.cast("long").alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row."""
+def marked(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """doc_id, text_key, keep_id, group_size, kept, text_sha256 for each row."""
     own = durable(digests(docs))
     groups = durable(shared_groups(docs, own, salts))
     rows = attach(own, groups, KEY, "group_size", "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
         "doc_id",
+        "text_key",
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def exact_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row."""
+    return marked(docs, salts).drop("text_key")
+
+
+def without_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One row of docs for each text: one with the largest doc_id."""
+    rows = durable(marked(docs, salts).where("group_size > 1"))
+    again = rows.where("kept").groupBy("text_sha256").count().where("count > 1").select("text_sha256")
+    again = rows.where("kept").join(again, "text_sha256", "left_semi").withColumnRenamed("text_sha256", "group")
+    return without(docs, rows.where("not kept"), again)

@@ -12,12 +12,12 @@ all texts get `und`; repeated rows each give a row; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,8 @@ TEXTS = 800
 ROUNDS = 3
 #: Prior count of each piece in each language.
 PRIOR = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+#: A character of one of Unicode's letter categories.
+_LETTER = regex.compile(r"\p{L}")
 _CACHE = 200_000
 
 
@@ -128,8 +129,11 @@ class WordScores:
         units = units_of([flat[s:e] for s, e in zip(starts, ends, strict=True)])
         self.rows = np.concatenate([self.rows, known, log_sums(units, self.pieces, self.log_p)])
         at = np.array([self.new[h] for h in keys], np.int64)[inverse]
-        rows = np.concatenate([np.zeros((1, len(self.log_p))), np.cumsum(self.rows[at], axis=0)])
-        return rows[words.of_text[1:]] - rows[words.of_text[:-1]]
+        # Each text is summed by itself, so that its score is the same in any batch.
+        sums, full = np.zeros((offsets.size - 1, len(self.log_p))), np.diff(words.of_text) > 0
+        if full.any():
+            sums[full] = np.add.reduceat(self.rows[at], words.of_text[:-1][full], axis=0)
+        return sums
 
 
 def identify(docs: DataFrame, languages: list[str], log_p: np.ndarray, path: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setlist.llm.common import BROADCAST_ROWS, attach, durable
+from setlist.llm.common import BROADCAST_ROWS, attach, durable, text_key, without
 
 BITS = 64
 SHINGLE = 3
@@ -68,15 +68,15 @@ def text_fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (long, the bits as signed) for each row."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+    """doc_id, text_key, fingerprint (long, the bits as signed) for each row."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fingerprint", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [text_fingerprint(t, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64))], schema=arrow)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fingerprint long")
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -275,8 +275,8 @@ def star_components(links: DataFrame) -> DataFrame:
         links = durable(small.where("u <> v").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (long), component_id for each document."""
+def components(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, text_key, fingerprint (long), root (the smallest fingerprint of the component), component_id for each document."""
     prints = durable(fingerprints(docs, size))
     nodes = durable(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
     roots = durable(star_components(near_links(nodes, distance)))
@@ -288,5 +288,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     several = named.join(F.broadcast(heads) if few else heads, "root", "left_semi")
     smallest = several.groupBy("root").agg(F.min("first_id").alias("smallest"), F.count("*").alias("prints"))
     named = attach(named, durable(smallest), ["root"], "prints", "left")
-    named = durable(named.select("fingerprint", "rows", F.coalesce("smallest", "first_id").alias("component_id")))
-    return attach(prints, named, ["fingerprint"], "rows").select("doc_id", "fingerprint", "component_id")
+    named = durable(named.select("fingerprint", "rows", "root", F.coalesce("smallest", "first_id").alias("component_id")))
+    return attach(prints, named, ["fingerprint"], "rows").select("doc_id", "text_key", "fingerprint", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (long), component_id for each document."""
+    return components(docs, size, distance).select("doc_id", "fingerprint", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of docs for each component: one with its smallest doc_id."""
+    rows = durable(components(docs, size, distance))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    again = durable(rows.where(kept).groupBy("root").count().where("count > 1").select("root"))
+    again = rows.where(kept).join(again, "root", "left_semi").withColumnRenamed("root", "group")
+    return without(docs, rows.where(~kept), again)
