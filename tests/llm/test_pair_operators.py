@@ -9,8 +9,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from setlist.llm import decontaminate, exact_dedup, simhash
-from setlist.llm.common import attach, without
+from setlist.llm import decontaminate, exact_dedup, simhash, sp_sampling
+from setlist.llm.common import attach
+from setlist.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, key string, fingerprint long"
 A_TO_Z = {c: c + 32 for c in range(65, 91)}
@@ -39,8 +40,10 @@ def test_exact_duplicates(spark):
         expected.append((i, keep, len(own), i == keep, hashlib.sha256((t or "").translate(A_TO_Z).encode()).hexdigest()))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0
-    rest = without(docs(spark, rows), exact_dedup.exact_duplicates(docs(spark, rows)).where("not kept"))
+    rest = exact_dedup.without_duplicates(docs(spark, rows))
     assert rest.columns == ["doc_id", "text", "key", "fingerprint"] and rest.where("text = 'hot'").count() == 1
+    kept = sorted((t or "").translate(A_TO_Z) for t in (r.text for r in rest.collect()))
+    assert kept == sorted(groups)
 
 
 def brute_contamination(text, items):
@@ -195,6 +198,45 @@ def test_cell_forest_against_all_pairs():
         assert np.array_equal(label, simhash.tree_forest(prints))
 
 
+ROWS = [
+    (3, "text A of some words", "x"), (3, "text B of other words", "x"), (7, "Text A of some words", "y"), (9, "twice", "x"), (9, "twice", "x"), (9, "TWICE", "z"), (None, "twice", "x"),
+    (None, "nobody", "x"), (None, "nobody", "x"), (None, "nobody", "y"), (1, None, "x"), (2, "", "y"), (2, "", None),
+]
+
+
+def test_stages_on_repeated_rows(spark):
+    """doc_id, text, text_key and another column; ids repeat with other texts, and whole rows repeat."""
+    frame = spark.createDataFrame([(i, t, k, 1) for i, t, k in ROWS], "doc_id long, text string, text_key string, kept int")
+    one = [tuple(r)[:2] for r in corpus_pipeline.drop_copies(spark, frame, "").collect()]
+    assert sorted(map(repr, ((i, (t or "").lower()) for i, t in one))) == sorted(map(repr, [(7, "text a of some words"), (3, "text b of other words"), (9, "twice"), (None, "nobody"), (2, "")]))
+    near = corpus_pipeline.drop_near_copies(spark, frame, "")
+    assert near.columns == frame.columns
+    prints = {(t, brute_fingerprint(t)) for _, t, _ in ROWS}
+    assert len({p for _, p in prints}) == 5  # far apart, but for case
+    assert sorted(map(repr, ((r.doc_id, (r.text or "").lower()) for r in near.collect()))) == sorted(map(repr, [(3, "text a of some words"), (3, "text b of other words"), (9, "twice"), (None, "nobody"), (1, "")]))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert stage(spark, frame.limit(0), "").count() == 0
+
+
+def test_contaminated_rows_go_by_id_and_text(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, passage), (2, None), (3, " ")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, passage), (1, "clean"), (None, passage), (None, "clean"), (2, passage), (2, passage), (3, passage + " word" * 400), (4, None), (4, "clean"), (4, "clean")]
+    frame = docs(spark, rows)
+    left = corpus_pipeline.drop_contaminated(spark, frame, str(tmp_path)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left))) == sorted(map(repr, [x for x in rows if x[1] != passage]))
+    assert corpus_pipeline.drop_contaminated(spark, docs(spark, []), str(tmp_path)).count() == 0
+
+
+def test_toxic_stage_without_labels(spark, tmp_path):
+    frame = docs(spark, [(1, "a"), (1, None), (None, "b"), (2, "a"), (2, "a")])
+    for labels in ([], [(1, 0, 0), (2, 1, None), (None, 1, 1)]):
+        folder = str(tmp_path / str(len(labels)))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, frame, folder).count() == 5
+        assert corpus_pipeline.drop_toxic(spark, frame.limit(0), folder).count() == 0
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     known = spark.read.parquet(f"{sf}/documents.parquet")
@@ -217,3 +259,7 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept[3]} == clean
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == clean
+    # Every encoding spells its document's text.
+    texts = {r.doc_id: r.text for r in kept[3]}
+    encoded = sp_sampling.decode(out, tokenizer_path("piece_bpe_32k.model")).collect()
+    assert all(r.text == texts[r.doc_id] for r in encoded) and len({(r.doc_id, tuple(r.ids)) for r in encoded}) == len(encoded)
