@@ -25,7 +25,8 @@ ALNUM_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_GRAM = 0xD6E8FEB86659FD93
+#: Factors by which k-grams of word hashes are hashed; those by one tell nothing about those by the other.
+GRAM, OTHER_GRAM = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _SLICE_BYTES = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
@@ -75,7 +76,7 @@ class Words:
         return np.repeat(np.arange(self.of_text.size - 1), np.diff(self.of_text))
 
 
-def gram_hashes(hashes: np.ndarray, of_text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def gram_hashes(hashes: np.ndarray, of_text: np.ndarray, k: int, by: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-grams of words, and their positions in `hashes`; no k-gram crosses texts."""
     n = hashes.size
     if n < k:
@@ -84,7 +85,7 @@ def gram_hashes(hashes: np.ndarray, of_text: np.ndarray, k: int) -> tuple[np.nda
     factor = 1
     for j in range(k):
         total += hashes[j : n - k + 1 + j] * np.uint64(factor)
-        factor = factor * _GRAM % (1 << 64)
+        factor = factor * by % (1 << 64)
     ends = np.repeat(of_text[1:], np.diff(of_text))
     at = np.flatnonzero(np.arange(n - k + 1) + k <= ends[: n - k + 1])
     return mix(total[at]), at

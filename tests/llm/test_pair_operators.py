@@ -75,6 +75,16 @@ def test_decontamination(spark):
     assert {r.n_hit for r in decontaminate.decontaminate(docs(spark, rows), bench.limit(0)).collect()} == {0}
 
 
+def test_phrase_of_all_items_and_documents(spark):
+    phrase = " ".join(f"p{i}" for i in range(20))
+    items = [(i, f"{phrase} own{i} " + " ".join(f"i{i}x{j}" for j in range(13))) for i in range(60)] + [(60, "p3"), (61, "p0 p1 p2")]
+    texts = [(i, f"d{i} {phrase} e{i} " + (items[i][1] if i < 5 else "")) for i in range(80)] + [(0, "p3 only")]
+    got = decontaminate.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.n_words, r.n_hit, r["items"])) for r in got) == sorted(repr((i, *brute_contamination(t, items))) for i, t in texts)
+    all_docs, shared, sets = decontaminate.shared_spans(docs(spark, texts).select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string"), 13, 7)
+    assert sets.count() <= 60 + 3 and shared.count() <= 80 * 8 + 5 * 60 + 400  # no row for each pair of a document and an item
+
+
 def test_winnowing_keeps_one_of_every_window():
     hashes = np.random.default_rng(2).integers(0, 9, 500).astype(np.uint64)
     kept = set(decontaminate.winnow(hashes, np.full(500, 500), 7).tolist())
