@@ -312,6 +312,39 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_that_repeat(spark):
+    rows = [(i, "http://a.com/de/x" if i % 2 else "http://a.com/fr/x", "k") for i in range(4000)] + [(9999, "http://b.net/q", "k"), (9999, "http://b.net/q", "k")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, domain string").repartition(5)
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got if r.path == "/de/x"} == {"block"} and {r.verdict for r in got if r.path == "/fr/x"} == {"allow"}
+    sample = url_filter.learnt_sample(url_filter.judged(pages, url_filter.RULES), 3000).collect()
+    assert sorted(r.url for r in sample) == ["http://a.com/de/x", "http://a.com/fr/x"]
+    blocked = pages.where("url like '%/de/%' or page_id = 9999")  # one class only
+    assert {r.verdict for r in url_filter.filter_urls(blocked).collect()} == {"block"}
+    short = url_filter.filter_urls(pages.where("page_id > 3000"), size=1)
+    assert short.count() == 1001
+
+
+def test_held_out_urls(spark):
+    """Labels that rules on paths give, by trees that see no path words: hosts of one kind are mostly blocked."""
+    rng, rows = random.Random(2), []
+    for i in range(4000):
+        bad = rng.random() < 0.5
+        host = f"{'ads' if bad else 'news'}{rng.randint(1, 20)}.site{rng.randint(1, 6) * 2 + bad}.{rng.choice(['xyz', 'top'] if bad else ['eu', 'io'])}"
+        noise = "".join(rng.choice("0123456789abcdef") for _ in range(30)) if bad else "a-title-of-words"
+        rows.append((i, f"https://{host}/{noise}/{rng.randint(1, 99)}" + ("?a=1&b=2" if bad else ""), float(bad)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, truth double")
+    judged = url_filter.judged(pages, []).join(pages.select("page_id", "truth"), "page_id").withColumn("held", F.col("page_id") % 4 == 0)
+    learnt = url_filter.fit_urls(judged.withColumn("label", F.when(~F.col("held"), F.col("truth"))))
+    got = learnt(judged.where("held")).select("truth", "block_score").collect()
+    assert sum((r.block_score >= 0.5) == (r.truth == 1) for r in got) >= 0.97 * len(got)
+    # A feature never tells its own label: a host whose URLs are all of one fold counts for nothing there.
+    counts = spark.createDataFrame([("d", "s", 0, 5.0, 5), ("e", "s", 1, 0.0, 5)], "domain string, suffix string, fold long, blocked double, n long")
+    sample = spark.createDataFrame([("d", "s", 0)], "domain string, suffix string, fold long")
+    one = url_filter.with_fold_shares(url_filter.with_fold_shares(sample, counts, "domain", 0.5), counts, "suffix", 0.5).first()
+    assert one.domain_block == 0.5 and one.suffix_block == pytest.approx(10 / 25)
+
+
 def test_entropy_of_urls(spark):
     value = spark.createDataFrame([("aabb",), ("",), (None,)], "u string").select(url_filter.entropy(F.col("u"))).collect()
     assert value[0][0] == pytest.approx(1.0) and value[1][0] == 0 and value[2][0] == 0
