@@ -14,7 +14,7 @@ ROWS_AT_ONCE = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Spark and its Python workers hold of texts on their way between them."""
+    """Bounds what Spark and its Python workers hold of texts on their way between them, for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
 
 
@@ -26,13 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Only a session on one machine may
+    leave it unset; on a cluster a folder of one machine would go with it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
 

@@ -187,11 +187,62 @@ def log_sums(units: list[bytes], pieces: Pieces, log_p: np.ndarray, scale: float
         widest = max(1, int(sizes[order[at]]))
         rows = order[at : at + max(1, min(20_000, (1 << 20) // widest))]
         rows = rows[np.maximum(sizes[rows], 1) * 2 >= widest]  # so that little of the table is padding
-        out[rows] = _forward([units[i] for i in rows], sizes[rows], pieces, weights) - scale * sizes[rows][:, None]
+        few = widest > _LONG_UNIT and rows.size <= _FEW_UNITS
+        sums = np.stack([_forward_one(units[i], pieces, weights) for i in rows]) if few else _forward([units[i] for i in rows], sizes[rows], pieces, weights)
+        out[rows] = sums - scale * sizes[rows][:, None]
         at += rows.size
     return out
 
 
+#: A few units longer than this go one by one, as their bytes give too little to do at once.
+_LONG_UNIT, _FEW_UNITS = 1000, 8
+
+
+def _forward_one(unit: bytes, pieces: Pieces, weights: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """The log of the scaled sum of one long unit: edges are found for a block of places at once, then summed place by place."""
+    data = np.frombuffer(unit, np.uint8)
+    char, longest, n = _char_size(data), pieces.longest, data.size
+    spelt = np.zeros(n + 4, bool)  # bytes of characters that are no piece
+    held = np.zeros((block + longest + 1, weights.shape[1]))
+    held[0] = 1
+    shift = np.zeros(weights.shape[1])
+    for low in range(0, n, block):
+        high = min(low + block, n)
+        at = low + np.flatnonzero(char[low:high])
+        begin, state, length, found, known = at, np.zeros(at.size, np.int32), 1, [], np.zeros(high - low, bool)
+        while at.size:
+            state = pieces.step[state, data[at + length - 1]]
+            at, state = at[state > 0], state[state > 0]
+            hit = pieces.piece_at[state] >= 0
+            found.append((at[hit], np.full(hit.sum(), length), pieces.piece_at[state[hit]]))
+            known[at[hit & (char[at] == length)] - low] = True
+            on = at + length < n
+            at, state, length = at[on], state[on], length + 1
+        missing = begin[~known[begin - low]]
+        for j in range(4):
+            spelt[missing[char[missing] > j] + j] = True
+        at = low + np.flatnonzero(spelt[low:high])
+        found.append((at, np.ones(at.size, np.int64), pieces.byte_ids[data[at]]))
+        start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        ends, own = (start + size)[order] - low, weights[piece[order]]
+        first = np.searchsorted(start[order], np.arange(low, high + 1)).tolist()
+        for p in range(high - low):
+            if p % 32 == 0:
+                top = held[p : p + longest].max(axis=0)
+                top[top == 0] = 1
+                held[p : p + longest] /= top
+                shift += np.log(top)
+            e0, e1 = first[p], first[p + 1]
+            if e1 > e0:  # the edges of one place have different ends
+                held[ends[e0:e1]] += held[p] * own[e0:e1]
+        rest = held[high - low : high - low + longest + 1].copy()
+        held[:] = 0
+        held[: rest.shape[0]] = rest
+    with np.errstate(divide="ignore"):
+        return np.log(held[0]) + shift
+
+
 def _forward(units: list[bytes], sizes: np.ndarray, pieces: Pieces, weights: np.ndarray) -> np.ndarray:
     """Logs of the scaled sums of units that are sorted by falling size."""
     widest, n = int(sizes[0]), len(units)

@@ -24,9 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the sampled segmentations, of which the operator returns the ids themselves."""
-    found = sp_sampling.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
-    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "log_inclusion")
+    """Digests of the sampled segmentations, of which the operator returns the ids themselves, and of what these decode to."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    found = sp_sampling.decode(sp_sampling.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "log_inclusion", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ probability 1 / (r + RANK_SHIFT), byte pieces that of the last rank.
 
 Defined results: a null or empty text has one segmentation, of no pieces; a text whose
 lattice has fewer than k paths gives all of them; U+2581 in a text decodes as a space, as in
-the library; rows that repeat a key get equal samples; other columns are not read.
+the library; rows that repeat a key get equal samples; null ids decode as null; an empty
+table gives an empty one; very long texts are encoded whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -313,9 +314,9 @@ def encode(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = SEED) -> Da
     return rows.mapInArrow(run, "doc_id long, sample int, ids array<int>, log_probability double, log_inclusion double")
 
 
-def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
-    text = b"".join([pieces.surface[i] for i in ids.tolist()]).replace(_MARK, b" ")
-    return text[1:].decode() if text.startswith(b" ") else text.decode()
+def decode_ids(ids: list[int], pieces: Pieces) -> str:
+    text = b"".join(map(pieces.surface.__getitem__, ids)).replace(_MARK, b" ")
+    return text.removeprefix(b" ").decode()
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -327,7 +328,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         pieces = load_pieces(path)
         at = fields.index("ids")
         for batch in batches:
-            texts = [None if x is None else decode_ids(np.array(x, np.int64), pieces) for x in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ids, there = lists.flatten().to_numpy(zero_copy_only=False), lists.is_valid().to_pylist()
+            cuts = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+            texts = [decode_ids(ids[s:e].tolist(), pieces) if own else None for own, s, e in zip(there, cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*fields, "text"])
 
     return encoded.select(*fields).mapInArrow(run, schema)

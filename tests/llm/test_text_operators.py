@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from setlist.llm import language_id, license_scan, secret_scan, sp_sampling, token_counts, toxicity, url_filter
+from setlist.llm import language_id, license_scan, queries, secret_scan, sp_sampling, token_counts, toxicity, url_filter
 from setlist.llm.lattice import build, load_pieces, log_sums
 from setlist.llm.queries import tokenizer_path
 
@@ -55,7 +55,7 @@ def test_lattice_sums_against_enumeration(pieces):
     lattice = build(units, pieces)
     assert np.allclose(lattice.backward(log_p.T[lattice.piece])[lattice.begin], expected)
     assert np.allclose(lattice.forward(log_p.T[lattice.piece])[lattice.last], expected)
-    long = ["▁" + "ab\té" * 400, "▁" + "q" * 900]
+    long = ["▁" + "ab\té" * 400, "▁" + "q" * 900, "▁" + "wordsüand漢\x02" * 3000]
     lattice = build([u.encode() for u in long], pieces)
     assert np.allclose(log_sums([u.encode() for u in long], pieces, log_p), lattice.backward(log_p.T[lattice.piece])[lattice.begin])
 
@@ -78,6 +78,15 @@ def test_sampled_segmentations(spark, pieces):
     assert sp_sampling.encode(docs(spark, []), path).count() == 0
 
 
+def test_round_trip_of_a_whole_table(spark):
+    rows = queries.op3_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: (r.text or "").replace("▁", " ") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(texts) and {r["sample"] for r in rows} == {1, 2}
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+    twice = sp_sampling.encode(docs(spark, ["the same words"]).union(docs(spark, ["the same words"])), tokenizer_path("piece_bpe_32k.model")).collect()
+    assert len(twice) == 4 and len({(r["sample"], tuple(r.ids)) for r in twice}) == 2
+
+
 def test_sampling_distribution(pieces):
     text, n = b"abs on", 20_000
     log_p = sp_sampling.piece_log_probabilities(pieces)
@@ -353,6 +362,22 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), marked).count() == 0
 
 
+def test_scores_by_the_plain_formula(spark):
+    """A machine with two features a word, over every pair of a text's distinct terms."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["grim", "grime", "über", "a1", "otter", "zebra", "漢字"]
+    terms = sorted({t for w in vocabulary[:6] for t in toxicity.word_terms(w)})
+    machine = toxicity.Machine({t: i for i, t in enumerate(terms)}, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 4)) / 2)
+    texts = [None, "", "!", "Grim grim GRIM", "grime otter zebra über", "漢字", *(" ".join(rng.choice(vocabulary, 6)) for _ in range(30)), "otter " * 50_000, "zebra otter", "zebra otter"]
+    got = [r.score for r in toxicity.score(docs(spark, texts), machine).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()))
+        own = sorted({machine.terms[t] for w in words for t in toxicity.word_terms(w) if t in machine.terms})
+        total = machine.bias + sum(machine.weights[i] for i in own) + sum(machine.vectors[i] @ machine.vectors[j] for i, j in itertools.combinations(own, 2))
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+    assert got[-1] == got[-2]
+
+
 def test_toxic_pairs(spark):
     # Either word alone is as often toxic as any text; toxic are those with both and those with neither.
     rng, texts, labels = np.random.default_rng(1), [], []
