@@ -111,6 +111,14 @@ def bigrams(key: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= 2, F.array(key)).otherwise(F.array_distinct(pairs))
 
 
+def name_keys(values: DataFrame, column: str = "name") -> DataFrame:
+    """name, key, ocr, latin for each distinct name: what the exact joins need of name_features()."""
+    rows = values.select(F.col(column).alias("name")).where(F.col("name").isNotNull()).distinct()
+    rows = rows.select("name", fold_marks(clean_name(F.col("name"))).alias("folded"))
+    # Cleaning takes only blanks away, so the cleaned name has a Latin letter if the name has one.
+    return rows.select("name", key_of_folded(F.col("folded")).alias("key"), look_alike_key(key_of_folded(F.col("folded"))).alias("ocr"), F.col("folded").rlike("(?i)[a-z]").alias("latin"))
+
+
 def name_features(values: DataFrame, column: str = "name") -> DataFrame:
     """One row for each distinct name with all that comparisons need; Python sees each name once."""
     rows = values.select(F.col(column).alias("name")).where(F.col("name").isNotNull()).distinct()
@@ -129,8 +137,6 @@ def name_features(values: DataFrame, column: str = "name") -> DataFrame:
     )
 
 
-
-
 def spelling_similarity(a: Column, b: Column) -> Column:
     """Nearness of two keys at one or two slips: a swap of neighbours, wrong letters, or letters left out; 0 beyond."""
     return let(F.struct(a.alias("a"), b.alias("b"), F.char_length(a).alias("n"), F.char_length(b).alias("m")), lambda p: _similarity(p["a"], p["b"], p["n"], p["m"]))

@@ -1,6 +1,7 @@
 """Track lists rolled up to artists.
 
-tracks: playlist_id, track_ord, song_id; songs: song_id, name, artists array<string>.
+tracks: playlist_id, track_ord, song_id; songs: song_id, name, artists array<string>, and `ord`, their order where ids
+repeat.
 """
 
 from __future__ import annotations
@@ -19,27 +20,33 @@ def credited(song: Column) -> Column:
     return F.transform(F.filter(F.coalesce(both, F.array().cast("array<string>")), lambda n: n.isNotNull() & (n != "")), strip)
 
 
+def _last(songs: DataFrame, by: list[str]) -> DataFrame:
+    """Of the songs with equal ids the last by `ord`; without that column the largest, so that any run takes the same."""
+    song = F.struct("name", "artists")
+    return songs.groupBy(*by).agg(F.max_by(song, F.struct(*["ord"] * ("ord" in songs.columns), song)).alias("song"))
+
+
 def resolve_songs(tracks: DataFrame, details: DataFrame, fallback: DataFrame) -> DataFrame:
     """tracks with name and artists from details, else from the playlist's own rows (playlist_id, song_id), else none."""
-    own = details.groupBy("song_id").agg(F.first(F.struct("name", "artists")).alias("detail"))
-    inline = fallback.groupBy("playlist_id", "song_id").agg(F.first(F.struct("name", "artists")).alias("inline"))
+    own = _last(details, ["song_id"]).withColumnRenamed("song", "detail")
+    inline = _last(fallback, ["playlist_id", "song_id"]).withColumnRenamed("song", "inline")
     song = F.coalesce("detail", "inline")
     rows = tracks.where(F.col("song_id").isNotNull() & ~F.col("song_id").isin("", "0")).join(own, "song_id", "left").join(inline, ["playlist_id", "song_id"], "left")
     return rows.select("playlist_id", "track_ord", "song_id", song["name"].alias("name"), F.coalesce(song["artists"], F.array().cast("array<string>")).alias("artists"))
 
 
-def roll_up(songs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def roll_up(songs: DataFrame, samples: int = SAMPLES, most_credits: int = 1 << 20) -> DataFrame:
     """playlist_id, artist_ord, name, song_count, sample_songs from (playlist_id, track_ord, name, artists) rows.
 
-    Every credit counts; the samples are the first distinct titles that are not blank.
-    The first reduction to (artist, title) keeps what is collected small however popular an artist is.
+    Every credit counts; the samples are the first distinct titles that are not blank. Tracks are numbered once, so the
+    order is one number from there on, and all steps keep a playlist where the first one put it. A playlist is what one
+    listener keeps, and is the most that a task holds together.
     """
-    credits = songs.select("playlist_id", "track_ord", strip(F.col("name")).alias("title"), F.posexplode("artists").alias("pos", "artist"))
-    place = F.struct("track_ord", "pos")
-    titles = credits.groupBy("playlist_id", "artist", "title").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    by_artist = Window.partitionBy("playlist_id", "artist").orderBy(F.col("title") == "", "at")
-    titles = titles.withColumn("rank", F.row_number().over(by_artist))
-    kept = F.when((F.col("title") != "") & (F.col("rank") <= samples), F.struct("rank", "title"))
-    artists = titles.groupBy("playlist_id", "artist").agg(F.sum("n").cast("int").alias("song_count"), F.min("at").alias("at"), F.sort_array(F.collect_list(kept))["title"].alias("sample_songs"))
+    order = Window.partitionBy("playlist_id").orderBy("track_ord")
+    tracks = songs.withColumn("n", F.row_number().over(order).cast("long") * most_credits)
+    credits = tracks.select("playlist_id", strip(F.col("name")).alias("title"), "n", F.posexplode("artists").alias("pos", "artist"))
+    titles = credits.groupBy("playlist_id", "artist", "title").agg(F.count("*").alias("n"), F.min(F.col("n") + F.col("pos")).alias("at"))
+    kept = F.when(F.col("title") != "", F.struct("at", "title"))
+    artists = titles.groupBy("playlist_id", "artist").agg(F.sum("n").cast("int").alias("song_count"), F.min("at").alias("at"), F.slice(F.sort_array(F.collect_list(kept)), 1, samples)["title"].alias("sample_songs"))
     order = Window.partitionBy("playlist_id").orderBy("at")
     return artists.select("playlist_id", (F.row_number().over(order) - 1).alias("artist_ord"), F.col("artist").alias("name"), "song_count", "sample_songs")

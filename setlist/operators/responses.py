@@ -84,30 +84,45 @@ def parsed_decision(raw_text: Column) -> Column:
     return F.when(confidence.isin(*CONFIDENCES), F.struct(truth.alias("is_match"), confidence.alias("confidence"), _field(v, ["reason"]).alias("reason")))
 
 
+def _whole(value: Column) -> Column:
+    """A JSON value as a whole number: a text of digits only, a number without its fraction, true and false as 1 and 0."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    text = strip(F.try_variant_get(value, "$", "string"))
+    digits = F.when(text.rlike(r"^[+-]?[0-9]+(?:_[0-9]+)*$"), F.replace(text, F.lit("_"), F.lit("")).try_cast("int"))
+    flag = F.try_variant_get(value, "$", "boolean").cast("int")
+    return F.when(kind == "STRING", digits).when(kind == "BOOLEAN", flag).otherwise(F.try_variant_get(value, "$", "double").try_cast("int"))
+
+
 def parsed_suggestions(responses: DataFrame) -> DataFrame:
     """job_id, batch_id, event_index, artist_name, confidence, reason, event_performer from (job_id, batch_id, response_ord, raw_text) rows.
 
     Matches stand in a list, or, if that is empty, in lists inside events, whose index and performer they take over
-    where they have none. Rows without a whole index or an artist are skipped; any other row with an unknown confidence spoils its
-    whole response; of several rows for an event the last of a response counts.
+    where they name none. Rows without a whole index or an artist are skipped; any other row with an unknown confidence
+    spoils its whole response; of several rows for an event the last of a response counts.
     """
     rows = responses.withColumn("v", F.try_parse_json(first_object(F.col("raw_text"))))
-    own = F.transform(_list(F.col("v"), "matches"), lambda m: F.struct(m.alias("m"), F.lit(None).cast("string").alias("index"), F.lit("").alias("performer")))
+    part = lambda v, n: F.try_variant_get(v, f"$.{n}", "variant")
     text = lambda v, n: F.try_variant_get(v, f"$.{n}", "string")
-    nested = F.flatten(F.transform(
-        F.coalesce(_list(F.col("v"), "events"), F.array().cast("array<variant>")),
-        lambda e: F.transform(F.coalesce(_list(e, "matches"), F.array().cast("array<variant>")), lambda m: F.struct(m.alias("m"), text(e, "event_index").alias("index"), F.coalesce(text(e, "event_performer"), F.lit("")).alias("performer"))),
-    ))
-    wrong = F.try_variant_get(F.col("v"), "$.matches", "variant").isNotNull() & _list(F.col("v"), "matches").isNull()
+    item = lambda m, index, performer: F.struct(m.alias("m"), index.alias("index"), performer.alias("performer"))
+    own = F.transform(_list(F.col("v"), "matches"), lambda m: item(m, _whole(part(m, "event_index")), F.coalesce(text(m, "event_performer"), F.lit(""))))
+
+    def inherited(e: Column, m: Column) -> Column:
+        # A field that is there but null is not taken over.
+        index = F.when(part(m, "event_index").isNull(), _whole(part(e, "event_index"))).otherwise(_whole(part(m, "event_index")))
+        performer = F.when(part(m, "event_performer").isNull(), text(e, "event_performer")).otherwise(text(m, "event_performer"))
+        return item(m, index, F.coalesce(performer, F.lit("")))
+
+    nothing = F.array().cast("array<variant>")
+    nested = F.flatten(F.transform(F.coalesce(_list(F.col("v"), "events"), nothing), lambda e: F.transform(F.coalesce(_list(e, "matches"), nothing), lambda m: inherited(e, m))))
+    wrong = part(F.col("v"), "matches").isNotNull() & _list(F.col("v"), "matches").isNull()
     listed = F.when(wrong, None).when(F.size(own) > 0, own).otherwise(nested)
     rows = rows.select("job_id", "batch_id", "response_ord", F.posexplode(listed).alias("pos", "x"))
     rows = rows.select(
-        "job_id", "batch_id", "response_ord", "pos",
-        F.regexp_extract(strip(F.coalesce(text(F.col("x.m"), "event_index"), F.col("x.index"))), r"^[+-]?\d+", 0).try_cast("int").alias("event_index"),
+        "job_id", "batch_id", "response_ord", "pos", F.col("x.index").alias("event_index"),
         strip(text(F.col("x.m"), "artist_name")).alias("artist_name"),
         strip(text(F.col("x.m"), "confidence")).alias("confidence"),
         strip(text(F.col("x.m"), "reason")).alias("reason"),
-        strip(F.coalesce(text(F.col("x.m"), "event_performer"), F.col("x.performer"))).alias("event_performer"),
+        strip(F.col("x.performer")).alias("event_performer"),
     ).where(F.col("event_index").isNotNull() & (F.col("artist_name") != ""))
     response = Window.partitionBy("job_id", "batch_id", "response_ord")
     rows = rows.withColumn("bad", F.max((~F.col("confidence").isin(*CONFIDENCES)).cast("int")).over(response)).where("bad = 0")

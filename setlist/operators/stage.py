@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 def staged(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder: worked out once, kept when an executor is lost, and its plan ends there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Only a session on one machine may leave it unset; on a cluster a
+    folder of one machine would go with it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)

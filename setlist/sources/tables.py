@@ -17,18 +17,22 @@ EVENT = "note_id string, event_index int, date_text string, performer string, ve
 HEADERS = ["序号", "日期", "歌手", "演出场所", "歌单出现次数", "歌单代表歌曲", "置信度"]
 
 
-def read_playlists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tracks (playlist_id, track_ord, song_id) without blank ids, and the playlists' own songs (playlist_id, song_id, name, artists)."""
+#: Tracks of a playlist that are read.
+TRACKS = 1000
+
+
+def read_playlists(spark: SparkSession, path: str, limit: int = TRACKS) -> tuple[DataFrame, DataFrame]:
+    """Tracks (playlist_id, track_ord, song_id) without blank ids, the first `limit` of each playlist, and the playlists' own songs (playlist_id, song_id, name, artists, ord)."""
     raw = spark.read.schema(PLAYLIST).option("multiLine", True).json(path).select("playlist.*").withColumn("playlist_id", F.col("id").cast("string"))
-    tracks = raw.select("playlist_id", F.posexplode("trackIds").alias("track_ord", "t")).select("playlist_id", "track_ord", F.col("t.id").cast("string").alias("song_id"))
-    own = raw.select("playlist_id", F.explode("tracks").alias("s")).where("s.id <> 0")
-    return tracks.where("song_id <> '0'"), own.select("playlist_id", F.col("s.id").cast("string").alias("song_id"), F.col("s.name").alias("name"), credited(F.col("s")).alias("artists"))
+    tracks = raw.select("playlist_id", F.posexplode(F.slice("trackIds", 1, limit)).alias("track_ord", "t")).select("playlist_id", "track_ord", F.col("t.id").cast("string").alias("song_id"))
+    own = raw.select("playlist_id", F.posexplode("tracks").alias("ord", "s")).where("s.id <> 0")
+    return tracks.where("song_id <> '0'"), own.select("playlist_id", F.col("s.id").cast("string").alias("song_id"), F.col("s.name").alias("name"), credited(F.col("s")).alias("artists"), "ord")
 
 
 def read_songs(spark: SparkSession, path: str) -> DataFrame:
-    """song_id, name, artists of song details."""
-    rows = spark.read.schema(SONGS).option("multiLine", True).json(path).select(F.explode("songs").alias("s")).where("s.id <> 0")
-    return rows.select(F.col("s.id").cast("string").alias("song_id"), F.col("s.name").alias("name"), credited(F.col("s")).alias("artists"))
+    """song_id, name, artists, ord of song details; ord: the file's name and the place in it."""
+    rows = spark.read.schema(SONGS).option("multiLine", True).json(path).select(F.input_file_name().alias("file"), F.posexplode("songs").alias("pos", "s")).where("s.id <> 0")
+    return rows.select(F.col("s.id").cast("string").alias("song_id"), F.col("s.name").alias("name"), credited(F.col("s")).alias("artists"), F.struct("file", "pos").alias("ord"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -78,10 +78,13 @@ def test_suggestion_answers(spark):
         1: json.dumps({"events": [{"event_index": 101, "event_performer": "P", "matches": [{"artist_name": "Rachael Yamagata", "confidence": "中", "reason": " r "}]}]}),
         2: json.dumps({"matches": [{"event_index": 5, "artist_name": "A", "confidence": "高"}, {"event_index": 6, "artist_name": "B", "confidence": "maybe"}]}),
         3: "nothing",
+        4: json.dumps({"matches": [{"event_index": x, "artist_name": f"A{i}", "confidence": "高"} for i, x in enumerate([" 7 ", "12abc", "3.7", 8.9, True, None, "+1_0", [], "-2", 1e12])]}),
+        5: json.dumps({"events": [{"event_index": "41", "event_performer": "P", "matches": [{"artist_name": "A", "confidence": "中"}, {"artist_name": "B", "confidence": "中", "event_index": None}, {"artist_name": "C", "confidence": "中", "event_index": 42, "event_performer": "Q"}]}]}),
     }
     frame = spark.createDataFrame([("j", 0, i, t) for i, t in raw.items()], "job_id string, batch_id int, response_ord int, raw_text string")
     got = sorted((r.response_ord, r.event_index, r.artist_name, r.confidence, r.event_performer) for r in responses.parsed_suggestions(frame).collect())
-    assert got == [(0, 0, "Zella Day", "高", ""), (1, 101, "Rachael Yamagata", "中", "P")]
+    whole = [(4, -2, "A8", "高", ""), (4, 1, "A4", "高", ""), (4, 7, "A0", "高", ""), (4, 8, "A3", "高", ""), (4, 10, "A6", "高", "")]
+    assert got == [(0, 0, "Zella Day", "高", ""), (1, 101, "Rachael Yamagata", "中", "P"), *whole, (5, 41, "A", "中", "P"), (5, 42, "C", "中", "Q")]
 
 
 def test_decisions(spark):
@@ -146,6 +149,12 @@ def test_playlist_files(spark, tmp_path):
     tracks, own = tables.read_playlists(spark, str(tmp_path / "p.json"))
     assert [(r.playlist_id, r.track_ord, r.song_id) for r in tracks.collect()] == [("7", 0, "1"), ("7", 2, "3")]
     assert [(r.song_id, r.artists) for r in own.collect()] == [("3", ["B"])]
+    assert tables.read_playlists(spark, str(tmp_path / "p.json"), limit=2)[0].count() == 1
+    (tmp_path / "s.json").write_text(json.dumps({"songs": [{"id": 1, "name": "old", "artists": [{"name": "A"}], "ar": []}, {"id": 1, "name": "new", "artists": [], "ar": [{"name": "B"}]}]}))
+    from setlist.operators.playlist import resolve_songs
+
+    songs = resolve_songs(tracks, tables.read_songs(spark, str(tmp_path / "s.json")), own).orderBy("track_ord").collect()
+    assert [(r.name, r.artists) for r in songs] == [("new", ["B"]), ("T", ["B"])]
     (tmp_path / "e.json").write_text('{"note_id":"n","date_text":"7.1","performer":"P"}\n{"note_id":"n","performer":"Q"}\n')
     assert [tuple(r) for r in tables.read_events(spark, str(tmp_path / "e.json")).select("performer", "venue").collect()] == [("P", "")]
 

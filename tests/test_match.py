@@ -106,7 +106,8 @@ def test_blocking_loses_no_pair(spark):
     left, right = names[::2], names[1::2]
     aliases = spark.createDataFrame([("j", 0, i, x, "图片演出名") for i, x in enumerate(left)], "job_id string, event_index int, alias_ord int, value string, reason string")
     artists = spark.createDataFrame([("j", i, x) for i, x in enumerate(right)], "job_id string, artist_ord int, name string")
-    a, b = m.with_features(aliases, "value"), m.with_features(artists, "name")
+    known = m.Names(aliases.select("value"), artists.select("name"))
+    a, b = known.of(aliases, "value"), known.of(artists, "name")
     got = m.scored_pairs(a, b, "job_id", ["event_index", "alias_ord"], ["artist_ord"])
     fa = a.select("alias_ord", "reason", F.col("f").alias("a"))
     every = fa.crossJoin(b.select("artist_ord", F.col("f").alias("b")))
