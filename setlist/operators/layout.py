@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setlist.functions.dates import merge_date_range, parse_date
+from setlist.functions.dates import let, merge_date_range, parse_date
 from setlist.functions.names import clean_line
 from setlist.operators.fusion import deduplicated
 
@@ -24,9 +24,11 @@ _WEEKDAYS = "^(周|星期)?[一二三四五六日天]$"
 
 
 def looks_like_venue(text: Column) -> Column:
-    plain = clean_line(text)
-    known = F.lower(F.regexp_replace(plain, r"(?U)\s+", "")).isin(*{v.lower() for v in VENUE_NAMES})
-    return ~plain.isin("", "地点", "场馆", "声") & (known | plain.rlike(VENUE_PARTS))
+    def known(plain: Column) -> Column:
+        short = F.lower(F.regexp_replace(plain, r"(?U)\s+", "")).isin(*sorted({v.lower() for v in VENUE_NAMES}))
+        return ~plain.isin("", "地点", "场馆", "声") & (short | plain.rlike(VENUE_PARTS))
+
+    return let(clean_line(text), known)
 
 
 def _named(plain: Column) -> Column:
@@ -59,7 +61,7 @@ def clustered(lines: Column) -> Column:
 
 def column_starts(lines: Column) -> Column:
     """Left edges of date columns: dates from left to right, each farther than a column's width from all before."""
-    dates = F.filter(lines, lambda x: ~x["text"].rlike("^[-－–—]") & parse_date(x["text"]).isNotNull())
+    dates = F.filter(lines, lambda x: x["dated"] & ~x["raw"].rlike("^[-－–—]"))
     return F.aggregate(F.array_sort(F.transform(dates, lambda x: x["x1"])), F.array().cast("array<double>"), lambda s, x: F.when(F.forall(s, lambda y: F.abs(x - y) > COLUMN), F.array_append(s, x)).otherwise(s))
 
 
@@ -93,32 +95,45 @@ def _detail_rows(rows: DataFrame) -> DataFrame:
     def with_venue(lines: Column) -> Column:
         right = lambda x: x["x1"] >= 900 * scale
 
-        def told(x: Column) -> Column:
+        def venue_of(x: Column) -> Column:
+            """The venue's name if the line is one; a name split in two glyphs stands for its second one."""
             beside = lambda glyph: F.exists(lines, lambda y: (y["row"] == x["row"]) & right(y) & (y["text"] == glyph))
-            name = F.when((x["text"] == "声") & beside("霏"), "霏声").when((x["text"] == "声") & beside("翡"), "翡声").otherwise(x["text"])
-            venue = F.when(beside("霏") & beside("声"), x["text"] == "声").otherwise(looks_like_venue(name)) & right(x)
+            first = F.when(x["text"] != "声", F.when(beside("霏") & beside("声"), "霏")).when(beside("霏"), "霏").when(beside("翡"), "翡")
+            plain = F.when(looks_like_venue(x["text"]), x["text"])
+            # In a row with both glyphs only they name a venue.
+            return let(first, lambda f: F.when((x["text"] == "声") & f.isNotNull(), F.concat(f, F.lit("声"))).when(f.isNull(), plain))
+
+        def told(x: Column) -> Column:
             span = (x["x1"] >= 105 * scale) & (x["x1"] <= 210 * scale) & x["raw"].rlike("[0-9]")
             fields = [x[c].alias(c) for c in ("place", "row", "cy", "line_ord", "raw", "text")]
-            return F.struct(*fields, name.alias("name"), venue.alias("venue"), (x["dated"] & (x["x1"] < 110 * scale)).alias("dated"), span.alias("span"), is_performer(x["text"], x["x1"], x["x2"], scale).alias("performer"))
+            return F.struct(*fields, F.when(right(x), venue_of(x)).alias("venue"), F.when(x["dated"] & (x["x1"] < 110 * scale), x["raw"]).alias("date"), F.when(span, x["raw"]).alias("span"), is_performer(x["text"], x["x1"], x["x2"], scale).alias("performer"))
 
         return F.transform(lines, told)
 
     rows = rows.withColumn("lines", with_venue(F.col("lines")))
     lines = F.col("lines")
 
-    def nearest(p: Column, row: Column, flag: str, field: str) -> Column:
-        own = F.filter(lines, lambda x: (x["row"] == row) & x[flag])
+    def nearest(some: Column, p: Column, field: str) -> Column:
+        """Of the lines that have the field the one next in height, the first of equal ones."""
+        own = F.filter(some, lambda x: x[field].isNotNull())
         return F.array_min(F.transform(own, lambda x: F.struct(F.abs(x["cy"] - p["cy"]).alias("far"), x["place"].alias("place"), x[field].alias("x"))))["x"]
 
     def event(p: Column) -> Column:
-        below = p["row"] + 1
-        under = F.filter(lines, lambda x: x["row"] == below)
-        far = F.aggregate(under, F.lit(0.0), lambda s, x: s + x["cy"]) / F.greatest(F.size(under), F.lit(1)) - p["cy"]
-        here, gap = nearest(p, p["row"], "venue", "name"), F.when((F.size(under) > 0) & far.between(GAP_LEAST, GAP_MOST), nearest(p, below, "venue", "name"))
-        low = here.isNull() & gap.isNotNull() & nearest(p, below, "dated", "raw").isNotNull()
-        row = F.when(low, below).otherwise(p["row"])
-        at = F.struct(p["line_ord"].cast("double").alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"))
-        return F.struct(at.alias("at"), nearest(p, row, "dated", "raw").alias("date"), nearest(p, row, "span", "raw").alias("until"), p["text"].alias("performer"), F.coalesce(here, gap, F.lit("")).alias("venue"))
+        around = F.filter(lines, lambda x: (x["row"] == p["row"]) | (x["row"] == p["row"] + 1))
+        halves = lambda near: F.struct(F.filter(near, lambda x: x["row"] == p["row"]).alias("own"), F.filter(near, lambda x: x["row"] > p["row"]).alias("under"))
+
+        def seen(rows: Column) -> Column:
+            far = F.aggregate(rows["under"], F.lit(0.0), lambda s, x: s + x["cy"]) / F.greatest(F.size(rows["under"]), F.lit(1)) - p["cy"]
+            gap = F.when((F.size(rows["under"]) > 0) & far.between(GAP_LEAST, GAP_MOST), nearest(rows["under"], p, "venue"))
+            return F.struct(nearest(rows["own"], p, "venue").alias("here"), gap.alias("gap"))
+
+        def chosen(rows: Column, venues: Column) -> Column:
+            low = venues["here"].isNull() & venues["gap"].isNotNull() & F.exists(rows["under"], lambda x: x["date"].isNotNull())
+            at = F.struct(p["line_ord"].cast("double").alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"))
+            venue = F.coalesce(venues["here"], venues["gap"], F.lit(""))
+            return let(F.when(low, rows["under"]).otherwise(rows["own"]), lambda row: F.struct(at.alias("at"), nearest(row, p, "date").alias("date"), nearest(row, p, "span").alias("until"), p["text"].alias("performer"), venue.alias("venue")))
+
+        return let(let(around, halves), lambda rows: let(seen(rows), lambda venues: chosen(rows, venues)))
 
     found = F.transform(F.filter(lines, lambda x: x["performer"]), event)
     return rows.select("note_id", "image_ord", "image_name", F.inline(F.filter(found, lambda e: e["date"].isNotNull())))

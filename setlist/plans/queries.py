@@ -1,7 +1,8 @@
 """Queries on the star-schema and document tables that exercise the operators, and the same in SQL.
 
-The tables hold no artists, so views derive them: tracks from line items; artists and events from the first two
-words of documents, by language; answers, batches, positioned lines and manifests by arithmetic on ids.
+The tables hold no artists, so views derive them: tracks from line items; an artist, an event and a suggestion from every
+document, named by the two longest words of its whole text, with its source as the job; answers, batches, positioned lines
+and manifests by arithmetic on ids.
 """
 
 from __future__ import annotations
@@ -11,24 +12,26 @@ from pyspark.sql import functions as F
 
 from setlist.functions import dates, names, urls
 from setlist.operators import fusion, layout, matching, responses, suggestions
-from setlist.operators.playlist import roll_up
+from setlist.operators.playlist import resolve_songs, roll_up
+from setlist.plans import queries_sql
 from setlist.plans.match import anchored_report, job_counts, match_report
 from setlist.sources.tables import report_rows, result_json
 
-NOISY = "doc_id % 6 = 1"
-
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _name(text="text"):
-    return F.concat_ws(" ", F.slice(F.split(F.coalesce(text, F.lit("")), " "), 1, 2))
+def _words():
+    """The distinct words of a whole text, the longest first."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0)))
+    return F.array_sort(F.transform(found, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("word"))))["word"]
 
 
-def _job():
-    """A language's documents, two thousand ids at a time."""
-    return F.concat(F.coalesce("lang", F.lit("")), F.lit("-"), F.floor(F.col("doc_id") / 2000).cast("string"))
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, job_id, lang, name of every document."""
+    docs = _table(spark, d, "documents")
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("job_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.array_join(F.slice(_words(), 1, 2), " ").alias("name"))
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
@@ -41,28 +44,40 @@ def tracks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("o_custkey").alias("playlist_id"), order.alias("track_ord"), F.col("p_name").alias("name"), F.array("p_brand").alias("artists"))
 
 
+def track_songs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tracks by part; details of two parts in three, old and new; a customer's own rows of half of the others."""
+    li = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = li.join(_table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    place = F.struct("l_orderkey", "l_linenumber")
+    tracks = rows.select(F.col("o_custkey").alias("playlist_id"), place.alias("track_ord"), F.col("l_partkey").cast("string").alias("song_id"))
+    own = rows.where("l_partkey % 3 = 0 and l_partkey % 2 = 0").select(F.col("o_custkey").alias("playlist_id"), F.col("l_partkey").cast("string").alias("song_id"), F.concat(F.lit("own "), F.col("l_orderkey").cast("string")).alias("name"), F.array(F.lit("someone")).alias("artists"), place.alias("ord"))
+    part = _table(spark, d, "part").where("p_partkey % 3 <> 0")
+    versions = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(v).alias("version")) for i, v in enumerate(("old ", ""))]))
+    details = part.select(F.col("p_partkey").cast("string").alias("song_id"), "p_name", F.array("p_brand").alias("artists"), versions.alias("v"))
+    return tracks, details.select("song_id", F.concat("v.version", "p_name").alias("name"), "artists", "v.ord"), own
+
+
 def artists(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").where("doc_id % 2 = 0")
-    return docs.select(_job().alias("job_id"), F.col("doc_id").cast("int").alias("artist_ord"), _name().alias("name"), (F.col("doc_id") % 7 + 1).cast("int").alias("song_count"), F.array(F.concat(F.lit("song "), F.col("doc_id").cast("string"))).alias("sample_songs"))
+    return named(spark, d).select("job_id", F.col("doc_id").cast("int").alias("artist_ord"), "name", (F.col("doc_id") % 7 + 1).cast("int").alias("song_count"), F.array(F.concat(F.lit("song "), F.col("doc_id").cast("string"))).alias("sample_songs"))
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").where("doc_id % 2 = 1")
-    name = F.when(F.expr(NOISY), F.translate(_name(), "lo", "10")).when(F.expr("doc_id % 10 = 3"), F.concat(_name(), F.lit(" (live)"))).otherwise(_name())
+    """Every document's name, some with look-alike digits, an addition, a guest, or other letters."""
+    name, own = F.col("name"), F.expr("doc_id % 11 = 5")
+    performer = F.when(F.expr("doc_id % 6 = 1"), F.translate(name, "lo", "10")).when(F.expr("doc_id % 10 = 3"), F.concat(name, F.lit(" (live)"))).when(F.expr("doc_id % 7 = 3"), F.concat(name, F.lit(" & Guest"))).when(own, F.translate(name, "aeinrst", "einrsta")).otherwise(name)
     month, day = F.col("doc_id") % 12 + 1, F.col("doc_id") % 25 + 1
     date = F.concat(month.cast("string"), F.lit("."), day.cast("string"), F.when(F.expr("doc_id % 4 = 1"), F.concat(F.lit("-"), (day + 2).cast("string"))).otherwise(""))
-    return docs.select(_job().alias("job_id"), F.col("doc_id").cast("int").alias("event_index"), date.alias("date_text"), name.alias("performer"), F.when(F.expr("doc_id % 3 = 0"), "").otherwise(F.coalesce("lang", F.lit(""))).alias("venue"), F.lit("").alias("image_name"))
+    return named(spark, d).select("job_id", F.col("doc_id").cast("int").alias("event_index"), date.alias("date_text"), performer.alias("performer"), F.when(F.expr("doc_id % 3 = 0"), "").otherwise(F.col("lang")).alias("venue"), F.lit("").alias("image_name"))
 
 
 def suggested(spark: SparkSession, d: str) -> DataFrame:
-    """An answer for every fifth event: the artist two ids before it, with the confidence by id."""
-    docs = _table(spark, d, "documents").where("doc_id % 2 = 1 and doc_id % 5 = 1")
+    """An answer for every event: its document's name, with the confidence by id."""
     confidence = F.element_at(F.array(*map(F.lit, responses.CONFIDENCES)), (F.col("doc_id") % 3 + 1).cast("int"))
-    return docs.select(_job().alias("job_id"), F.lit(0).alias("batch_id"), F.col("doc_id").cast("int").alias("event_index"), _name().alias("artist_name"), confidence.alias("confidence"), F.lit("same words").alias("reason"), _name().alias("event_performer"))
+    return named(spark, d).select("job_id", F.lit(0).alias("batch_id"), F.col("doc_id").cast("int").alias("event_index"), F.col("name").alias("artist_name"), confidence.alias("confidence"), F.lit("same words").alias("reason"), F.col("name").alias("event_performer"))
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """Fenced JSON of one event for each odd document."""
+    """Fenced JSON of one event for each document."""
     rows = events(spark, d)
     item = F.struct(F.col("date_text").alias("date"), F.col("performer").alias("artist"), F.col("venue").alias("location"))
     raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("rows"))), F.lit("\n``` done"))
@@ -70,20 +85,28 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
-    """An image for each order: its lines as a date, a performer and a venue in rows 100 pixels apart."""
-    li = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    y = F.col("l_linenumber") * 100.0
-    line = lambda k, text, x1, x2, dy: F.struct((F.col("l_linenumber") * 3 + k).cast("int").alias("line_ord"), text.alias("text"), F.lit(x1).alias("x1"), (y + dy).alias("y1"), F.lit(x2).alias("x2"), (y + dy + 20).alias("y2"))
-    date = F.concat((F.col("l_linenumber") + 1).cast("string"), F.lit(" / "), (F.col("l_quantity").cast("int") % 28 + 1).cast("string"))
-    three = F.array(line(0, date, 16.0, 83.0, 0.0), line(1, F.concat(F.lit("Band "), F.col("l_partkey").cast("string")), 418.0, 703.0, 3.0), line(2, F.lit("MAO"), 943.0, 1051.0, 5.0))
-    lines = F.flatten(F.sort_array(F.collect_list(F.struct("l_linenumber", three.alias("x"))))["x"])
+    """An image for each order, its lines in rows 100 pixels apart: in turn plain rows, venues (and dates) in a row below, split venue names, and pages of two date columns."""
+    li = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    y, kind = F.col("l_linenumber") * 100.0, F.col("l_orderkey") % 4
+    line = lambda k, text, x1, x2, dy: F.struct((F.col("l_linenumber") * 8 + k).cast("int").alias("line_ord"), (text if not isinstance(text, str) else F.lit(text)).alias("text"), F.lit(x1).alias("x1"), (y + dy).alias("y1"), F.lit(x2).alias("x2"), (y + dy + 20).alias("y2"))
+    date = lambda plus: F.concat(((F.col("l_linenumber") + plus) % 12 + 1).cast("string"), F.lit(" / "), (F.col("q") % 28 + 1).cast("string"))
+    band = lambda name: F.concat(F.lit(name + " "), F.col("l_partkey").cast("string"))
+    head = [line(0, date(0), 16.0, 83.0, 0.0), line(1, band("Band"), 418.0, 703.0, 3.0)]
+    until = line(2, F.concat(F.lit("-"), (F.col("q") % 28 + 3).cast("string")), 135.0, 182.0, 2.0)
+    plain, below = F.array(*head, line(3, "MAO", 943.0, 1051.0, 5.0)), F.array(*head, until, line(3, "星在2F", 943.0, 1051.0, 50.0))
+    glyphs = F.array(*head, line(3, "霏", 930.0, 955.0, 4.0), line(4, "声", 956.0, 990.0, 4.0))
+    columns = F.array(line(0, date(0), 20.0, 90.0, 0.0), line(1, "周五", 120.0, 160.0, 0.0), line(2, band("Left"), 205.0, 350.0, 1.0), line(3, date(5), 390.0, 460.0, 0.0), line(4, band("Right"), 575.0, 650.0, 2.0))
+    dated = F.concat(below, F.array(line(4, date(7), 16.0, 83.0, 50.0)))
+    own = F.when(kind == 0, plain).when((kind == 1) & (F.col("q") % 2 == 0), dated).when(kind == 1, below).when(kind == 2, glyphs).otherwise(columns)
+    lines = F.flatten(F.sort_array(F.collect_list(F.struct("l_linenumber", own.alias("x"))))["x"])
+    lines = F.transform(lines, lambda x, i: x.withField("line_ord", i))
     return li.groupBy("l_orderkey").agg(lines.alias("lines")).select(F.col("l_orderkey").cast("string").alias("note_id"), F.lit(0).alias("image_ord"), F.concat(F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("image_name"), F.lit(1080).alias("width"), "lines")
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
-    """Recognition attempts: one batch for each user and hour, its events as attempts of value % 5 rows, or an error."""
+    """Recognition attempts: one batch for each user and hour, its events as attempts of value % 5 rows, some with venues, or an error."""
     ev = _table(spark, d, "events").select("event_id", "user_id", "event_type", F.floor(F.coalesce("value", F.lit(0.0))).cast("int").alias("n"), F.hour("ts").alias("hour"))
-    rows = F.when(F.col("n") % 5 > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") % 5, F.lit(1))), lambda i: F.struct(F.concat(F.lit("7."), i.cast("string")).alias("date_text"), F.concat(F.lit("band "), i.cast("string")).alias("performer"), F.lit("").alias("venue")))).otherwise(F.array().cast("array<struct<date_text:string,performer:string,venue:string>>"))
+    rows = F.when(F.col("n") % 5 > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") % 5, F.lit(1))), lambda i: F.struct(F.concat(F.lit("7."), i.cast("string")).alias("date_text"), F.concat(F.lit("band "), i.cast("string")).alias("performer"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("hall "), i.cast("string"))).otherwise("").alias("venue")))).otherwise(F.array().cast("array<struct<date_text:string,performer:string,venue:string>>"))
     return ev.select(F.col("user_id").cast("string").alias("note_id"), F.col("hour").alias("batch_index"), F.col("event_id").cast("int").alias("attempt_ord"), rows.alias("events"), F.when(F.col("event_type") == "error", "failed").otherwise("").alias("error"))
 
 
@@ -92,16 +115,30 @@ def playlist_rollup(spark, d):
     return rows.select("playlist_id", F.col("artist_ord").cast("long").alias("artist_ord"), "name", F.col("song_count").cast("long").alias("song_count"), F.array_join("sample_songs", "|").alias("samples"))
 
 
+def resolved_tracks(spark, d):
+    rows = resolve_songs(*track_songs(spark, d))
+    return rows.select("playlist_id", F.col("track_ord.l_orderkey").alias("l_orderkey"), F.col("track_ord.l_linenumber").alias("l_linenumber"), "name", F.array_join("artists", "|").alias("artists"))
+
+
+def _plain(report: DataFrame) -> DataFrame:
+    return report.withColumn("sample_songs", F.array_join("sample_songs", "|"))
+
+
 def fuzzy_report(spark, d):
-    return match_report(events(spark, d), artists(spark, d), suggestions=suggested(spark, d))
+    """With the rule on small slips of spelling, which SQL can't say."""
+    return _plain(match_report(events(spark, d), artists(spark, d), suggestions=suggested(spark, d)))
+
+
+def rule_report(spark, d):
+    return _plain(match_report(events(spark, d), artists(spark, d), suggestions=suggested(spark, d), slips=False))
 
 
 def anchored(spark, d):
-    return anchored_report(events(spark, d), artists(spark, d), suggested(spark, d))
+    return _plain(anchored_report(events(spark, d), artists(spark, d), suggested(spark, d)))
 
 
 def report_sheet(spark, d):
-    return report_rows(anchored(spark, d))
+    return report_rows(anchored_report(events(spark, d), artists(spark, d), suggested(spark, d)))
 
 
 def report_json(spark, d):
@@ -124,7 +161,7 @@ def packed_requests(spark, d):
 
 
 def valid_suggestions(spark, d):
-    e, a = events(spark, d), artists(spark, d)
+    e = events(spark, d)
     batches = e.select("job_id", F.lit(0).alias("batch_id"), "event_index")
     return suggestions.accepted(suggested(spark, d), batches, e, None, 2)
 
@@ -144,14 +181,19 @@ def event_dates(spark, d):
 
 
 def overlapping_events(spark, d):
-    """Pairs of a job's events with overlapping dates, counted for each event."""
+    """The number of a job's events with dates that overlap an event's; dates are compared once for all events that have them."""
     rows = events(spark, d)
-    pairs = matching.date_overlaps(rows.select("job_id", F.col("event_index").alias("l"), F.col("date_text").alias("l_date")), rows.select("job_id", F.col("event_index").alias("r"), F.col("date_text").alias("r_date")))
-    return pairs.groupBy("job_id", F.col("l").alias("event_index")).agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("job_id", "date_text").agg(F.count("*").alias("events"))
+    pairs = matching.date_overlaps(sizes.select("job_id", F.col("date_text").alias("l"), F.col("date_text").alias("l_date")), sizes.select("job_id", F.col("date_text").alias("r"), F.col("date_text").alias("r_date")))
+    found = pairs.join(sizes.withColumnRenamed("date_text", "r"), ["job_id", "r"]).groupBy("job_id", F.col("l").alias("date_text")).agg(F.sum("events").alias("n"))
+    return rows.join(found, ["job_id", "date_text"]).select("job_id", "event_index", "n")
 
 
 def deduplicated_events(spark, d):
-    rows = events(spark, d).select(F.col("job_id").alias("note_id"), F.concat(F.lit("1."), (F.col("event_index") % 3).cast("string")).alias("date_text"), F.substring("performer", 1, 2).alias("performer"), "venue", F.col("event_index").alias("ord"))
+    """Every word of every text as a performer, on one of three dates of its source."""
+    docs = _table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("note_id"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))).alias("pos", "performer"))
+    venue = F.when(F.col("doc_id") % 5 == 0, F.lit("hall")).otherwise("")
+    rows = docs.select("note_id", F.concat(F.lit("1."), (F.col("doc_id") % 3).cast("string")).alias("date_text"), "performer", venue.alias("venue"), (F.col("doc_id") * (1 << 24) + F.col("pos")).alias("ord"))
     return fusion.deduplicated(rows, ["note_id"]).select("note_id", "ord", "date_text", "performer", "venue")
 
 
@@ -192,61 +234,17 @@ def known_pages(spark, d):
 
 
 def name_keys(spark, d):
-    rows = _table(spark, d, "documents").select(_name().alias("name"))
-    return names.name_features(rows).select("name", "key", "ocr", F.array_join("tokens", " ").alias("tokens"), F.size("grams").cast("long").alias("n_grams"), "latin")
+    """The features of every word of every text, and of the documents' names."""
+    words = _table(spark, d, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \n]")).alias("name"))
+    return names.name_features(words.unionByName(named(spark, d).select("name"))).select("name", "key", "ocr", F.array_join("tokens", " ").alias("tokens"), F.size("grams").cast("long").alias("n_grams"), "latin")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        playlist_rollup, fuzzy_report, anchored, report_sheet, report_json, exact_anchors, event_shortlists, packed_requests, valid_suggestions, recognised, layout_rows, event_dates,
+        playlist_rollup, resolved_tracks, fuzzy_report, rule_report, anchored, report_sheet, report_json, exact_anchors, event_shortlists, packed_requests, valid_suggestions, recognised, layout_rows, event_dates,
         overlapping_events, deduplicated_events, accepted_batches, note_status, fused_events, note_urls, page_images, image_manifest, known_pages, name_keys,
     )
 }
 
-_NAME = "array_to_string(list_slice(string_split(coalesce(text,''),' '),1,2),' ')"
-_EVENTS = f"""e AS (SELECT coalesce(lang,'')||'-'||(doc_id//2000)::VARCHAR AS job_id, doc_id::INT AS event_index,
-  (doc_id%12+1)::VARCHAR||'.'||(doc_id%25+1)::VARCHAR||CASE WHEN doc_id%4=1 THEN '-'||(doc_id%25+3)::VARCHAR ELSE '' END AS date_text,
-  CASE WHEN doc_id%6=1 THEN translate({_NAME},'lo','10') WHEN doc_id%10=3 THEN {_NAME}||' (live)' ELSE {_NAME} END AS performer,
-  CASE WHEN doc_id%3=0 THEN '' ELSE coalesce(lang,'') END AS venue FROM documents WHERE doc_id%2=1)"""
-_ARTISTS = f"a AS (SELECT coalesce(lang,'')||'-'||(doc_id//2000)::VARCHAR AS job_id, doc_id::INT AS artist_ord, {_NAME} AS name FROM documents WHERE doc_id%2=0)"
-_CLEAN = lambda c: rf"regexp_replace(trim(regexp_replace({c},'\s+',' ','g')),' *([/&+×]) *','\1','g')"
-_KEY = lambda c: rf"""regexp_replace(regexp_replace(translate(lower(strip_accents({_CLEAN(c)})),'丨|','ii'),'[&+]','and','g'),'[\s''"`.,:;!?()\[\]{{}}<>·•\-_/\\|（），。、！：；《》【】]','','g')"""
-_RANGE = """r AS (SELECT *, split_part(split_part(date_text,'-',1),'.',1)::INT AS m, split_part(split_part(date_text,'-',1),'.',2)::INT AS d,
-  CASE WHEN contains(date_text,'-') THEN split_part(date_text,'-',2)::INT END AS d2,
-  [0,31,59,90,120,151,181,212,243,273,304,334] AS before, [31,28,31,30,31,30,31,31,30,31,30,31] AS len FROM e),
- o AS (SELECT *, CASE WHEN coalesce(d2,d)<=len[m] AND d<=len[m] THEN before[m]+d END AS s, CASE WHEN coalesce(d2,d)<=len[m] AND d<=len[m] THEN before[m]+coalesce(d2,d) END AS t FROM r)"""
-_URL = r"regexp_extract(url,'^([a-zA-Z]+)://([^/?#]*)([^?#]*)'"
-
-ORACLE_SQL = {
-    "playlist_rollup": """WITH c AS (SELECT o_custkey AS pid, [epoch_us(o_orderdate), l_orderkey, l_linenumber, l_partkey] AS place, p_brand AS artist, trim(p_name) AS title FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey),
- t AS (SELECT pid, artist, title, count(*) AS n, min(place) AS place FROM c GROUP BY ALL),
- k AS (SELECT *, row_number() OVER (PARTITION BY pid, artist ORDER BY place) AS rk FROM t),
- g AS (SELECT pid, artist, sum(n)::BIGINT AS song_count, min(place) AS place, string_agg(title,'|' ORDER BY rk) FILTER (WHERE rk<=5) AS samples FROM k GROUP BY ALL)
-SELECT pid AS playlist_id, row_number() OVER (PARTITION BY pid ORDER BY place)-1 AS artist_ord, artist AS name, song_count, samples FROM g""",
-    "exact_anchors": f"""WITH {_EVENTS}, {_ARTISTS},
- ek AS (SELECT job_id, event_index, {_KEY('performer')} AS key, regexp_matches(lower(strip_accents(performer)),'[a-z]') AS latin FROM e),
- ak AS (SELECT job_id, artist_ord, {_KEY('name')} AS key FROM a),
- one AS (SELECT job_id, key, min(artist_ord) AS artist_ord FROM ak GROUP BY ALL HAVING count(*)=1),
- two AS (SELECT job_id, translate(key,'1i0','llo') AS ocr, min(artist_ord) AS artist_ord FROM ak GROUP BY ALL HAVING count(*)=1),
- f AS (SELECT job_id, event_index, artist_ord FROM ek JOIN one USING (job_id, key) WHERE key<>'')
-SELECT * FROM f UNION ALL SELECT ek.job_id, event_index, two.artist_ord FROM ek JOIN two ON ek.job_id=two.job_id AND translate(ek.key,'1i0','llo')=two.ocr WHERE ek.key<>'' AND latin AND length(ek.key)>=4 AND NOT EXISTS (SELECT 1 FROM f WHERE f.job_id=ek.job_id AND f.event_index=ek.event_index)""",
-    "event_dates": f"""WITH {_EVENTS}, {_RANGE} SELECT event_index, date_text, m AS month, d AS day, s::INT AS first_day, t::INT AS last_day, coalesce(t-s+1,1)::INT AS days,
- m::VARCHAR||'月'||d::VARCHAR||'日'||CASE WHEN d2 IS NULL THEN '' ELSE '-'||d2::VARCHAR||'日' END AS shown, (m*100+d)::INT AS sort_key FROM o""",
-    "overlapping_events": f"""WITH {_EVENTS}, {_RANGE}, v AS (SELECT job_id, event_index, date_text, s, unnest(CASE WHEN s<=31 THEN [0,365] ELSE [0] END) AS shift, s AS s0, t FROM o)
-SELECT x.job_id, x.event_index, count(DISTINCT y.event_index) AS n FROM v x JOIN v y ON x.job_id=y.job_id AND ((x.s IS NULL OR y.s IS NULL) AND x.date_text=y.date_text OR x.s+x.shift<=y.t+y.shift AND y.s+y.shift<=x.t+x.shift) GROUP BY ALL""",
-    "recognised": f"""WITH {_EVENTS} SELECT job_id AS note_id, event_index AS batch_index, date_text, {_CLEAN('performer')} AS performer, venue FROM e WHERE {_CLEAN('performer')}<>''""",
-    "deduplicated_events": f"""WITH {_EVENTS}, x AS (SELECT job_id AS note_id, event_index AS ord, '1.'||(event_index%3)::VARCHAR AS date_text, substr(performer,1,2) AS performer, venue, lower(regexp_replace({_CLEAN('substr(performer,1,2)')},'[^\\p{{L}}\\p{{N}}_]','','g')) AS k FROM e),
- g AS (SELECT note_id, date_text, k, min(ord) AS first, coalesce(min(ord) FILTER (WHERE venue<>''), min(ord)) AS best FROM x WHERE k<>'' GROUP BY ALL)
-SELECT g.note_id, g.first AS ord, g.date_text, x.performer, x.venue FROM g JOIN x ON x.note_id=g.note_id AND x.ord=g.best""",
-    "note_status": """WITH x AS (SELECT user_id, hour(ts) AS h, event_id, event_type, floor(coalesce(value,0))::INT%5 AS n, row_number() OVER (PARTITION BY user_id, hour(ts) ORDER BY event_id) AS rk FROM events)
-SELECT user_id::VARCHAR AS note_id, count(*) FILTER (WHERE NOT (coalesce(event_type,'')<>'error' AND n>0)) AS failed, count(*) AS total FROM x WHERE rk=1 GROUP BY user_id""",
-    "note_urls": rf"""SELECT page_id, u AS note_url, sha256(u) AS note_key, lower({_URL},1))||'://'||lower({_URL},2))||regexp_replace({_URL},3),'/+$','') AS mark FROM (SELECT *, lower({_URL},1))||'://'||lower({_URL},2))||coalesce(nullif(regexp_replace({_URL},3),'/+$',''),''),'/') AS u FROM pages)""",
-    "page_images": """WITH t AS (SELECT page_id, regexp_extract_all(replace(html,'<a href=','<img data-xhs-img src='),'(?i)<img\\b[^>]*data-xhs-img[^>]*>') AS tags FROM pages),
- u AS (SELECT page_id, list_filter(list_transform(tags, lambda t: regexp_extract(t,'\\bsrc="([^"]+)"',1)), lambda x: x<>'') AS raw FROM t),
- v AS (SELECT page_id, list_transform(raw, lambda x: CASE WHEN contains(x,'http://') THEN regexp_replace(replace(x,'&amp;','&'),'http://','https://') ELSE replace(x,'&amp;','&') END) AS a FROM u),
- w AS (SELECT page_id, list_slice(list_filter(a, lambda x, i: list_position(a,x)=i),1,20) AS a FROM v)
-SELECT page_id, coalesce(len(a),0)::BIGINT AS n, coalesce(array_to_string(a,' '),'') AS urls FROM w""",
-    "image_manifest": """SELECT doc_id, 'image.'||(['jpg','PNG','gif','webp'])[doc_id%4+1] AS filename FROM documents WHERE doc_id%4<>2 AND n_chars BETWEEN 1 AND 5000 AND doc_id%500 BETWEEN 1 AND 450 AND (doc_id%500)*400<=150000""",
-    "known_pages": rf"""WITH p AS (SELECT page_id, lower({_URL},1))||'://'||lower({_URL},2))||coalesce(nullif(regexp_replace({_URL},3),'/+$',''),''),'/') AS u FROM pages) SELECT page_id, u IN (SELECT u FROM p WHERE page_id%3=0) AS known FROM p""",
-}
+ORACLE_SQL = queries_sql.ORACLE_SQL

@@ -91,7 +91,7 @@ def report_rows(matches: DataFrame) -> DataFrame:
     """job_id and the report's seven columns, in order within a job."""
     values = ["index", "date_display", "artist_name", "venue", "playlist_song_count", F.array_join("sample_songs", "；"), "confidence"]
     named = [(F.col(v) if isinstance(v, str) else v).alias(h) for v, h in zip(values, HEADERS, strict=True)]
-    return matches.repartition("job_id").sortWithinPartitions("job_id", "index").select("job_id", *named)
+    return matches.repartitionByRange("job_id", "index").sortWithinPartitions("job_id", "index").select("job_id", *named)
 
 
 def write_report(matches: DataFrame, path: str) -> None:
