@@ -164,3 +164,57 @@ def test_roll_up(spark):
     own = spark.createDataFrame([("p", "3", "Three", ["A"])], "playlist_id string, song_id string, name string, artists array<string>")
     got = roll_up(resolve_songs(tracks, details, own)).orderBy("artist_ord").collect()
     assert [(r.name, r.song_count, r.sample_songs) for r in got] == [("A", 5, ["One", "Three"]), ("B", 3, ["One"])]
+
+
+def test_numbers_of_large_groups(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), rng.randint(0, 50), i) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "job_id string, x int, i int").repartition(7)
+    got = {(r.job_id, r.i): r["index"] for r in m.counted(frame, "job_id", -F.col("x"), F.col("i")).collect()}
+    places = {}
+    for job, x, i in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        places[job] = places.get(job, 0) + 1
+        assert got[job, i] == places[job]
+    assert len(got) == len(rows)
+
+
+def test_overlaps_against_a_plain_loop(spark):
+    """Long ranges first, then score, confidence, a venue, songs, order; a match stays unless it meets one that stayed."""
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        month, day = rng.randint(1, 3), rng.randint(1, 28)
+        text = rng.choice([f"{month}.{day}", f"{month}.{day}-{day + rng.randint(1, 3)}", "12.30-1.2", "tbd", "t bd"])
+        rows.append(("j", i, text, f"artist {rng.randint(1, 6)}", rng.choice(["", "hall"]), rng.choice([0.87, 1.0]), rng.choice(["高", "中"]), rng.randint(1, 3)))
+    frame = spark.createDataFrame(rows, "job_id string, i int, date_text string, artist_name string, venue string, score double, confidence string, song_count int")
+    frame = frame.select("*", F.struct(F.lit(0).alias("origin"), F.col("i").alias("event_index"), F.lit(0).alias("artist_ord")).alias("ord"), F.col("artist_name").alias("performer"), F.lit("").alias("image_name"), F.array().cast("array<string>").alias("sample_songs"), F.lit("m").alias("method"), F.lit("a").alias("matched_alias"))
+
+    def span(text):
+        if not text[0].isdigit():
+            return None
+        first, *last = text.split("-")
+        days = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]
+        length = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+        month, day = map(int, first.split("."))
+        month2, day2 = (map(int, last[0].split(".")) if "." in last[0] else (month, int(last[0]))) if last else (month, day)
+        if day > length[month - 1] or day2 > length[month2 - 1]:
+            return None
+        s, e = days[month - 1] + day, days[month2 - 1] + day2
+        return (s, e + 365 if e < s else e)
+
+    def meet(a, b):
+        x, y = span(a), span(b)
+        if x is None or y is None:
+            return a.replace(" ", "") == b.replace(" ", "")
+        moved = lambda r: [r, *[(r[0] + 365, r[1] + 365)] * (r[0] <= 31), *[(r[0] - 365, r[1] - 365)] * (r[1] > 365)]
+        return any(p[0] <= q[1] and q[0] <= p[1] for p in moved(x) for q in moved(y))
+
+    days = lambda text: max(1, span(text)[1] - span(text)[0] + 1) if span(text) else 1
+    kept = []
+    for r in sorted(rows, key=lambda r: (-days(r[2]), -r[5], {"高": -3, "中": -2}[r[6]], r[4] == "", -r[7], r[1])):
+        if not any(k[3] == r[3] and meet(k[2], r[2]) for k in kept):
+            kept.append(r)
+    names = m.Names(frame.select("artist_name"))
+    for order in (F.rand(1), F.rand(2)):
+        got = m.without_overlaps(frame.orderBy(order), names).select("rank.ord.event_index").collect()
+        assert sorted(r[0] for r in got) == sorted(k[1] for k in kept)
+    assert 20 < len(kept) < 300
