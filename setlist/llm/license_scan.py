@@ -37,8 +37,8 @@ GRAMS = (5, 2)
 SLACK = 3
 #: Share of a template's words that a place needs, in order, to name its license; of the whole texts, of LONG words.
 LEAST, LEAST_LONG, LONG = 0.75, 0.9, 40
-BROADCAST_POSITIONS = 200_000
-BROADCAST_DOCUMENTS = 20_000
+#: Positions of templates, and places to verify, up to which they are broadcast.
+BROADCAST_POSITIONS, BROADCAST_PLACES = 200_000, 100_000
 
 
 class Template(NamedTuple):
@@ -235,7 +235,8 @@ def license_places(docs: DataFrame, rules: list[Rule], slack: int = SLACK) -> Da
     places = durable(places)
 
     whole = docs.select(F.col("doc_id").cast("long").alias("key"), text_key(F.col("text")).alias("text_key"), "text")
-    near = F.broadcast(places) if places.count() <= BROADCAST_DOCUMENTS else places
+    there = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    near = F.broadcast(places) if there <= BROADCAST_PLACES else places
     texts = whole.join(near, (whole.text_key == near.text_key) & whole.key.eqNullSafe(near.key)).select(whole.key, whole.text_key, "text", "places")
     kind = "array<struct<template:int,start:bigint,end:bigint,exact:boolean,score:double>>"
     verified = texts.mapInArrow(_verify(rules), f"key long, text_key long, places {kind}").dropDuplicates(["key", "text_key"])
