@@ -34,7 +34,8 @@ def compact(text: Column) -> Column:
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    # Casting an empty text costs an exception each time, a null nothing.
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
 
 
 def parse_date(text: Column) -> Column:
