@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from setlist.functions import dates, names, urls
 from setlist.operators import fusion, layout, matching, responses, suggestions
 from setlist.operators.playlist import resolve_songs, roll_up
+from setlist.operators.stage import staged
 from setlist.plans import queries_sql
 from setlist.plans.match import anchored_report, job_counts, match_report
 from setlist.sources.tables import report_rows, result_json
@@ -57,28 +58,34 @@ def track_songs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     return tracks, details.select("song_id", F.concat("v.version", "p_name").alias("name"), "artists", "v.ord"), own
 
 
-def artists(spark: SparkSession, d: str) -> DataFrame:
-    return named(spark, d).select("job_id", F.col("doc_id").cast("int").alias("artist_ord"), "name", (F.col("doc_id") % 7 + 1).cast("int").alias("song_count"), F.array(F.concat(F.lit("song "), F.col("doc_id").cast("string"))).alias("sample_songs"))
+def artists(documents: DataFrame) -> DataFrame:
+    return documents.select("job_id", F.col("doc_id").cast("int").alias("artist_ord"), "name", (F.col("doc_id") % 7 + 1).cast("int").alias("song_count"), F.array(F.concat(F.lit("song "), F.col("doc_id").cast("string"))).alias("sample_songs"))
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
+def events(documents: DataFrame) -> DataFrame:
     """Every document's name, some with look-alike digits, an addition, a guest, or other letters."""
     name, own = F.col("name"), F.expr("doc_id % 11 = 5")
     performer = F.when(F.expr("doc_id % 6 = 1"), F.translate(name, "lo", "10")).when(F.expr("doc_id % 10 = 3"), F.concat(name, F.lit(" (live)"))).when(F.expr("doc_id % 7 = 3"), F.concat(name, F.lit(" & Guest"))).when(own, F.translate(name, "aeinrst", "einrsta")).otherwise(name)
     month, day = F.col("doc_id") % 12 + 1, F.col("doc_id") % 25 + 1
     date = F.concat(month.cast("string"), F.lit("."), day.cast("string"), F.when(F.expr("doc_id % 4 = 1"), F.concat(F.lit("-"), (day + 2).cast("string"))).otherwise(""))
-    return named(spark, d).select("job_id", F.col("doc_id").cast("int").alias("event_index"), date.alias("date_text"), performer.alias("performer"), F.when(F.expr("doc_id % 3 = 0"), "").otherwise(F.col("lang")).alias("venue"), F.lit("").alias("image_name"))
+    return documents.select("job_id", F.col("doc_id").cast("int").alias("event_index"), date.alias("date_text"), performer.alias("performer"), F.when(F.expr("doc_id % 3 = 0"), "").otherwise(F.col("lang")).alias("venue"), F.lit("").alias("image_name"))
 
 
-def suggested(spark: SparkSession, d: str) -> DataFrame:
+def suggested(documents: DataFrame) -> DataFrame:
     """An answer for every event: its document's name, with the confidence by id."""
     confidence = F.element_at(F.array(*map(F.lit, responses.CONFIDENCES)), (F.col("doc_id") % 3 + 1).cast("int"))
-    return named(spark, d).select("job_id", F.lit(0).alias("batch_id"), F.col("doc_id").cast("int").alias("event_index"), F.col("name").alias("artist_name"), confidence.alias("confidence"), F.lit("same words").alias("reason"), F.col("name").alias("event_performer"))
+    return documents.select("job_id", F.lit(0).alias("batch_id"), F.col("doc_id").cast("int").alias("event_index"), F.col("name").alias("artist_name"), confidence.alias("confidence"), F.lit("same words").alias("reason"), F.col("name").alias("event_performer"))
+
+
+def listings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, artists and suggestions; the documents' names are worked out once."""
+    documents = staged(named(spark, d))
+    return events(documents), artists(documents), suggested(documents)
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """Fenced JSON of one event for each document."""
-    rows = events(spark, d)
+    rows = events(named(spark, d))
     item = F.struct(F.col("date_text").alias("date"), F.col("performer").alias("artist"), F.col("venue").alias("location"))
     raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("rows"))), F.lit("\n``` done"))
     return rows.select(F.col("job_id").alias("note_id"), F.col("event_index").alias("batch_index"), F.lit(0).alias("attempt_ord"), raw.alias("raw_text"))
@@ -126,44 +133,48 @@ def _plain(report: DataFrame) -> DataFrame:
 
 def fuzzy_report(spark, d):
     """With the rule on small slips of spelling, which SQL can't say."""
-    return _plain(match_report(events(spark, d), artists(spark, d), suggestions=suggested(spark, d)))
+    e, a, s = listings(spark, d)
+    return _plain(match_report(e, a, suggestions=s))
 
 
 def rule_report(spark, d):
-    return _plain(match_report(events(spark, d), artists(spark, d), suggestions=suggested(spark, d), slips=False))
+    e, a, s = listings(spark, d)
+    return _plain(match_report(e, a, suggestions=s, slips=False))
 
 
 def anchored(spark, d):
-    return _plain(anchored_report(events(spark, d), artists(spark, d), suggested(spark, d)))
+    return _plain(anchored_report(*listings(spark, d)))
 
 
 def report_sheet(spark, d):
-    return report_rows(anchored_report(events(spark, d), artists(spark, d), suggested(spark, d)))
+    return report_rows(anchored_report(*listings(spark, d)))
 
 
 def report_json(spark, d):
-    e, a = events(spark, d), artists(spark, d)
-    found = anchored_report(e, a, suggested(spark, d))
+    e, a, s = listings(spark, d)
+    found = anchored_report(e, a, s)
     return result_json(found, job_counts(found, a, e))
 
 
 def exact_anchors(spark, d):
-    return matching.exact_anchors(events(spark, d), artists(spark, d)).select("job_id", "event_index", "artist_ord")
+    e, a, _ = listings(spark, d)
+    return matching.exact_anchors(e, a).select("job_id", "event_index", "artist_ord")
 
 
 def event_shortlists(spark, d):
-    return suggestions.shortlists(events(spark, d), artists(spark, d))
+    e, a, _ = listings(spark, d)
+    return suggestions.shortlists(e, a)
 
 
 def packed_requests(spark, d):
-    e = events(spark, d)
-    return suggestions.request_batches(e, suggestions.shortlists(e, artists(spark, d)))
+    e, a, _ = listings(spark, d)
+    return suggestions.request_batches(e, suggestions.shortlists(e, a))
 
 
 def valid_suggestions(spark, d):
-    e = events(spark, d)
+    e, _, s = listings(spark, d)
     batches = e.select("job_id", F.lit(0).alias("batch_id"), "event_index")
-    return suggestions.accepted(suggested(spark, d), batches, e, None, 2)
+    return suggestions.accepted(s, batches, e, None, 2)
 
 
 def recognised(spark, d):
@@ -175,14 +186,14 @@ def layout_rows(spark, d):
 
 
 def event_dates(spark, d):
-    rows = events(spark, d)
+    rows = events(named(spark, d))
     span, first = dates.parse_date_range(F.col("date_text")), dates.parse_date(F.col("date_text"))
     return rows.select("event_index", "date_text", first["month"].alias("month"), first["day"].alias("day"), span["s"].alias("first_day"), span["e"].alias("last_day"), dates.span_days(span).alias("days"), dates.display(F.col("date_text")).alias("shown"), dates.sort_key(F.col("date_text")).alias("sort_key"))
 
 
 def overlapping_events(spark, d):
     """The number of a job's events with dates that overlap an event's; dates are compared once for all events that have them."""
-    rows = events(spark, d)
+    rows, _, _ = listings(spark, d)
     sizes = rows.groupBy("job_id", "date_text").agg(F.count("*").alias("events"))
     pairs = matching.date_overlaps(sizes.select("job_id", F.col("date_text").alias("l"), F.col("date_text").alias("l_date")), sizes.select("job_id", F.col("date_text").alias("r"), F.col("date_text").alias("r_date")))
     found = pairs.join(sizes.withColumnRenamed("date_text", "r"), ["job_id", "r"]).groupBy("job_id", F.col("l").alias("date_text")).agg(F.sum("events").alias("n"))
