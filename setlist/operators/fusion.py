@@ -39,10 +39,10 @@ def accepted_attempts(results: DataFrame, threshold: int = LOW_RESULT, fallback:
     The first attempt with `threshold` rows ends the search, and so do all earlier low ones once two or more
     agree on their keys. Without fallback only the first attempt counts, with any rows.
     """
-    keys = F.array_sort(F.array_distinct(F.filter(F.transform("events", lambda e: F.struct(e["date_text"].alias("d"), performer_key(e["performer"]).alias("k"))), lambda x: x["k"] != "")))
+    keys = F.sort_array(F.array_distinct(F.filter(F.transform("events", lambda e: F.struct(e["date_text"].alias("d"), performer_key(e["performer"]).alias("k"))), lambda x: x["k"] != "")))
     good = (F.coalesce("error", F.lit("")) == "") & (F.size("events") > 0)
     item = F.struct("attempt_ord", good.alias("good"), F.size("events").alias("n"), keys.alias("keys"))
-    batches = results.groupBy("note_id", "batch_index").agg(F.array_sort(F.collect_list(item)).alias("tries"))
+    batches = results.groupBy("note_id", "batch_index").agg(F.sort_array(F.collect_list(item)).alias("tries"))
     if not fallback:
         first = F.element_at("tries", 1)
         return batches.select("note_id", "batch_index", F.when(first["good"], first["attempt_ord"]).alias("upto"))

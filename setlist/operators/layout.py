@@ -46,7 +46,7 @@ def is_summary_performer(plain: Column) -> Column:
 
 def clustered(lines: Column) -> Column:
     """Lines by height with the number of their row: a line joins the row whose mean height so far is near."""
-    sized = F.array_sort(F.transform(lines, lambda x: F.struct(((x["y1"] + x["y2"]) / 2).alias("cy"), x["line_ord"].alias("line_ord"), x["text"].alias("raw"), x["x1"].alias("x1"), x["x2"].alias("x2"))))
+    sized = F.sort_array(F.transform(lines, lambda x: F.struct(((x["y1"] + x["y2"]) / 2).alias("cy"), x["line_ord"].alias("line_ord"), x["text"].alias("raw"), x["x1"].alias("x1"), x["x2"].alias("x2"))))
     kind = "array<struct<row:int,cy:double,line_ord:int,raw:string,x1:double,x2:double>>"
     begin = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
@@ -62,7 +62,7 @@ def clustered(lines: Column) -> Column:
 def column_starts(lines: Column) -> Column:
     """Left edges of date columns: dates from left to right, each farther than a column's width from all before."""
     dates = F.filter(lines, lambda x: x["dated"] & ~x["raw"].rlike("^[-－–—]"))
-    return F.aggregate(F.array_sort(F.transform(dates, lambda x: x["x1"])), F.array().cast("array<double>"), lambda s, x: F.when(F.forall(s, lambda y: F.abs(x - y) > COLUMN), F.array_append(s, x)).otherwise(s))
+    return F.aggregate(F.sort_array(F.transform(dates, lambda x: x["x1"])), F.array().cast("array<double>"), lambda s, x: F.when(F.forall(s, lambda y: F.abs(x - y) > COLUMN), F.array_append(s, x)).otherwise(s))
 
 
 def _prepared(images: DataFrame) -> DataFrame:

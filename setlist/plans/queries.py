@@ -26,7 +26,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _words():
     """The distinct words of a whole text, the longest first."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0)))
-    return F.array_sort(F.transform(found, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("word"))))["word"]
+    return F.sort_array(F.transform(found, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("word"))))["word"]
 
 
 def named(spark: SparkSession, d: str) -> DataFrame:
