@@ -123,6 +123,9 @@ def test_token_counts(spark):
                 assert token_counts.prefix_count(t, cut, ends, counts, vocabulary) == len(library.encode(t[:cut], add_special_tokens=False).ids)
     part = b" antidisestablishmentarianism"
     assert vocabulary.prefix_counts(part)[1:] == [len(vocabulary.library.encode_single_piece(part[:i])) for i in range(1, len(part) + 1)]
+    assert token_counts.token_counts(docs(spark, []), path).count() == 0
+    twice = token_counts.token_counts(docs(spark, ["a b", "a b"]).union(docs(spark, ["a b"])), path).collect()
+    assert len(twice) == 3 and {(r.n_bytes, r.n_tokens) for r in twice} == {(3, 2)}
     ends = token_counts.within_budget(docs(spark, ["a b c d"]), path, 2).first()
     assert ends.prefix_end == 3
 
