@@ -40,7 +40,7 @@ SEED = 17
 RANK_SHIFT = 10.0
 _MARK = SPACE.encode()
 #: Bytes of text whose lattices are held at once; each takes some 500 bytes of memory.
-_SLICE = 1 << 18
+_SLICE = 1 << 17
 #: Scales probabilities by exp(SCALE) a byte, so that those of usual units stay near 1.
 SCALE = 2.5
 
