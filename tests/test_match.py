@@ -1,4 +1,5 @@
 import difflib
+import json
 import random
 
 import pytest
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 
 from setlist.operators import matching as m
 from setlist.operators import suggestions as s
+from setlist.operators.blocking import near_pairs
 from setlist.operators.playlist import resolve_songs, roll_up
-from setlist.operators.scoring import score_pair
+from setlist.operators.scoring import relevance, score_pair
 from setlist.plans.match import anchored_report, job_counts, match_report
 from setlist.sources.tables import HEADERS, report_rows, result_json
 
@@ -140,11 +142,56 @@ def test_shortlists(spark):
     assert orders[0] == orders[1]
 
 
+def _varied(rng, stems, times=2):
+    x = rng.choice(stems)
+    for _ in range(rng.randint(0, times)):
+        i = rng.randrange(len(x) + 1)
+        x = x[:i] + rng.choice("lo1 iabße") + x[i + rng.randint(0, 1) :]
+    return x
+
+
+def test_shortlists_against_all_pairs(spark):
+    rng = random.Random(11)
+    stems = ["zella day", "ab", "a", "jackson wang", "the band of gold", "gold band", "gold", "林志炫", "林志炫乐队", "志炫", "broken social scene", "br0ken soc1al scene", "social scene", "molly nilsson", "molly nillson", "a very long name that goes on and on for ever", "very long name that goes on and on for", "Straße", "STRASSE", "-", "x & y", "Zella (Day)"]
+    jobs = {j: ([("7.1", _varied(rng, stems), "") for _ in range(60)], [(_varied(rng, stems), 1, []) for _ in range(70)]) for j in ("p", "q")}
+    jobs["few"] = ([("7.1", "gold", ""), ("7.1", "", "")], [("Gold", 1, []), ("gold", 1, []), ("GOLD", 1, [])])
+    jobs["same"] = ([("7.1", "zella day", "")] * 30, [("Zella Day", 1, [])] * 40)
+    e, a = tables(spark, jobs)
+    names = m.Names(e.select("performer"), a.select("name"))
+    left = e.select("job_id", "event_index", "performer").join(names.aliases.select(F.col("name").alias("performer"), F.col("f").alias("x")), "performer", "left")
+    every = left.join(names.of(a, "name").withColumnRenamed("f", "y"), "job_id").groupBy("job_id", "event_index", "artist_ord", "name", "y.key", "y.name_cf").agg(F.max(F.when(F.col("x").isNotNull(), relevance(F.col("x"), F.col("y")))).alias("r"))
+    pairs = {}
+    for r in every.collect():
+        pairs.setdefault((r.job_id, r.event_index), []).append((r.r or (0, 0.0), r.key, r.name_cf, r.artist_ord))
+    for k in (1, 4):
+        expected = {}
+        for event, own in pairs.items():
+            own.sort(key=lambda x: (-x[0][0], -x[0][1], *x[1:]))
+            expected[event] = [(i + 1, x[3], x[0][0], pytest.approx(x[0][1])) for i, x in enumerate(own[:k])]
+        got = {}
+        for r in s.shortlists(e, a, k).orderBy("rank").collect():
+            got.setdefault((r.job_id, r.event_index), []).append((r["rank"], r.artist_ord, r.tier, r.score))
+        assert got == expected
+
+
+def test_few_pairs_are_scored(spark):
+    rng = random.Random(12)
+    syllables = [c + v + e for c in "bdfgklmnprstvz" for v in "aeiou" for e in ("", "n", "r", "st")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(4, 6)))
+    jobs = {"j": ([("7.1", f"{word()} {word()}", "") for _ in range(600)], [(f"{word()} {word()}", 1, []) for _ in range(600)])}
+    e, a = tables(spark, jobs)
+    search, _ = s._nearest(e, a, m.Names(e.select("performer"), a.select("name")), 5)
+    scored = near_pairs(search.performers, search.known, "job_id", ["alias"], ["artist"]).count() + search.likely.count()
+    assert search.nearest_by_bigrams.count() <= 600 * 5 and scored < 0.05 * 600 * 600
+
+
 def test_batches(spark):
     e, a = tables(spark, {"j": ([("7.1", f"Artist {i}", "") for i in range(45)], [(f"Artist {i}", 1, []) for i in range(60)])})
     lists = s.shortlists(e, a)
     assert lists.groupBy("event_index").count().where("count <> 5").count() == 0
-    assert [r.n_events for r in s.request_batches(e, lists).orderBy("batch_id").collect()] == [20, 20, 5]
+    batches = s.request_batches(e.repartition(5), lists).orderBy("batch_id").collect()
+    assert [r.n_events for r in batches] == [20, 20, 5]
+    assert [x["event_index"] for r in batches for x in json.loads(r.request)["events"]] == list(range(45))
 
 
 def test_suggestion_gates(spark):
