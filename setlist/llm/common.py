@@ -48,7 +48,7 @@ def written(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     _checkpoint_folder(df.sparkSession)
     path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": 1 << 24}).parquet(path)  # what a task holds of it
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,25 +1,29 @@
 """Alignment of two tokenizers' tokens over the same texts, and how often ids meet.
 
 Both tokenizers cut the bytes of a text, a space before it. Offsets at which tokens of
-both end cut the tokens into groups; two tokens link if they share a group. Texts of most
-languages are long stretches in which each token of one is a token of the other. Diagonal
-run skipping jumps them: at the current shift between the two lists of token ends, slices
-of doubling length are compared, and the first place that differs is found by halving.
-There the irregular group is walked token by token up to the next common end, which gives
-the shift from which the next run is probed.
-
-Ids and sizes of groups are written once, column by column. A first pass over them counts
-the documents that hold an id pair linked, added up in each task before the shuffle. A
-second one looks up the counts of each document's links: those of the FREQUENT most
-frequent pairs, which most links are, in the task, the others by a join on the pair, of
-which none is hot any more. The largest count of each id is bounded by the vocabulary.
+both end cut the tokens into groups; two tokens link if they share a group. Most texts are
+long stretches in which each token of one is a token of the other. Diagonal run skipping
+jumps them: at the current shift between the two lists of token ends, slices of doubling
+length are compared, and the first place that differs is found by halving. There the
+irregular group is walked token by token up to the next common end, which gives the shift
+from which the next run is probed.
+
+A single blank between two characters that are no white space begins a token of either
+tokenizer, whatever else the text holds. So stretches between such blanks are encoded and
+aligned one after the other in long lists, each distinct one once, and remembered for a
+while by their text; a document is put together from its stretches.
+
+Each document's distinct id pairs and their links are written once, column by column.
+Counting the documents of each pair is a grouping with partial sums. The counts of a
+document's links are then looked up: those of the FREQUENT most frequent pairs, which most
+links are, in the task, the others by a join on the pair, of which none is hot any more.
+The largest count of each id is bounded by the vocabulary.
 
 Defined results: a null or empty text, and one that either tokenizer doesn't give back
 byte for byte (U+2581 reads as a space), has no tokens and no groups; repeated rows are
-documents each; very long texts are encoded in pieces cut where both tokenizers cut in
-any case, which changes nothing, and of large groups the products of the ids' numbers are
-taken, not the links themselves; equal counts all are an id's best; an empty table gives an
-empty one; other columns are not read.
+documents each; equal counts all are an id's best; very long texts are aligned whole, and
+of a large group the products of its ids' numbers are taken, not each link by itself; an
+empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,30 +45,59 @@ from setlist.llm.lattice import SPACE
 
 #: Id pairs whose counts tasks hold (16 bytes each); the others are joined.
 FREQUENT = 1 << 18
-#: Bytes of text encoded and aligned at once.
-_SLICE = 1 << 19
-#: Characters from which a text is encoded in pieces.
-_PIECE = 1 << 16
-#: Distinct pairs that a task adds up before it passes them on.
-_HELD = 1 << 20
-#: Places where neither tokenizer has a token across: a blank between two letters begins one.
-_CUT = re.compile("(?<=[a-z]) (?=[a-z])")
+#: Bytes of text put together at once, and documents at most.
+_SLICE, _ROWS = 1 << 19, 1 << 12
+#: Stretches, and tokens of them, that are remembered.
+_STRETCHES, _TOKENS = 150_000, 2_000_000
+#: Stretches that are encoded in one go.
+_TOGETHER = 500
+#: A pair is the first id times 2^20 and the second.
+_SHIFT = 20
+_BLANK = re.compile(r" (?<=\S )(?=\S)")
 
 
 @dataclass
 class Tokenizers:
-    """Both tokenizers, the bytes of each of their tokens, and the decimal names of their ids by separator."""
+    """Both tokenizers and the bytes of each of their tokens."""
 
     byte_level: object
     pieces: object
     surface: tuple[list[bytes], list[bytes]]
     sizes: tuple[np.ndarray, np.ndarray]
-    whole: bool  # whether texts can't be cut at _CUT
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
-        """Ids of each text with a space before, by either."""
-        encode, none = self.byte_level.encode_to_numpy, ()
-        return [encode(" " + t, disallowed_special=none) for t in texts], self.pieces.encode(texts, num_threads=1)
+    decimal: list[bytes]
+    whole: bool  # whether texts can't be cut at blanks
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a text with a space before, by either."""
+        return self.byte_level.encode_ordinary(" " + text), self.pieces.encode(text, num_threads=1)
+
+    def encode_each(self, texts: list[str], rough: list[str] = ()) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """By either tokenizer the ids of stretches one after the other, and n + 1 positions where they end; whether each is given back byte for byte: others have no ids.
+
+        texts: stretches without white space at their ends, encoded together with a blank between them; rough: others, after those.
+        """
+        step = 1 if self.whole else _TOGETHER
+        runs = [texts[k : k + step] for k in range(0, len(texts), step)] + [[t] for t in rough]
+        ids, counts, good = ([], []), ([], []), []
+        while runs:
+            run = runs.pop(0)
+            text = " ".join(run)
+            own, data = self.encode(text), (" " + text).encode()
+            if all(b"".join(map(surface.__getitem__, x)) == data for x, surface in zip(own, self.surface, strict=True)):
+                stops = np.cumsum(np.array(list(map(len, map(str.encode, run))), np.int64) + 1)
+                for side in (0, 1):
+                    x = np.array(own[side], np.int64)
+                    ids[side].append(x)
+                    counts[side].append(np.diff(np.searchsorted(np.cumsum(self.sizes[side][x]), stops, "right"), prepend=0))
+                good += [True] * len(run)
+            elif len(run) > 1:
+                runs[:0] = [[t] for t in run]
+            else:
+                good.append(False)
+                for side in (0, 1):
+                    counts[side].append(np.zeros(1, np.int64))
+        none = np.zeros(0, np.int64)
+        return [np.concatenate([none, *x]) for x in ids], [_ends(np.concatenate([none, *x])) for x in counts], np.array(good, bool)
 
 
 @lru_cache(maxsize=1)
@@ -83,17 +115,11 @@ def load_tokenizers(ranks_path: str, pattern: str, model_path: str) -> Tokenizer
         first[rank] = token
     names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
     second = [bytes([int(n[3:5], 16)]) if pieces.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
-    whole = any(SPACE in n.lstrip(SPACE) for n in names)
-    return Tokenizers(byte_level, pieces, (first, second), tuple(np.array(list(map(len, s))) for s in (first, second)), whole)
-
-
-def pieces_of(text: str, size: int = _PIECE) -> list[str]:
-    """A text in pieces of `size` characters or somewhat more; the blank at which it is cut is in none of them."""
-    found, begin = [], 0
-    while len(text) - begin > size and (cut := _CUT.search(text, begin + size)):
-        found.append(text[begin : cut.start()])
-        begin = cut.end()
-    return [*found, text[begin:]]
+    if max(len(first), len(second)) > 1 << _SHIFT:
+        raise ValueError(f"ids have {_SHIFT} bits")
+    decimal = [b"%d%c" % (i, sign) for i in range(max(len(first), len(second))) for sign in b",|;"]
+    sizes = tuple(np.array(list(map(len, x)), np.int64) for x in (first, second))
+    return Tokenizers(byte_level, pieces, (first, second), sizes, decimal, any(SPACE in n.lstrip(SPACE) for n in names))
 
 
 def align(a: list[int], b: list[int]) -> np.ndarray:
@@ -125,6 +151,87 @@ def align(a: list[int], b: list[int]) -> np.ndarray:
     return np.array(irregular, np.int64).reshape(-1, 4)
 
 
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """n + 1 positions from the sizes of n things."""
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of each of several ranges, one range after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
+class Stretches:
+    """What stretches of text have: tokens, groups and links. Numbered from 0 as they come.
+
+    The first ones that come, among which the frequent ones are, are remembered; once there are enough, later ones are
+    known for one slice of text each.
+    sizes: tokens of either side, groups, links and distinct pairs of each stretch; bad: not given back byte for byte.
+    """
+
+    def __init__(self, tokenizers: Tokenizers, lists: bool = False) -> None:
+        self.tokenizers, self.lists = tokenizers, lists
+        self.number: dict[str, int] = {}
+        self.names: list[bytes] = []
+        self.sizes, self.bad = np.zeros((5, 0), np.int64), np.zeros(0, bool)
+        self.pairs = self.links = np.zeros(0, np.int64)
+        self.ids = [np.zeros(0, np.int64)] * 2
+        self.members = [np.zeros(0, np.int64)] * 2
+        self.passing: list[str] = []
+
+    def forget(self) -> None:
+        """Drops the stretches of the last slice if there are enough others."""
+        if len(self.number) <= _STRETCHES and self.sizes[:2].sum() <= _TOKENS:
+            self.passing = []
+            return
+        for t in self.passing:
+            del self.number[t]
+        self.passing = []
+        n = len(self.number)
+        del self.names[n:]
+        self.sizes, self.bad = self.sizes[:, :n], self.bad[:n]
+        a, b, groups, _, pairs = self.sizes.sum(axis=1).tolist()
+        self.pairs, self.links = self.pairs[:pairs], self.links[:pairs]
+        self.ids = [x[:k] for x, k in zip(self.ids, (a, b), strict=True)]
+        self.members = [x[:groups] for x in self.members]
+
+    def add(self, texts: list[str]) -> None:
+        """Encodes and aligns stretches that are not known yet."""
+        plain = [t for t in texts if t == t.strip()]
+        rough = [t for t in texts if t != t.strip()] if len(plain) < len(texts) else []
+        texts = plain + rough
+        self.passing += texts
+        ids, cuts, good = self.tokenizers.encode_each(plain, rough)
+        ends = [np.cumsum(size[i]) for i, size in zip(ids, self.tokenizers.sizes, strict=True)]
+        irregular = align(ends[0].tolist(), ends[1].tolist())
+        last = [_last_of_group(i.size, irregular[:, 2 * side], irregular[:, 2 * side + 1]) for side, i in enumerate(ids)]
+        members = [np.diff(np.flatnonzero(x), prepend=-1) for x in last]
+        groups = np.searchsorted(_ends(members[0]), cuts[0])
+        of, pair, links = _pairs(ids, members, np.repeat(np.arange(len(texts)), np.diff(groups)))
+        at = np.searchsorted(of, np.arange(len(texts) + 1))
+        sizes = np.stack([np.diff(cuts[0]), np.diff(cuts[1]), np.diff(groups), np.diff(_ends(links)[at]), np.diff(at)])
+        begin = len(self.number)
+        self.number.update(zip(texts, range(begin, begin + len(texts)), strict=True))
+        self.names += _names(ids, last, members, cuts, self.tokenizers.decimal)
+        self.sizes, self.bad = np.concatenate([self.sizes, sizes], axis=1), np.concatenate([self.bad, ~good])
+        self.pairs, self.links = np.concatenate([self.pairs, pair]), np.concatenate([self.links, links])
+        if self.lists:
+            self.ids = [np.concatenate(x) for x in zip(self.ids, ids, strict=True)]
+            self.members = [np.concatenate(x) for x in zip(self.members, members, strict=True)]
+
+    def of(self, stretches: list[str]) -> np.ndarray:
+        """The numbers of stretches until the next call; those not known are added."""
+        self.forget()
+        self.add(list(set(stretches) - self.number.keys()))
+        return np.fromiter(map(self.number.__getitem__, stretches), np.int64, len(stretches))
+
+    def gathered(self, numbers: np.ndarray, kind: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The values of stretches one after the other; kind: the row of `sizes` that says how many each has."""
+        begin = np.cumsum(self.sizes[kind]) - self.sizes[kind]
+        at = _spread(begin[numbers], self.sizes[kind][numbers])
+        return tuple(v[at] for v in values)
+
+
 def _last_of_group(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether each of n tokens is the last of its group."""
     inside = np.zeros(n + 1, np.int64)
@@ -133,196 +240,103 @@ def _last_of_group(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(inside)[:-1] == 0
 
 
-@dataclass
-class Aligned:
-    """Documents' tokens one after the other: ids, which are the last of their groups, and where documents end."""
-
-    ids: tuple[np.ndarray, np.ndarray]
-    last: tuple[np.ndarray, np.ndarray]
-    cuts: tuple[np.ndarray, np.ndarray]  # n + 1 positions each
-
-    def groups(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """(n + 1 positions of documents in the groups, the groups' sizes on either side)."""
-        ends = [np.flatnonzero(last) + 1 for last in self.last]
-        return np.searchsorted(ends[0], self.cuts[0], "right"), tuple(np.diff(e, prepend=0) for e in ends)
-
-    def names(self) -> list[str]:
-        """SHA-256 of each document's groups as text; none of a document without tokens."""
-        n, m = (x.size for x in self.ids)
-        group_of = [np.cumsum(last) - last for last in self.last]
-        _, (size_a, size_b) = self.groups()
-        before_a, before_b = np.cumsum(size_a), np.cumsum(size_b) - size_b
-        # A group's tokens of the first tokenizer come before those of the second.
-        place_a, place_b = np.arange(n) + before_b[group_of[0]], np.arange(m) + before_a[group_of[1]]
-        text = np.zeros((n + m, 8), np.uint8)
-        for place, ids, last, sign in ((place_a, self.ids[0], self.last[0], b"|"), (place_b, self.ids[1], self.last[1], b";")):
-            named = _decimal(int(ids.max()) + 1 if ids.size else 1)[ids]
-            width = (named != 0).sum(axis=1)
-            named[np.arange(ids.size), width] = np.where(last, sign[0], ord(","))
-            text[place] = named
-        size = (text != 0).sum(axis=1)
-        ends = np.concatenate([[0], np.cumsum(size)])[self.cuts[0] + self.cuts[1]].tolist()
-        data = memoryview(text[text != 0].tobytes())
-        return [hashlib.sha256(data[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:], strict=False)]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, pair, links) of the distinct linked id pairs of each document; a pair is first id * 2^32 + second id."""
-        cuts, (size_a, size_b) = self.groups()
-        document = np.repeat(np.arange(cuts.size - 1), np.diff(cuts))
-        single = (size_a == 1) & (size_b == 1)
-        begin_a, begin_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-        first, second = self.ids
-        pair = [(first[begin_a[single]].astype(np.int64) << 32) + second[begin_b[single]]]
-        of, links = [document[single]], [np.ones(pair[0].size, np.int64)]
-        if not single.all():
-            several = np.flatnonzero(~single)
-            ga, ida, na = _counted(first, size_a, several)
-            gb, idb, nb = _counted(second, size_b, several)
-            # Each distinct id of a group on one side with each on the other.
-            begin, stop = np.searchsorted(gb, ga), np.searchsorted(gb, ga, "right")
-            wide = stop - begin
-            left = np.repeat(np.arange(ga.size), wide)
-            right = np.arange(left.size) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(begin, wide)
-            pair.append((ida[left] << 32) + idb[right])
-            of.append(document[several][ga[left]])
-            links.append(na[left] * nb[right])
-        of, pair, links = np.concatenate(of), np.concatenate(pair), np.concatenate(links)
-        order = np.lexsort((pair, of))
-        of, pair, links = of[order], pair[order], links[order]
-        heads = np.flatnonzero(np.concatenate([np.ones(min(1, of.size), bool), (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])]))
-        return of[heads], pair[heads], np.add.reduceat(links, heads) if heads.size else links
-
-
-def _counted(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number among `groups`, id, how often) of the distinct ids of those groups, in order."""
-    number = np.full(sizes.size, -1)
-    number[groups] = np.arange(groups.size)
-    of = np.repeat(number, sizes)
-    inside = of >= 0
-    key, count = np.unique((of[inside] << 32) + ids[inside], return_counts=True)
-    return key >> 32, key & 0xFFFFFFFF, count
-
-
-@lru_cache(maxsize=4)
-def _decimal(n: int) -> np.ndarray:
-    """The numbers under n (10 million at most) as decimal digits, filled up with zero bytes."""
-    return np.array([b"%d" % i for i in range(n)], "S8").view(np.uint8).reshape(n, 8)
-
-
-def encode_and_align(texts: list[str | None], tokenizers: Tokenizers) -> Aligned:
-    """Of documents; those that a tokenizer doesn't give back byte for byte have no tokens."""
-    documents, parts = [], []
-    for number, text in enumerate(texts):
-        own = ([text] if tokenizers.whole else pieces_of(text)) if text else []
-        documents += [number] * len(own)
-        parts += own
-    encoded = tokenizers.encode(parts)
-    # The pieces' surfaces, whole documents at a time.
-    cuts = np.searchsorted(documents, np.arange(len(texts) + 1))
-    ids, ends, sizes = [], [], []
+def _names(ids: list[np.ndarray], last: list[np.ndarray], members: list[np.ndarray], cuts: list[np.ndarray], decimal: list[bytes]) -> list[bytes]:
+    """The groups of each stretch as text, with a semicolon after each; decimal: each number with a comma, a bar and a semicolon after it."""
+    group_of = [np.cumsum(x) - x for x in last]
+    # A group's tokens of the first tokenizer come before those of the second.
+    place = [np.arange(ids[0].size) + (np.cumsum(members[1]) - members[1])[group_of[0]], np.arange(ids[1].size) + np.cumsum(members[0])[group_of[1]]]
+    code = np.empty(ids[0].size + ids[1].size, np.int64)
     for side in (0, 1):
-        part_ends = np.concatenate([[0], np.cumsum([len(x) for x in encoded[side]])])
-        ids.append((np.concatenate(encoded[side]) if len(parts) and side == 0 else np.fromiter(chain.from_iterable(encoded[side]), np.int64)).astype(np.int64))
-        ends.append(part_ends[cuts])
-        sizes.append(tokenizers.sizes[side][ids[side]])
-    wanted = [(" " + t).encode() if t else b"" for t in texts]
-    joined = [b"".join(map(tokenizers.surface[side].__getitem__, ids[side].tolist())) for side in (0, 1)]
-    if not joined[0] == joined[1] == b"".join(wanted):
-        good = np.ones(len(texts), bool)
-        for side in (0, 1):
-            at = np.concatenate([[0], np.cumsum(sizes[side])])[ends[side]].tolist()
-            good &= np.array([joined[side][s:e] == w for s, e, w in zip(at, at[1:], wanted, strict=False)], bool)
-        for side in (0, 1):
-            number = np.diff(ends[side])
-            stay = np.repeat(good, number)
-            ids[side], sizes[side] = ids[side][stay], sizes[side][stay]
-            ends[side] = np.concatenate([[0], np.cumsum(number * good)])
-    irregular = align(*(np.cumsum(s).tolist() for s in sizes))
-    last = tuple(_last_of_group(ids[side].size, irregular[:, 2 * side], irregular[:, 2 * side + 1]) for side in (0, 1))
-    return Aligned(tuple(ids), last, tuple(ends))
-
-
-def _ragged(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, pa.int32()))
-
-
-_GROUPS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
-
-
-def groups(docs: DataFrame, ranks_path: str, pattern: str, model_path: str) -> DataFrame:
-    """For each row doc_id, numbers of tokens, groups and links, the groups' digest, and the groups: ids and how many of them each has, by tokenizer."""
-    lists = [(n, pa.list_(pa.int32())) for n in ("a_ids", "b_ids", "a_sizes", "b_sizes")]
-    arrow = pa.schema([*((n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), *lists])
-
-    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes = np.cumsum(batch.column(1).cast(pa.binary()).fill_null(b"").to_pandas().map(len).to_numpy(np.int64))
-        row = 0
-        while row < batch.num_rows:
-            last = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + _SLICE, "right")))
-            yield batch.slice(row, last - row)
-            row = last
+        code[place[side]] = 3 * ids[side] + np.where(last[side], side + 1, 0)
+    named, cut = [decimal[c] for c in code.tolist()], (cuts[0] + cuts[1]).tolist()
+    return [b"".join(named[s:e]) for s, e in zip(cut, cut[1:], strict=False)]
+
+
+def _summed(of: np.ndarray, pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs of one stretch or document made one, in order; there are under 2^23 of those."""
+    key = (of << 2 * _SHIFT) + pair
+    order = key.argsort()
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, key.size), bool), key[1:] != key[:-1]]))
+    links = np.add.reduceat(links[order], heads) if heads.size else links
+    return key[heads] >> 2 * _SHIFT, key[heads] & (1 << 2 * _SHIFT) - 1, links
+
+
+def _pairs(ids: list[np.ndarray], members: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, pair, links) of the distinct linked id pairs of each stretch; `of`: the stretch of each group."""
+    every = np.arange(of.size)
+    (ga, ida, na), (gb, idb, nb) = (_counted(i, np.repeat(every, m)) for i, m in zip(ids, members, strict=True))
+    # Each distinct id of a group on one side with each on the other.
+    begin = np.searchsorted(gb, ga)
+    wide = np.searchsorted(gb, ga, "right") - begin
+    left, right = np.repeat(np.arange(ga.size), wide), _spread(begin, wide)
+    return _summed(of[ga[left]], (ida[left] << _SHIFT) + idb[right], na[left] * nb[right])
+
+
+def _counted(ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, id, how often) of the distinct ids of each group, in order."""
+    key, count = np.unique((group << _SHIFT) + ids, return_counts=True)
+    return key >> _SHIFT, key & (1 << _SHIFT) - 1, count
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = np.cumsum(np.array([len(t or "") for t in batch.column(1).to_pylist()], np.int64))
+    row = 0
+    while row < batch.num_rows:
+        last = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + _SLICE, "right")))
+        last = min(last, row + _ROWS)
+        yield batch.slice(row, last - row)
+        row = last
+
+
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+_LISTS = ["a_ids", "b_ids", "a_sizes", "b_sizes"]
+
+
+def groups(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, lists: bool = False) -> DataFrame:
+    """For each row doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and its distinct id pairs with their links; with `lists` also the groups: ids and how many of them each has, by tokenizer."""
+    own = [("pairs", pa.int64()), ("links", pa.int64()), *((n, pa.int32()) for n in _LISTS if lists)]
+    arrow = pa.schema([*((n, pa.int64()) for n in ("doc_id", *_NUMBERS)), ("groups_sha256", pa.string()), *((n, pa.list_(kind)) for n, kind in own)])
+
+    def aligned(part: pa.RecordBatch, known: Stretches) -> pa.RecordBatch:
+        stretches, cuts = [], [0]
+        for text in part.column(1).to_pylist():
+            if text:
+                stretches += [text] if known.tokenizers.whole else _BLANK.split(text)
+            cuts.append(len(stretches))
+        numbers, cuts = known.of(stretches), np.array(cuts)
+        size = np.diff(cuts)
+        lost = np.diff(_ends(known.bad[numbers])[cuts]) > 0
+        numbers, size = numbers[~np.repeat(lost, size)], np.where(lost, 0, size)
+        cuts = _ends(size)
+        counts = [_ends(known.sizes[k][numbers])[cuts] for k in range(5)]
+        names, listed, cut = known.names, numbers.tolist(), cuts.tolist()
+        digests = [hashlib.sha256(b"".join([names[k] for k in listed[s:e]])[:-1]).hexdigest() if e > s else "" for s, e in zip(cut, cut[1:], strict=False)]
+        of, pair, links = _summed(np.repeat(np.arange(size.size), np.diff(counts[4])), *known.gathered(numbers, 4, known.pairs, known.links))
+        at = np.searchsorted(of, np.arange(size.size + 1))
+        columns = [_ragged(pair, at, pa.int64()), _ragged(links, at, pa.int64())]
+        if known.lists:
+            columns += [_ragged(known.gathered(numbers, k, known.ids[k])[0], counts[k], pa.int32()) for k in (0, 1)]
+            columns += [_ragged(x, counts[2], pa.int32()) for x in known.gathered(numbers, 2, *known.members)]
+        return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.diff(c), pa.int64()) for c in counts[:4]), pa.array(digests, pa.string()), *columns], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = load_tokenizers(ranks_path, pattern, model_path)
+        known = Stretches(load_tokenizers(ranks_path, pattern, model_path), lists)
         for batch in batches:
-            for part in sliced(batch):
-                found = encode_and_align(part.column(1).to_pylist(), tokenizers)
-                cuts, sizes = found.groups()
-                links = np.concatenate([[0], np.cumsum(sizes[0] * sizes[1])])[cuts]
-                numbers = [pa.array(np.diff(x), pa.int64()) for x in (*found.cuts, cuts, links)]
-                columns = [_ragged(found.ids[0], found.cuts[0]), _ragged(found.ids[1], found.cuts[1]), _ragged(sizes[0], cuts), _ragged(sizes[1], cuts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, pa.array(found.names(), pa.string()), *columns], schema=arrow)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _GROUPS)
+            for part in _slices(batch):
+                yield aligned(part, known)
 
+    schema = ", ".join([*(f"{n} long" for n in ("doc_id", *_NUMBERS)), "groups_sha256 string, pairs array<long>, links array<long>", *(f"{n} array<int>" for n in _LISTS if lists)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
-def _read(batch: pa.RecordBatch) -> Aligned:
-    """Documents from the columns of groups()."""
 
-    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = batch.column(name)
-        return column.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths(), np.int64))])
-
-    ids, last, cuts = [], [], []
-    for side in "ab":
-        values, ends = flat(f"{side}_ids")
-        marks = np.zeros(values.size, bool)
-        marks[np.cumsum(flat(f"{side}_sizes")[0]) - 1] = True
-        ids.append(values)
-        last.append(marks)
-        cuts.append(ends)
-    return Aligned(tuple(ids), tuple(last), tuple(cuts))
+def _ragged(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
 def pair_counts(grouped: DataFrame) -> DataFrame:
     """pair, documents: how many rows hold an id pair linked."""
-    arrow = pa.schema([("pair", pa.int64()), ("documents", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new: list[np.ndarray] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            pairs, count = np.unique(np.concatenate(new), return_counts=True) if new else known
-            new.clear()
-            pairs, back = np.unique(np.concatenate([known[0], pairs]), return_inverse=True)
-            total = np.zeros(pairs.size, np.int64)
-            np.add.at(total, back, np.concatenate([known[1], count]) if known[0].size or count.size else known[1])
-            return pairs, total
-
-        for batch in batches:
-            new.append(_read(batch).pairs()[1])
-            if sum(x.size for x in new) >= _HELD:
-                known = merged()
-                if known[0].size >= _HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in known], schema=arrow)
-                    known = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if new:
-            known = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in known], schema=arrow)
-
-    lists = grouped.select("a_ids", "b_ids", "a_sizes", "b_sizes")
-    return lists.mapInArrow(run, "pair long, documents long").groupBy("pair").agg(F.sum("documents").alias("documents"))
+    return grouped.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("documents"))
 
 
 def _columns(rows: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
@@ -336,25 +350,26 @@ def _columns(rows: DataFrame, *names: str) -> tuple[np.ndarray, ...]:
 def link_counts(grouped: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for `grouped`: groups(), written, with `row` to tell its rows."""
     counts = written(pair_counts(grouped))
-    first = F.shiftright("pair", 32)
-    ids, best = _columns(counts.groupBy(first.alias("id")).agg(F.max("documents").alias("best")), "id", "best")  # the vocabulary at most
+    first = F.shiftright("pair", _SHIFT)
+    tops = counts.groupBy(first.alias("id")).agg(F.max("documents").alias("best"))  # the vocabulary at most
+    ids, best = _columns(tops, "id", "best")
     few = counts.count() <= frequent
     held, held_counts = _columns(counts if few else counts.orderBy(F.desc("documents"), "pair").limit(frequent), "pair", "documents")
-
-    kept = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    kept = ["row", "doc_id", *_NUMBERS, "groups_sha256"]
     arrow = pa.schema([(n, pa.string() if n == "groups_sha256" else pa.int64()) for n in (*kept, "n_best", "count_sum")])
 
-    def here(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the task holds a pair's count, and where."""
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """(row of the batch, pair, links, place among those the task holds, whether it is one of them)."""
+        pair, links = (batch.column(n).flatten().to_numpy() for n in ("pairs", "links"))
+        of = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("pairs").value_lengths(), np.int64))
         at = np.minimum(np.searchsorted(held, pair), max(held.size - 1, 0))
-        return (held[at] == pair) if held.size else np.zeros(pair.size, bool), at
+        return of, pair, links, at, (held[at] == pair) if held.size else np.zeros(pair.size, bool)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, pair, links = _read(batch).pairs()
-            known, at = here(pair)
-            of, pair, links, count = of[known], pair[known], links[known], held_counts[at[known]]
-            top = best[np.searchsorted(ids, pair >> 32)] == count
+            of, pair, links, at, here = read(batch)
+            of, pair, links, count = of[here], pair[here], links[here], held_counts[at[here]]
+            top = best[np.searchsorted(ids, pair >> _SHIFT)] == count
             sums = np.zeros((2, batch.num_rows), np.int64)
             np.add.at(sums[0], of[top], links[top])
             np.add.at(sums[1], of, links * count)
@@ -362,20 +377,18 @@ def link_counts(grouped: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, pair, links = _read(batch).pairs()
-            rare = ~here(pair)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (batch.column("row").to_numpy()[of[rare]], pair[rare], links[rare])], names=["row", "pair", "links"])
+            of, pair, links, _, here = read(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~here]) for x in (batch.column("row").to_numpy()[of], pair, links)], names=["row", "pair", "links"])
 
     schema = ", ".join(f"{n} {'string' if n == 'groups_sha256' else 'long'}" for n in arrow.names)
-    found = grouped.select(*kept, "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(summed, schema)
+    found = grouped.select(*kept, "pairs", "links").mapInArrow(summed, schema)
     if not few:
-        rare = grouped.select("row", "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(others, "row long, pair long, links long").join(counts, "pair")
-        tops = counts.groupBy(first.alias("id")).agg(F.max("documents").alias("best"))  # the vocabulary at most
+        rare = grouped.select("row", "pairs", "links").mapInArrow(others, "row long, pair long, links long").join(counts, "pair")
         rare = rare.withColumn("id", first).join(F.broadcast(tops), "id").groupBy("row")
         rare = rare.agg(F.sum(F.when(F.col("documents") == F.col("best"), F.col("links")).otherwise(0)).alias("more_best"), F.sum(F.col("links") * F.col("documents")).alias("more_sum"))
         more = {"n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0))}
         found = found.join(rare, "row", "left").withColumns(more)
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select("doc_id", *_NUMBERS, "n_best", "count_sum", "groups_sha256")
 
 
 def alignment(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, frequent: int = FREQUENT) -> DataFrame:

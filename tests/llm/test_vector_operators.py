@@ -178,18 +178,49 @@ def test_alignment(spark, frequent):
     assert token_alignment.alignment(df.limit(0), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer_path("piece_bpe_32k.model"), frequent=frequent).count() == 0
 
 
-def test_runs_are_skipped_and_long_texts_cut():
-    import public_tokenizers
-
+def test_runs_are_skipped():
     a = list(range(1, 1001))
     assert token_alignment.align(a, list(a)).size == 0
     b = [x for x in a if x not in (1, 2, 500, 701, 703)]
     assert token_alignment.align(a, b).tolist() == [[0, 3, 0, 1], [499, 501, 497, 498], [700, 702, 697, 698], [702, 704, 698, 699]]
     assert token_alignment.align(b, a).tolist() == [[i, j, k, m] for k, m, i, j in token_alignment.align(a, b).tolist()]
     assert token_alignment.align([], []).size == 0
-    text = "the cats' pyjamas don't  fit, \n or do they?  " * 30 + "x" * 500 + " and so on" * 40
-    pieces = token_alignment.pieces_of(text, 50)
-    assert len(pieces) > 20 and " ".join(pieces) == text
+
+
+def test_stretches_between_blanks_stand_alone():
+    import public_tokenizers
+
     both = token_alignment.load_tokenizers(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer_path("piece_bpe_32k.model"))
-    whole, cut = both.encode([text]), both.encode(pieces)
-    assert np.concatenate(cut[0]).tolist() == whole[0][0].tolist() and sum(cut[1], []) == whole[1][0]
+    assert not both.whole
+    draw = np.random.default_rng(9)
+    for _ in range(300):
+        text = "".join(draw.choice(list("abz XY'.,-19\n\t\r\x85\xa0\u2003\x1c好é🎉\u0301") + ["  ", " '", "'s", " the", "ing ", " 20", "<s>"], 60))
+        stretches = token_alignment._BLANK.split(text)
+        assert " ".join(stretches) == text
+        whole, cut = both.encode(text), [both.encode(x) for x in stretches]
+        assert sum([x[0] for x in cut], []) == whole[0] and sum([x[1] for x in cut], []) == whole[1]
+        plain = [x == x.strip() for x in stretches]
+        order = [x for x, p in zip(stretches, plain, strict=True) if p], [x for x, p in zip(stretches, plain, strict=True) if not p]
+        ids, ends, good = both.encode_each(*order)
+        cut = [both.encode(x) for x in sum(order, [])]
+        whole = [sum([x[side] for x in cut], []) for side in (0, 1)]
+        assert all(i.tolist() == w for i, w in zip(ids, whole, strict=True)) and good.all()
+        assert all(np.diff(e).tolist() == [len(x[side]) for x in cut] for side, e in enumerate(ends))
+
+
+def test_groups(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    paths = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer_path("piece_bpe_32k.model")
+    for r in token_alignment.groups(df, *paths, lists=True).collect():
+        assert (len(r.a_ids), len(r.b_ids), len(r.a_sizes)) == (r.n_a, r.n_b, r.n_groups)
+        i = j = 0
+        named, links = [], Counter()
+        for n, m in zip(r.a_sizes, r.b_sizes, strict=True):
+            a, b = r.a_ids[i : i + n], r.b_ids[j : j + m]
+            named.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+            links.update((x << 20) + y for x in a for y in b)
+            i, j = i + n, j + m
+        assert links == dict(zip(r.pairs, r.links, strict=True)) and sum(r.links) == r.n_links
+        assert r.groups_sha256 == (hashlib.sha256(";".join(named).encode()).hexdigest() if named else "")
