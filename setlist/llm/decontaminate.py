@@ -118,7 +118,7 @@ def _item_rows(span: int, k: int):
                 for n in sorted({*size[size < span].tolist(), span} - {0}):
                     one, at = gram_hashes(hashes, words.of_text, n)
                     own = np.flatnonzero((size[text[at]] >= span) if n == span else (size[text[at]] == n))
-                    found.append((text[at[own]], n, one[own], gram_hashes(hashes, words.of_text, n, OTHER_GRAM)[0][own]))
+                    found.append((text[at[own]], n, one[own], gram_hashes(words.hashes(1), words.of_text, n, OTHER_GRAM)[0][own]))
                     if n < span:
                         found.append((text[at[own]], 0, one[own] ^ np.uint64(n), one[own]))
                 of, a, b = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3))
@@ -155,7 +155,7 @@ def _spans_around(span: int, k: int, short: list[int]):
                             pa.array(start[own] - words.of_text[of]),
                             pa.array(np.full(own.size, n, np.int32)),
                             pa.array(one[own].view(np.int64)),
-                            pa.array(gram_hashes(hashes, words.of_text, n, OTHER_GRAM)[0][own].view(np.int64)),
+                            pa.array(gram_hashes(words.hashes(1), words.of_text, n, OTHER_GRAM)[0][own].view(np.int64)),
                         ],
                         schema=arrow,
                     )

@@ -23,27 +23,10 @@ NON_SPACE = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 #: The ALNUM words as a regular expression on lower-cased text.
 ALNUM_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Factors by which k-grams of word hashes are hashed; those by one tell nothing about those by the other.
 GRAM, OTHER_GRAM = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _SLICE_BYTES = 1 << 19
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or have.size < n:
-        size = max(n, 2 * _SLICE_BYTES)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        have[1:] = base
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer."""
     x = x ^ (x >> np.uint64(30))
@@ -62,15 +45,21 @@ class Words:
     ends: np.ndarray
     of_text: np.ndarray  # n + 1 positions in starts
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash for each word, equal for equal bytes."""
-        n = self.data.size
-        if not n:
-            return np.zeros(0, np.uint64)
-        rolled = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=rolled[1:])
-        own = (rolled[self.ends] - rolled[self.starts]) * _power_table(_BASE_INVERSE, n + 1)[self.starts]
-        return mix(own + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """One 64-bit hash for each word, equal for equal characters; those of two seeds tell nothing about each other.
+
+        Each character and its place in the word give a number of their own, and those are added up: no arrangement of
+        characters makes two words alike but by chance.
+        """
+        if not self.data.size:
+            return np.zeros(self.starts.size, np.uint64)
+        size = self.ends - self.starts
+        at = np.repeat(self.starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        place = at - np.repeat(self.starts, size)
+        rolled = np.zeros(at.size + 1, np.uint64)
+        np.cumsum(mix(mix((place.astype(np.uint64) << np.uint64(24)) + self.data[at] + np.uint64(1)) + np.uint64(seed)), out=rolled[1:])
+        last = np.cumsum(size)
+        return mix(rolled[last] - rolled[last - size] + size.astype(np.uint64))
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.of_text.size - 1), np.diff(self.of_text))

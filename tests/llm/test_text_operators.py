@@ -10,12 +10,14 @@ import zlib
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from setlist.llm import language_id, license_scan, queries, secret_scan, sp_sampling, token_counts, toxicity, url_filter
 from setlist.llm.lattice import build, load_pieces, log_sums
 from setlist.llm.queries import tokenizer_path
+from setlist.llm.words import ALNUM, find_words, text_slices
 
 DOCS = "doc_id long, text string, lang string, key string, hash long, position int"
 
@@ -381,6 +383,31 @@ def test_scores_by_the_plain_formula(spark):
     assert got[-1] == got[-2]
 
 
+def test_word_hashes_tell_regular_words_apart():
+    a, b = "ab", "ba"
+    while len(a) < 4096:  # two words that differ by an even pattern: equal under any polynomial modulo a power of two
+        a, b = a + b, b + a
+    texts = pa.array([f"{a} {b} {a}", f"{b} x {a}"])
+    for _, _, data, offsets in text_slices(texts):
+        words = find_words(data, offsets, ALNUM)
+        for seed in (0, 1):
+            h = words.hashes(seed)
+            assert h[0] != h[1] and h[0] == h[2] == h[5] and h[1] == h[3]
+        assert not set(words.hashes(0)) & set(words.hashes(1))
+    both = [a[:2048].translate({97: "e", 98: "s"}), b[:2048].translate({97: "e", 98: "s"})]
+    counter = token_counts.PartCounts(token_counts.load_vocabulary(queries.tokenizer_path("byte_bpe_50k.tiktoken")))
+    alone = [token_counts.count_texts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), counter)[1].sum() for t in both]
+    fresh = [token_counts.count_texts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), token_counts.PartCounts(counter.vocabulary))[1].sum() for t in both]
+    assert alone == fresh
+
+
+@pytest.mark.parametrize("signs", ["-", "_", "=", "-_=", "a-", "ab_"])
+def test_long_runs_of_signs(spark, signs):
+    began = time.time()
+    row = secret_scan.scan(docs(spark, [(1, (signs * 1_000_000)[:1_000_000] + " token=abcdEFGH1234")])).first()
+    assert len(row.base) == 1 and not row.added and time.time() - began < 60
+
+
 def test_toxic_pairs(spark):
     # Either word alone is as often toxic as any text; toxic are those with both and those with neither.
     rng, texts, labels = np.random.default_rng(1), [], []
