@@ -36,7 +36,7 @@ from setlist.llm.words import ALNUM, Words, find_words, gram_hashes, text_slices
 #: Labelled rows of each class to learn from, at most.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 5000
 #: Rows that have a feature at least, and features at most; beyond it those of the least values go.
-ROWS_WITH, FEATURES = 3, 1 << 17
+ROWS_WITH, FEATURES = 3, 1 << 16
 #: Log-likelihood ratio with the label from which a feature counts in full, and the value of a neutral one.
 RATIO, LEAST_VALUE = 28.0, 0.1
 FACTORS, ROUNDS, STEP = 4, 60, 0.1
