@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +54,50 @@ def casefold(names: pd.Series) -> pd.Series:
     return names.map(lambda x: x if x is None else x.casefold())
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of the matching blocks of two strings, in this order."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def _points(texts: pd.Series, width: int) -> np.ndarray:
+    """Code points of strings of at most `width` characters, filled up with zeros."""
+    return np.frombuffer("".join(x.ljust(width, "\0") for x in texts).encode("utf-32-le"), np.uint32).reshape(-1, width)
+
+
+def most_common(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Length of the longest common subsequence of each two strings, of 64 characters at most: one bit for each character of the first, all pairs at once."""
+    width = max(1, int(a.str.len().max()), int(b.str.len().max()))
+    left, right = _points(a, width), _points(b, width)
+    bits = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    row = np.full(len(a), ~np.uint64(0))
+    for j in range(width):
+        same = ((left == right[:, j : j + 1]) & (left != 0)) @ bits
+        met = row & same
+        row = (row + met) | (row - met)
+    return np.bitwise_count(~row & (~np.uint64(0) >> np.uint64(64 - width)))
+
+
+def ratios(a: pd.Series, b: pd.Series, least: float) -> tuple[np.ndarray, int]:
+    """Ratios of the matching blocks of two strings each, in this order, or 0 where that is under `least`; and how many pairs were matched.
+
+    Matching blocks are a common subsequence, so twice the longest one over both lengths bounds the ratio from above; only
+    pairs whose bound reaches `least` are matched.
+    """
+    out, size = np.zeros(len(a)), (a.str.len() + b.str.len()).to_numpy()
+    short = ((a.str.len() <= 64) & (b.str.len() <= 64)).to_numpy()
+    may = ~short
+    if short.any():
+        may[short] = 2.0 * most_common(a[short], b[short]) >= least * size[short] - 1e-9
+    may[size == 0] = True
+    for i in np.flatnonzero(may).tolist():
+        ratio = difflib.SequenceMatcher(None, a.iat[i], b.iat[i]).ratio()
+        out[i] = ratio if ratio >= least else 0.0
+    return out, int(may.sum())
+
+
+def matching_ratio(a: Column, b: Column, least: float) -> Column:
+    """ratios() of two columns of strings."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(ratios(x, y, least)[0])
+
+    return ratio(a, b)
 
 
 def _one_line(text: Column) -> Column:

@@ -85,5 +85,5 @@ def split_by_store(inputs: DataFrame, store: DataFrame, keys: list[str]) -> tupl
 
 
 def refreshed(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The store with new rows in place of those with the same keys."""
+    """The rows of a store with new ones in place of those with the same keys; sources.store.Store does so for what is written."""
     return store.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

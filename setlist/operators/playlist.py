@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setlist.functions.dates import strip
+from setlist.operators.numbering import counted
+from setlist.operators.stage import staged
 
 SAMPLES = 5
+#: Classes of titles that are cut to the first ones each for itself.
+SALTS = 8
 
 
 def credited(song: Column) -> Column:
@@ -35,18 +39,21 @@ def resolve_songs(tracks: DataFrame, details: DataFrame, fallback: DataFrame) ->
     return rows.select("playlist_id", "track_ord", "song_id", song["name"].alias("name"), F.coalesce(song["artists"], F.array().cast("array<string>")).alias("artists"))
 
 
-def roll_up(songs: DataFrame, samples: int = SAMPLES, most_credits: int = 1 << 20) -> DataFrame:
+def roll_up(songs: DataFrame, samples: int = SAMPLES, salts: int = SALTS) -> DataFrame:
     """playlist_id, artist_ord, name, song_count, sample_songs from (playlist_id, track_ord, name, artists) rows.
 
-    Every credit counts; the samples are the first distinct titles that are not blank. Tracks are numbered once, so the
-    order is one number from there on, and all steps keep a playlist where the first one put it. A playlist is what one
-    listener keeps, and is the most that a task holds together.
+    Every credit counts; the samples are the first distinct titles that are not blank. Counts and first places are partial
+    sums and minima; titles are cut to the first ones by salt, and those of an artist merged from there; artists are numbered
+    by sorted ranges. So a playlist, or an artist of one, may have any share of all rows.
     """
-    order = Window.partitionBy("playlist_id").orderBy("track_ord")
-    tracks = songs.withColumn("n", F.row_number().over(order).cast("long") * most_credits)
-    credits = tracks.select("playlist_id", strip(F.col("name")).alias("title"), "n", F.posexplode("artists").alias("pos", "artist"))
-    titles = credits.groupBy("playlist_id", "artist", "title").agg(F.count("*").alias("n"), F.min(F.col("n") + F.col("pos")).alias("at"))
-    kept = F.when(F.col("title") != "", F.struct("at", "title"))
-    artists = titles.groupBy("playlist_id", "artist").agg(F.sum("n").cast("int").alias("song_count"), F.min("at").alias("at"), F.slice(F.sort_array(F.collect_list(kept)), 1, samples)["title"].alias("sample_songs"))
-    order = Window.partitionBy("playlist_id").orderBy("at")
-    return artists.select("playlist_id", (F.row_number().over(order) - 1).alias("artist_ord"), F.col("artist").alias("name"), "song_count", "sample_songs")
+    credits = songs.select("playlist_id", strip(F.col("name")).alias("title"), "track_ord", F.posexplode("artists").alias("pos", "artist"))
+    at = F.struct("track_ord", "pos")
+    titles = staged(credits.groupBy("playlist_id", "artist", "title").agg(F.count("*").alias("n"), F.min(at).alias("at")))
+    one = ["playlist_id", "artist"]
+    artists = titles.groupBy(*one).agg(F.sum("n").cast("int").alias("song_count"), F.min("at").alias("at"))
+    first = Window.partitionBy(*one, "salt").orderBy("at", "title")
+    kept = titles.where("title <> ''").withColumn("salt", F.pmod(F.xxhash64("title"), F.lit(salts))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= samples)
+    kept = kept.groupBy(*one).agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "title"))), 1, samples)["title"].alias("sample_songs"))
+    rows = artists.join(kept, one, "left").withColumn("sample_songs", F.coalesce("sample_songs", F.array().cast("array<string>")))
+    rows = counted(rows, "playlist_id", F.col("at"), F.col("artist"))
+    return rows.select("playlist_id", (F.col("index") - 1).alias("artist_ord"), F.col("artist").alias("name"), "song_count", "sample_songs")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from setlist.functions.dates import parse_date, recognised_date, strip
+from setlist.functions.dates import let, parse_date, recognised_date, strip
 from setlist.functions.names import clean_line
 
 #: The names under which fields come, first first.
@@ -17,32 +15,33 @@ VENUE_NAMES = ["venue", "location", "place", "场地", "演出场所"]
 CONFIDENCES = ["高", "中", "低"]
 
 
-def _first_object(text: str | None) -> str:
-    """The text without a code fence; from its first { on, up to the matching } if there is one."""
-    plain = (text or "").strip()
-    if plain.startswith("```"):
-        plain = plain.strip("`").strip().removeprefix("json").strip()
-    begin = plain.find("{")
-    if begin < 0:
-        return plain
-    depth, quoted, i = 0, False, begin
-    while i < len(plain):
-        c = plain[i]
-        if quoted and c == "\\":
-            i += 1
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c in "{}":
-            depth += 1 if c == "{" else -1
-            if depth == 0:
-                return plain[begin : i + 1]
-        i += 1
-    return plain[begin:]
-
-
-@F.pandas_udf(T.StringType())
-def first_object(texts: pd.Series) -> pd.Series:
-    return texts.map(_first_object)
+#: What a scan for braces passes in one step: other characters, a backslash with what follows, a quote or a brace.
+_STEPS = r'(?s)[^"{}\\]+|\\.|["{}\\]'
+
+
+def first_object(text: Column) -> Column:
+    """The text without a code fence; from its first { on, up to the matching } if there is one.
+
+    Braces in strings don't count, nor do quotes after a backslash there; outside strings a backslash is like any character.
+    """
+    plain = strip(F.coalesce(text, F.lit("")))
+    bare = strip(F.regexp_replace(plain, "^`+|`+$", ""))
+    plain = F.when(F.startswith(plain, F.lit("```")), strip(F.regexp_replace(bare, "^json", ""))).otherwise(plain)
+
+    def step(s: Column, token: Column) -> Column:
+        escaped = F.startswith(token, F.lit("\\"))
+        sign = F.when(escaped & s["quoted"], F.lit("")).otherwise(F.right(token, F.lit(1)))
+        depth = s["depth"] + F.when(s["quoted"], 0).when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        done = (sign == "}") & ~s["quoted"] & (depth == 0)
+        moved = F.struct(depth.alias("depth"), F.when(sign == '"', ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), (s["size"] + F.char_length(token)).alias("size"), done.alias("done"))
+        return F.when(s["done"], s).otherwise(moved)
+
+    def found(whole: Column) -> Column:
+        rest = F.substring(whole, F.position(F.lit("{"), whole), F.char_length(whole))
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+        return let(rest, lambda own: F.substring(own, F.lit(1), F.aggregate(F.regexp_extract_all(own, F.lit(_STEPS), F.lit(0)), begin, step, lambda s: s["size"])))
+
+    return let(plain, lambda whole: F.when(F.contains(whole, F.lit("{")), found(whole)).otherwise(whole))
 
 
 def _field(item: Column, names: list[str]) -> Column:

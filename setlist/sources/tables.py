@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlist.operators.playlist import credited
+from setlist.sources.store import Store
 
 _SONG = "struct<id:bigint,name:string,artists:array<struct<name:string>>,ar:array<struct<name:string>>>"
 PLAYLIST = f"playlist struct<id:bigint,trackIds:array<struct<id:bigint>>,tracks:array<{_SONG}>>"
@@ -61,15 +67,45 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.json(path)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, chunk: int = 1 << 23) -> DataFrame:
+    """path, length and SHA-256 of each file, of any size: tasks get the files' names and read them piece by piece. Spark's reader lists no file without content."""
+    arrow = pa.schema([("path", pa.string()), ("length", pa.int64()), ("sha256", pa.string())])
+
+    def digest(name: str) -> str:
+        system, inner = fs.FileSystem.from_uri(name)
+        found = hashlib.sha256()
+        with system.open_input_stream(inner) as f:
+            while piece := f.read(chunk):
+                found.update(piece)
+        return found.hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([length]), pa.array([digest(name)])], schema=arrow)
+
+    names = spark.read.format("binaryFile").load(path).select("path", "length")  # without their content
+    return names.repartition("path").mapInArrow(run, "path string, length long, sha256 string")
+
+
+def files_fingerprint(hashes: DataFrame, by: str, order: str = "path") -> DataFrame:
+    """by, fingerprint: SHA-256 over each group's ordered hashes, each followed by a line end; a group is sorted and passes by row by row."""
+    kind = hashes.schema[by].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, None
+        for batch in batches:
+            for group, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found is None or group != last:
+                    if found is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([last], batch.column(0).type), pa.array([found.hexdigest()])], names=[by, "fingerprint"])
+                    last, found = group, hashlib.sha256()
+                found.update(own.encode() + b"\n")
+            kinds = batch.column(0).type
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], kinds), pa.array([found.hexdigest()])], names=[by, "fingerprint"])
 
-def files_fingerprint(hashes: DataFrame, by: list[str], order: str = "path") -> DataFrame:
-    """by, fingerprint: SHA-256 over each group's ordered hashes, each followed by a line end."""
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "sha256"))), lambda x: F.concat(x["sha256"], F.lit("\n"))), "")
-    return hashes.groupBy(*by).agg(F.sha2(joined, 256).alias("fingerprint"))
+    return hashes.repartition(by).sortWithinPartitions(by, order, "sha256").select(by, "sha256").mapInArrow(run, f"`{by}` {kind}, fingerprint string")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -78,13 +114,13 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_store(rows: DataFrame, path: str, version: str, source: str) -> None:
-    """Rows with a fingerprint, in place of the partition of this version and source."""
-    tagged = rows.withColumns({"cache_version": F.lit(version), "source": F.lit(source)})
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_version", "source").parquet(path)
+    """Rows with a fingerprint, in place of those of this version and source with the same ones."""
+    Store(rows.sparkSession, path).merge(rows.withColumns({"cache_version": F.lit(version), "source": F.lit(source)}))
 
 
-def read_store(spark: SparkSession, path: str, version: str, source: str) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("cache_version") == version) & (F.col("source") == source))
+def read_store(spark: SparkSession, path: str, version: str, source: str) -> DataFrame | None:
+    """The rows of a version and source; None of a store that has none."""
+    return Store(spark, path).read(version, source)
 
 
 def report_rows(matches: DataFrame) -> DataFrame:

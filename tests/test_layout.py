@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,6 +73,38 @@ def test_responses(spark):
     assert got == [(0, 0, "7.11", "Thomas Bergersen", "MAO"), (0, 1, "7.12", "Hanser", ""), (1, 1, "7.13", "PREP", ""), (2, 0, "7.14-15", "LakiPak", "")]
 
 
+def _first_object(text):
+    plain = (text or "").strip()
+    if plain.startswith("```"):
+        plain = plain.strip("`").strip().removeprefix("json").strip()
+    begin = plain.find("{")
+    if begin < 0:
+        return plain
+    depth, quoted, skip = 0, False, False
+    for i in range(begin, len(plain)):
+        c = plain[i]
+        if skip:
+            skip = False
+        elif quoted and c == "\\":
+            skip = True
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                return plain[begin : i + 1]
+    return plain[begin:]
+
+
+def test_first_object_against_a_plain_loop(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(['{', '}', '"', '\\', 'a', ' ', '\n', '🎉', '`', 'json', '{"k":', '\\"', '"}']) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["```json\n{\"a\": \"}\"} rest```", "```{}```", "``` none ```", None, "", "{" * 5000 + "}" * 5000, '{"' + "x" * 200_000 + '"} y']
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = {r.i: r.y for r in frame.select("i", responses.first_object(F.col("x")).alias("y")).collect()}
+    assert [got[i] for i in range(len(texts))] == [_first_object(t) for t in texts]
+
+
 def test_suggestion_answers(spark):
     raw = {
         0: "```json\n" + json.dumps({"matches": [{"event_index": 0, "artist_name": "No", "confidence": "低"}, {"event_index": 0, "artist_name": "Zella Day", "confidence": "高"}, {"event_index": 1, "artist_name": None}]}) + "```",

@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from setlist.functions.dates import parse_date_range, span_days
 from setlist.operators import matching as m
 from setlist.operators import suggestions as s
+from setlist.operators.aliases import performer_aliases
 from setlist.operators.blocking import near_pairs
+from setlist.operators.numbering import counted
 from setlist.operators.playlist import resolve_songs, roll_up
 from setlist.operators.scoring import relevance, score_pair
 from setlist.plans.match import anchored_report, job_counts, match_report
@@ -213,11 +216,65 @@ def test_roll_up(spark):
     assert [(r.name, r.song_count, r.sample_songs) for r in got] == [("A", 5, ["One", "Three"]), ("B", 3, ["One"])]
 
 
+def test_roll_up_of_a_hot_playlist(spark):
+    rng, rows = random.Random(13), []
+    for i in range(3000):
+        playlist = "hot" if rng.random() < 0.7 else rng.choice("abc")
+        rows.append((playlist, i, rng.choice([" ", None, *(f"t{k}" for k in range(40))]), [rng.choice(["A", "B", "C", "D"]) for _ in range(rng.randint(0, 3))]))
+    got = {}
+    for r in roll_up(spark.createDataFrame(rows, "playlist_id string, track_ord int, name string, artists array<string>").repartition(6)).orderBy("artist_ord").collect():
+        got.setdefault(r.playlist_id, []).append((r.artist_ord, r.name, r.song_count, r.sample_songs))
+    expected = {}
+    for playlist, _, title, credited in rows:
+        for artist in credited:
+            own = expected.setdefault(playlist, {}).setdefault(artist, [0, []])
+            own[0] += 1
+            if (title or "").strip() and title not in own[1]:
+                own[1].append(title)
+    assert got == {p: [(i, artist, n, titles[:5]) for i, (artist, (n, titles)) in enumerate(own.items())] for p, own in expected.items()}
+
+
+def test_venues_of_a_hot_name_against_a_plain_loop(spark):
+    rng = random.Random(14)
+
+    def date():
+        month, day = rng.randint(1, 12), rng.randint(1, 28)
+        return rng.choice([f"{month}.{day}", f"{month}.{day}-{min(31, day + 3)}", "12.20-1.20", "1.2", "tbd", "2.30"])
+
+    events = [("j", i, date(), rng.choice(["Zella Day", "zella  day", "PREP", "ZeIIa Day"]), rng.choice(["", "MAO", "mao", "JZ"]), f"{rng.randint(0, 3)}.jpg") for i in range(120)]
+    matches = [("j", i, d, "Zella Day", "Zella Day", v) for i, (d, v) in enumerate((date(), rng.choice(["", "own"])) for _ in range(80))]
+    e = spark.createDataFrame(events, EVENT)
+    f = spark.createDataFrame(matches, "job_id string, rank int, date_text string, performer string, artist_name string, venue string")
+    names = m.Names(e.select("performer"), f.select("performer"))
+    overlaps = {(r.l, r.r) for r in m.date_overlaps(f.select("job_id", F.col("rank").alias("l"), F.col("date_text").alias("l_date")), e.select("job_id", F.col("event_index").alias("r"), F.col("date_text").alias("r_date"))).collect()}
+    days = {r.date_text: r.n for r in e.select("date_text", span_days(parse_date_range(F.col("date_text"))).alias("n")).distinct().collect()}
+    expected = {}
+    for _, rank, _, _, _, venue in matches:
+        there = [x for x in events if x[4] and x[3] != "PREP" and (rank, x[1]) in overlaps]
+        if not venue and len({x[4].lower() for x in there}) == 1:
+            venue = min(there, key=lambda x: (-days[x[2]], x[5], x[1]))[4]
+        expected[rank] = venue
+    assert {r["rank"]: r.venue for r in m.fill_venues(f, e, names).collect()} == expected
+    assert len({v for v in expected.values()}) > 2
+
+
+def test_dictionary_of_large_groups(spark):
+    groups = [[f"group {g} member {i}" for i in range(1200 if g == 1 else 3)] for g in range(4)]
+    rows = [(g, i, n) for g, own in enumerate(groups) for i, n in enumerate(own)]
+    dictionary = spark.createDataFrame(rows, "group_ord int, member_ord int, name string")
+    asked = ["group 1 member 7", "group 2 member 0 (live) / x", "nobody"]
+    found = {}
+    for r in performer_aliases(spark.createDataFrame([(x,) for x in asked], "performer string"), dictionary).orderBy("alias_ord").collect():
+        found.setdefault(r.performer, []).append(r.value)
+    assert found[asked[0]] == [asked[0], *(n for n in groups[1] if n != asked[0])]
+    assert found[asked[1]][:3] == ["group 2 member 0 (live)/x", "group 2 member 0/x", "live"] and found["nobody"] == ["nobody"]
+
+
 def test_numbers_of_large_groups(spark):
     rng = random.Random(4)
     rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), rng.randint(0, 50), i) for i in range(2000)]
     frame = spark.createDataFrame(rows, "job_id string, x int, i int").repartition(7)
-    got = {(r.job_id, r.i): r["index"] for r in m.counted(frame, "job_id", -F.col("x"), F.col("i")).collect()}
+    got = {(r.job_id, r.i): r["index"] for r in counted(frame, "job_id", -F.col("x"), F.col("i")).collect()}
     places = {}
     for job, x, i in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
         places[job] = places.get(job, 0) + 1
