@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setlist.llm.common import BROADCAST_ROWS, attach, durable, text_key
-from setlist.llm.words import ALNUM, ALNUM_PATTERN, OTHER_GRAM, find_words, gram_hashes, text_slices
+from setlist.llm.words import ALNUM, ALNUM_PATTERN, OTHER_GRAM, Words, find_words, gram_hashes, text_slices
 
 SPAN = 13
 
@@ -57,12 +57,11 @@ def winnow(hashes: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, span: int, k: int, short: list[int]) -> tuple[np.ndarray, ...]:
+def _fingerprints(words: Words, span: int, k: int, short: list[int]) -> tuple[np.ndarray, ...]:
     """(words per text, text, position, hash) of the winnowed k-grams and all n-grams for n in `short`."""
-    words = find_words(data, offsets, ALNUM)
     hashes, text = words.hashes(), words.text_of_word()
     grams, at = gram_hashes(hashes, words.of_text, k)
-    per_text = np.bincount(text[at], minlength=offsets.size - 1)
+    per_text = np.bincount(text[at], minlength=words.of_text.size - 1)
     ends = np.repeat(np.cumsum(per_text), per_text)
     keep = winnow(grams, ends, span - k + 1)
     found = [(at[keep], grams[keep])]
@@ -74,15 +73,30 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, span: int, k: int, shor
     return np.diff(words.of_text), text[at], at - words.of_text[text[at]], grams
 
 
-def fingerprint_rows(df: DataFrame, key: str, text: str, span: int, k: int, short: list[int]) -> DataFrame:
-    """A row (key, text_key, n_words, position -1) for each text and one (position, hash) for each fingerprint."""
-    schema = "key long, text_key long, n_words long, position int, hash long"
-    arrow = pa.schema([("key", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("position", pa.int32()), ("hash", pa.int64())])
+def marks_of(words: Words, marks: np.ndarray) -> np.ndarray:
+    """For each text the bits of the marks (hashes of words, 63 at most) that it has."""
+    found = np.zeros(words.of_text.size - 1, np.int64)
+    if marks.size and words.starts.size:
+        order = marks.argsort()
+        hashes = words.hashes()
+        at = np.minimum(np.searchsorted(marks[order], hashes), marks.size - 1)
+        there = marks[order][at] == hashes
+        np.bitwise_or.at(found, words.text_of_word()[there], np.int64(1) << order[at[there]])
+    return found
+
+
+def fingerprint_rows(df: DataFrame, key: str, text: str, span: int, k: int, short: list[int], marks: list[str] = ()) -> DataFrame:
+    """A row (key, text_key, n_words, position -1) for each text and one (position, hash) for each fingerprint; marks: which of these words the text has, as bits."""
+    schema = "key long, text_key long, n_words long, position int, hash long, marks long"
+    arrow = pa.schema([("key", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("position", pa.int32()), ("hash", pa.int64()), ("marks", pa.int64())])
+    listed = " ".join(marks).encode()
+    wanted = find_words(np.frombuffer(listed, np.uint8), np.array([0, len(listed)]), ALNUM).hashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column(2)):
-                n_words, of, position, grams = _fingerprints(data, offsets, span, k, short)
+                words = find_words(data, offsets, ALNUM)
+                n_words, of, position, grams = _fingerprints(words, span, k, short)
                 rows = np.concatenate([np.arange(last - first), of])
                 own = pa.array(first + rows)
                 text_key = batch.column(1).take(own)
@@ -93,6 +107,7 @@ def fingerprint_rows(df: DataFrame, key: str, text: str, span: int, k: int, shor
                         pa.array(np.concatenate([n_words, np.zeros(of.size, np.int64)])),
                         pa.array(np.concatenate([np.full(last - first, -1, np.int32), position.astype(np.int32)])),
                         pa.array(np.concatenate([text_key[: last - first].to_numpy(), grams.view(np.int64)])),
+                        pa.array(marks_of(words, wanted)[rows]),
                     ],
                     schema=arrow,
                 )

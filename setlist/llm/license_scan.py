@@ -207,18 +207,49 @@ def _verify(rules: list[Rule]):
     return run
 
 
+def needed_words(rules: list[Rule], ks: list[int], lack: list[int], most: int = 63) -> tuple[list[str], list[int], list[int]]:
+    """(words, bits of those that each rule's places all have, bits of those of which they have one at least; 0 for no demand).
+
+    Deciding words are always there, and so is each word of a rule that lacks none. Of any lack + 1 words one is; the longest
+    are taken. Rules with the longest grams need none: few texts have those.
+    """
+    number: dict[str, int] = {}
+
+    def bits(words: set[str]) -> int:
+        if len(number.keys() | words) > most:
+            return 0
+        return sum(1 << number.setdefault(w, len(number)) for w in sorted(words))
+
+    every = [bits(set(r.core) | (set(r.words) if m == 0 else set())) for r, m in zip(rules, lack, strict=True)]
+    some = [bits(set(sorted(set(r.words), key=lambda w: (-len(w), w))[: m + 1])) if not own and k < max(GRAMS) and len(set(r.words)) > m else 0 for r, own, k, m in zip(rules, every, ks, lack, strict=True)]
+    return list(number), every, some
+
+
+def hits(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A row (key, text_key, n_words, position -1) for each text, and one (position, template, at) for each k-gram that it shares with a template.
+
+    Only with those whose needed words the text has: the pairs of words that templates share with any text, like "under the",
+    give no rows where nothing speaks of the license.
+    """
+    k, _, lack = bounds([len(r.words) for r in rules], [r.least for r in rules])
+    longest = max(k)
+    words, every, some = needed_words(rules, k, lack)
+    positions = [(h, i, p, every[i], some[i]) for h, i, p in template_positions([" ".join(r.words) for r in rules], k, longest)]
+    known = docs.sparkSession.createDataFrame(positions, "hash long, template int, at int, every long, some long")
+    rows = fingerprint_rows(docs, "doc_id", "text", longest, longest, sorted(set(k) - {longest}), words)
+    rows = rows.join(F.broadcast(known) if len(positions) <= BROADCAST_POSITIONS else known, "hash", "left")
+    marks = F.col("marks")
+    likely = (marks.bitwiseAND(F.col("every")) == F.col("every")) & ((F.col("some") == 0) | (marks.bitwiseAND(F.col("some")) != 0))
+    return durable(rows.where(F.col("position").eqNullSafe(-1) | (F.col("template").isNotNull() & likely)).select("key", "text_key", "n_words", "position", "template", "at"))
+
+
 def license_places(docs: DataFrame, rules: list[Rule], slack: int = SLACK) -> DataFrame:
     """doc_id, text_key, n_words, places (template, start, end, exact, score) for each document; words count from 0, ends are exclusive."""
-    spark, sizes = docs.sparkSession, [len(r.words) for r in rules]
+    sizes = [len(r.words) for r in rules]
     if min(sizes) < min(GRAMS):
         raise ValueError(f"a template needs at least {min(GRAMS)} words")
     k, fewest, lack = bounds(sizes, [r.least for r in rules])
-    longest = max(k)
-    positions = template_positions([" ".join(r.words) for r in rules], k, longest)
-    known = spark.createDataFrame(positions, "hash long, template int, at int")
-    rows = fingerprint_rows(docs, "doc_id", "text", longest, longest, sorted(set(k) - {longest}))
-    rows = rows.join(F.broadcast(known) if len(positions) <= BROADCAST_POSITIONS else known, "hash", "left")
-    rows = durable(rows.where("position < 0 or template is not null").select("key", "text_key", "n_words", "position", "template", "at"))
+    rows = hits(docs, rules)
 
     size, gram, few, spread = (F.element_at(F.array(*map(F.lit, x)), F.col("template") + 1) for x in (sizes, k, fewest, lack))
     text = ["key", "text_key", "template"]

@@ -48,7 +48,7 @@ _SEGMENT, _APART = "[A-Za-z0-9]", "(?<![A-Za-z0-9])"
 #: hyphens or underscores (possessive: no run of signs is tried from each of its places), and UUIDs. Patterns from ^ to $ are for all that is left in one piece: words, each in one
 #: case or capitalised, and digits, joined by any sign.
 ALLOWED = [
-    rf"(?i){_APART}(?:{_SEGMENT}++[-_]++)?{_SEGMENT}*?(?:example|sample|dummy|placeholder|changeme|redacted|x{{6}}|0{{8}}|12345678){_SEGMENT}*(?:[-_]+{_SEGMENT}*)?",
+    rf"(?i){_APART}(?:{_SEGMENT}++[-_]++|(?<![-_])[-_]++)?{_SEGMENT}*?(?:example|sample|dummy|placeholder|changeme|redacted|x{{6}}|0{{8}}|12345678){_SEGMENT}*(?:[-_]+{_SEGMENT}*)?",
     rf"{_APART}[0-9a-fA-F]{{8}}(?:-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}(?![A-Za-z0-9])",
     r"^(?!.*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z])).*$",
     r"^[-_/+=0-9]*$",

@@ -10,8 +10,9 @@ questions of truncation and budget are answered without encoding a text again.
 
 The places of the special token's own text are that one token, as in the library.
 
-Defined results: a null or empty text has no tokens; repeated rows each give a row; other
-columns are not read.
+Defined results: a null or empty text has no tokens; repeated rows each give a row; equal
+parts are counted once and very long ones in steps of one token's length each; an empty
+table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -245,8 +246,51 @@ def token_counts(docs: DataFrame, path: str, prefixes: bool = False) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def longest_prefix(text: str, budget: int, ends: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> int:
+    """The most characters of a text that have at most `budget` tokens; `ends`, `counts` as in prefix_count().
+
+    Cut inside a part, a text has the part's own prefix counts, from one table; only cuts in white space, contractions and
+    special tokens split anew.
+    """
+    if not len(counts) or counts[-1] <= budget:
+        return len(text)
+    over = int(np.searchsorted(counts, budget, "right"))  # the first part that ends beyond
+    # White space counts as one part where a text ends in it, so a cut in the part after may still do.
+    for i in range(min(over + 1, len(ends) - 1), -1, -1):
+        begin, before = (int(ends[i - 1]), int(counts[i - 1])) if i else (0, 0)
+        part = text[begin : int(ends[i])]
+        body = part[1:] if part[:1] == " " else part
+        if len(body) > 1 and not any(c.isspace() for c in body) and body[0] != "'" and SPECIAL[:2] not in text[max(0, begin - len(SPECIAL)) : int(ends[i])]:
+            table = vocabulary.prefix_counts(part.encode())
+            stops = np.cumsum([len(c.encode()) for c in part]).tolist()
+            fits = [n for n, stop in enumerate(stops[:-1], 1) if before + table[stop] <= budget and n > len(part) - len(body)]
+            if fits:
+                return begin + fits[-1]
+            tried = range(begin + len(part) - len(body), begin, -1)
+        else:
+            tried = range(int(ends[i]) - 1, begin, -1)
+        for length in (*tried, *([begin] if i == 0 or prefix_count(text, begin, ends, counts, vocabulary) <= budget else [])):
+            if length == 0 or prefix_count(text, length, ends, counts, vocabulary) <= budget:
+                return length
+    return 0
+
+
 def within_budget(docs: DataFrame, path: str, budget: int = LIMIT) -> DataFrame:
-    """doc_id, n_tokens and `prefix_end`: the end of the longest run of whole parts from the start that has at most `budget` tokens."""
-    counted = token_counts(docs, path, prefixes=True)
-    fits = F.size(F.filter("counts", lambda c: c <= budget))
-    return counted.select("doc_id", "n_tokens", F.when(fits > 0, F.element_at("ends", fits)).otherwise(0).alias("prefix_end"))
+    """doc_id, n_tokens and `prefix_end`: how many of the text's first characters have at most `budget` tokens, to the character."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("prefix_end", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = load_vocabulary(path)
+        counter = PartCounts(vocabulary)
+        for batch in batches:
+            for first, last, data, offsets in text_slices(batch.column(1), 2 << 20):
+                parts, counts = count_texts(data, offsets, counter)
+                begin, cuts, texts = _points(data, offsets)[1], parts.of_text, batch.column(1).slice(first, last - first).to_pylist()
+                total, kept = [], []
+                for k, (s, e) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+                    own = np.cumsum(counts[s:e])
+                    total.append(int(own[-1]) if e > s else 0)
+                    kept.append(longest_prefix(texts[k] or "", budget, parts.ends[s:e] - begin[k], own, vocabulary))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(total, pa.int64()), pa.array(kept, pa.int64())], schema=arrow)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, prefix_end long")

@@ -383,6 +383,37 @@ def test_scores_by_the_plain_formula(spark):
     assert got[-1] == got[-2]
 
 
+def test_budgets_to_the_character(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = [*ODD, "it's they're we'll 'sx ''s", "a  b\n\n c \t d  ", "²½ ४५ é　z q", "unbelievable antidisestablishmentarianism isn't", "x<|endoftext|>y <|end z", " " * 40 + "x" + "\n" * 9, "🎉🎉 née", "-" * 50 + "1234567"]
+    texts += ["".join(x) for x in itertools.islice(itertools.product("a's \n2.", repeat=4), 3, 2401, 97)]
+    for budget in (0, 1, 2, 5, 512):
+        got = {r.doc_id: r for r in token_counts.within_budget(docs(spark, texts), tokenizer_path("byte_bpe_50k.tiktoken"), budget).collect()}
+        for i, t in enumerate(texts):
+            if len(t or "") < 200:
+                counts = [len(library.encode((t or "")[:n], add_special_tokens=False).ids) for n in range(len(t or "") + 1)]
+                assert (got[i].n_tokens, got[i].prefix_end) == (counts[-1], max(n for n, c in enumerate(counts) if c <= budget)), (t, budget)
+
+
+ENGLISH = """It was under the old bridge that the terms of the agreement were read aloud. Licensed under a new name, the ship left
+the harbour subject to the wishes of the owner. The work is in the public domain of memory, free of charge and without any
+doubt; you may use the source of the river, and the use in the house is permitted. See the road that is available under the
+trees at the end of the year, or later, as published by the paper of record. The general public did not see the terms of
+the sale, and the copyright holders of the song were made available for any questions that the people had in the meantime."""
+
+
+def test_english_words_give_few_rows(spark):
+    rules = license_scan.rules_of(license_scan.PHRASES, license_scan.TEMPLATES)
+    texts = [ENGLISH.replace("river", f"river {i}") * 20 for i in range(10)]
+    rows = license_scan.hits(docs(spark, texts), rules)
+    n_words = sum(len(license_scan.words_of(t)) for t in texts)
+    assert rows.where("position >= 0").count() < 0.1 * n_words
+    notice = ENGLISH + " This is released under the MIT License. " + ENGLISH
+    assert license_scan.scan_licenses(docs(spark, [notice, ENGLISH])).orderBy("doc_id").select("labels").collect()[0].labels == ["mit"]
+
+
 def test_word_hashes_tell_regular_words_apart():
     a, b = "ab", "ba"
     while len(a) < 4096:  # two words that differ by an even pattern: equal under any polynomial modulo a power of two
