@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -13,11 +14,20 @@ def staged(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir. Only a session on one machine may leave it unset; on a cluster a
     folder of one machine would go with it.
     """
-    spark = df.sparkSession
+    _set_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder, for tables that a job writes and reads back."""
+    _set_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def _set_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)

@@ -7,16 +7,18 @@ and manifests by arithmetic on ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlist.functions import dates, names, urls
-from setlist.operators import fusion, layout, matching, responses, suggestions
+from setlist.operators import aliases, fusion, layout, matching, responses, suggestions
+from setlist.operators.numbering import counted
 from setlist.operators.playlist import resolve_songs, roll_up
-from setlist.operators.stage import staged
+from setlist.operators.stage import shared_folder, staged
 from setlist.plans import queries_sql
 from setlist.plans.match import anchored_report, job_counts, match_report
-from setlist.sources.tables import report_rows, result_json
+from setlist.sources.store import Store
+from setlist.sources.tables import files_fingerprint, read_events, read_lines, report_rows, result_json, write_events, write_lines
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -250,11 +252,115 @@ def name_keys(spark, d):
     return names.name_features(words.unionByName(named(spark, d).select("name"))).select("name", "key", "ocr", F.array_join("tokens", " ").alias("tokens"), F.size("grams").cast("long").alias("n_grams"), "latin")
 
 
+def _confidence(doc_id) -> Column:
+    return F.element_at(F.array(*map(F.lit, responses.CONFIDENCES)), (doc_id % 3 + 1).cast("int"))
+
+
+def reviewed_report(spark, d):
+    """rule_report after a review of every event's own name; four of five are confirmed."""
+    e, a, s = listings(spark, d)
+    decisions = s.select("job_id", "event_index", "artist_name", (F.col("event_index") % 5 != 0).alias("is_match"), _confidence(F.col("event_index") + 1).alias("confidence"), F.lit("seen").alias("reason"))
+    return _plain(match_report(e, a, decisions, s, slips=False))
+
+
+def gated_suggestions(spark, d):
+    """Suggestions in their requests' batches, checked against the events' own shortlists: own names, fifth candidates, the job's first artist, wrong batches and wrong performers."""
+    e, a, s = listings(spark, d)
+    lists = staged(suggestions.shortlists(e, a))
+    batches = staged(counted(e.select("job_id", "event_index"), "job_id", F.col("event_index")).select("job_id", "event_index", F.floor((F.col("index") - 1) / suggestions.PER_BATCH).cast("int").alias("batch_id")))
+    fifth = lists.where("rank = 5").select("job_id", "event_index", F.col("name").alias("fifth"))
+    first = a.groupBy("job_id").agg(F.min_by("name", "artist_ord").alias("first"))
+    rows = s.drop("batch_id", "event_performer").join(batches, ["job_id", "event_index"]).join(fifth, ["job_id", "event_index"], "left").join(first, "job_id").join(e.select("job_id", "event_index", "performer"), ["job_id", "event_index"])
+    n = F.col("event_index")
+    name = F.when(n % 7 == 0, F.col("first")).when(n % 3 == 2, F.coalesce("fifth", "artist_name")).otherwise(F.col("artist_name"))
+    rows = rows.select("job_id", (F.col("batch_id") + (n % 9 == 0).cast("int")).alias("batch_id"), "event_index", name.alias("artist_name"), "confidence", "reason", F.when(n % 10 == 0, "someone else").otherwise(F.col("performer")).alias("event_performer"))
+    return suggestions.accepted(rows, batches, e, lists)
+
+
+def suggestion_answers(spark, d):
+    """Answers to the requests of 400 documents each: two entries for every document, in one list or inside its events; one in 97 has an unknown confidence."""
+    documents = named(spark, d)
+    rows = events(documents).join(documents.select(F.col("doc_id").cast("int").alias("event_index"), "name"), "event_index")
+    n = F.col("event_index")
+    last = F.when(n % 97 == 0, "maybe").otherwise(_confidence(n)).alias("confidence")
+    entry = lambda index, confidence, reason, *more: F.to_json(F.struct(index.alias("event_index"), F.col("name").alias("artist_name"), confidence, F.lit(reason).alias("reason"), *more))
+    performer = F.col("performer").alias("event_performer")
+    listed = F.concat(entry(n, F.lit("低").alias("confidence"), "first"), F.lit(","), F.when(n % 5 == 0, entry(n.cast("string"), last, "last", performer)).otherwise(entry(n, last, "last", performer)))
+    inner = F.array(*[F.struct(F.col("name").alias("artist_name"), c, F.lit(r).alias("reason")) for c, r in ((F.lit("低").alias("confidence"), "first"), (last, "last"))])
+    nested = F.to_json(F.struct(n.alias("event_index"), performer, inner.alias("matches")))
+    rows = rows.select("job_id", F.floor(n / 400).cast("int").alias("batch_id"), "event_index", F.when(F.floor(n / 400) % 2 == 0, listed).otherwise(nested).alias("item"))
+    body = F.array_join(F.sort_array(F.collect_list(F.struct("event_index", "item")))["item"], ",")
+    texts = rows.groupBy("job_id", "batch_id").agg(body.alias("body"))
+    raw = F.concat(F.lit("```json\n{\""), F.when(F.col("batch_id") % 2 == 0, "matches").otherwise("events"), F.lit("\":["), "body", F.lit("]}\n``` and {more}"))
+    return responses.parsed_suggestions(texts.select("job_id", "batch_id", F.lit(0).alias("response_ord"), raw.alias("raw_text")))
+
+
+def review_answers(spark, d):
+    """A reviewer's answer to every document, as JSON of several makes or none."""
+    n = F.col("doc_id")
+    tail = F.concat(F.lit(',"confidence":"'), _confidence(n), F.lit('","reason":" '), "name", F.lit(' {}"}'))
+    flag = lambda x: F.concat(F.lit('{"is_match":' + x), tail)
+    raw = F.when(n % 6 == 0, F.concat(F.lit("```json\n"), flag("true"), F.lit("\n```"))).when(n % 6 == 1, flag('"yes"')).when(n % 6 == 2, flag('""')).when(n % 6 == 3, F.lit('{"is_match":0,"confidence":"maybe"}')).when(n % 6 == 4, F.concat("name", F.lit(" is no answer"))).otherwise(flag("null"))
+    return named(spark, d).select("doc_id", responses.parsed_decision(raw).alias("x")).select("doc_id", "x.is_match", "x.confidence", "x.reason")
+
+
+def dictionary_aliases(spark, d):
+    """The aliases of every part's numbered name, of some with an addition; eight neighbours are names of one artist."""
+    part = _table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"))
+    group = F.floor(F.col("p_partkey") / 8).cast("int")
+    dictionary = part.select(group.alias("group_ord"), (F.col("p_partkey") % 8).cast("int").alias("member_ord"), "name")
+    performer = F.when(F.col("p_partkey") % 3 == 0, F.concat("name", F.lit(" (live)"))).otherwise(F.col("name"))
+    return aliases.performer_aliases(part.select(performer.alias("performer")), dictionary).select("performer", "alias_ord", "value", "reason")
+
+
+def playlist_ids(spark, d):
+    """Ids in queries, in queries of fragments, escaped, in plain text, and none."""
+    n = F.col("page_id").cast("string")
+    kinds = [("https://music.example/#/playlist?x=1&id=", "&u=9"), ("https://music.example/playlist?id=", "#top"), ("see id=", " there"), ("https://music.example/playlist?a=b&id=a%2B", "")]
+    url = F.col("url")
+    for k, (before, after) in enumerate(kinds):
+        url = F.when(F.col("page_id") % 5 == k, F.concat(F.lit(before), n, F.lit(after))).otherwise(url)
+    return _table(spark, d, "pages").select("page_id", urls.playlist_id(url).alias("playlist_id"))
+
+
+def page_fingerprints(spark, d):
+    """Ten groups of pages by the hashes of their content, in the order of their ids."""
+    hashes = _table(spark, d, "pages").select((F.col("page_id") % 10).alias("part"), "page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha256"))
+    return files_fingerprint(hashes, "part", "page_id").select("part", "fingerprint", urls.source_key(F.col("fingerprint")).alias("source_key"))
+
+
+def stored_pages(spark, d):
+    """A store of every third page's note, then of the notes that it hasn't, then with every fifth page's put in place."""
+    store = Store(spark, shared_folder(spark))
+    pages = _table(spark, d, "pages").select("page_id", urls.note_key(F.col("url")).alias("fingerprint"), F.lit("1").alias("cache_version"), F.lit("pages").alias("source"))
+    store.merge(pages.where("page_id % 3 = 0").withColumn("stage", F.lit("first")))
+    store.merge(store.split(pages)[1].withColumn("stage", F.lit("second")))
+    store.merge(pages.where("page_id % 5 = 0").withColumn("stage", F.lit("third")))
+    return store.read("1", "pages").select("page_id", "fingerprint", "stage")
+
+
+def events_read_back(spark, d):
+    """Every event written as JSON and read; those without a performer's name have no date there, and are rejected."""
+    folder = shared_folder(spark)
+    rows = events(named(spark, d)).select(F.col("job_id").alias("note_id"), "event_index", F.when(F.col("performer") != "", F.col("date_text")).alias("date_text"), "performer", F.nullif("venue", F.lit("")).alias("venue"))
+    write_events(rows, folder)
+    return read_events(spark, folder).select("note_id", "event_index", "date_text", "performer", "venue", "image_name", "source_note")
+
+
+def lines_read_back(spark, d):
+    """The images' positioned lines written as JSON and read, numbered anew."""
+    folder = shared_folder(spark)
+    write_lines(images(spark, d).withColumn("height", F.lit(1920)), folder)
+    rows = read_lines(spark, folder)
+    return rows.select("note_id", F.size("lines").cast("long").alias("n_lines"), F.array_join(F.transform("lines", lambda x: F.concat(x["line_ord"].cast("string"), F.lit(":"), x["text"])), "|").alias("texts"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         playlist_rollup, resolved_tracks, fuzzy_report, rule_report, anchored, report_sheet, report_json, exact_anchors, event_shortlists, packed_requests, valid_suggestions, recognised, layout_rows, event_dates,
         overlapping_events, deduplicated_events, accepted_batches, note_status, fused_events, note_urls, page_images, image_manifest, known_pages, name_keys,
+        reviewed_report, gated_suggestions, suggestion_answers, review_answers, dictionary_aliases, playlist_ids, page_fingerprints, stored_pages, events_read_back, lines_read_back,
     )
 }
 

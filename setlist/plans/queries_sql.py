@@ -115,6 +115,13 @@ _ANCHORED = _report(
  m0 AS (SELECT 0 AS origin, job_id, event_index, artist_ord, 1.0::DOUBLE AS score, '高' AS confidence, '精确名称锚定' AS method, {_CLEAN('performer')} AS alias FROM anchor JOIN e USING (job_id, event_index) UNION ALL SELECT 1 AS origin, * FROM ({_suggestions('free', 'anchor', '直接匹配')}))"""
 )
 
+_REVIEWED = _report(
+    f"""{_FUZZY}, dc AS (SELECT job_id, doc_id::INT AS event_index, name, doc_id%5<>0 AS yes, (['高','中','低'])[(doc_id+1)%3+1] AS own FROM d),
+ rv AS (SELECT f.job_id, f.event_index, f.artist_ord, score, CASE WHEN f.confidence<>'高' AND yes IS NOT NULL THEN own ELSE f.confidence END AS confidence, CASE WHEN f.confidence<>'高' AND yes IS NOT NULL THEN method||' + AI复核：seen' ELSE method END AS method, alias
+   FROM f JOIN a USING (job_id, artist_ord) LEFT JOIN dc ON dc.job_id=f.job_id AND dc.event_index=f.event_index AND dc.name=a.name WHERE f.confidence='高' OR yes IS NULL OR yes),
+ m0 AS (SELECT 0 AS origin, * FROM rv UNION ALL SELECT 0 AS origin, * FROM ({_suggestions('a', 'rv', '候选补充')}))"""
+)
+
 #: Lines of the images: by order, each line item's own.
 _LINES = r"""li AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey::VARCHAR AS p, floor(l_quantity)::INT AS q, l_linenumber*100.0::DOUBLE AS y FROM lineitem),
  ld AS (SELECT *, ((ln+0)%12+1)::VARCHAR||' / '||(q%28+1)::VARCHAR AS d0, ((ln+5)%12+1)::VARCHAR||' / '||(q%28+1)::VARCHAR AS d5, ((ln+7)%12+1)::VARCHAR||' / '||(q%28+1)::VARCHAR AS d7 FROM li),
@@ -184,6 +191,28 @@ SELECT job_id, batch_id, count(*) AS n_events, to_json({'events':list({'event_in
     "valid_suggestions": f"""WITH {_EVENTS}, {_ARTISTS}, {_SUGGESTED}, {_ALIASES}, {_TIERS}
 SELECT s.job_id, 0::INT AS batch_id, s.event_index, s.artist_name, s.confidence, 'same words' AS reason, s.artist_name AS event_performer FROM s JOIN e USING (job_id, event_index) JOIN n x ON x.name=s.artist_name JOIN n y ON y.name=e.performer JOIN tier ON tier.job_id=s.job_id AND tier.event_index=s.event_index AND tier.artist_ord=s.event_index
 WHERE s.artist_name<>'' AND x.key=y.key AND tier.r.t>=2""",
+    "reviewed_report": _REVIEWED + " SELECT * FROM report",
+    "gated_suggestions": f"""{_SHORTLISTS}, {_SUGGESTED},
+ b AS (SELECT job_id, event_index, performer, ((row_number() OVER (PARTITION BY job_id ORDER BY event_index)-1)//20)::INT AS batch_id FROM e),
+ g AS (SELECT job_id, event_index, performer, batch_id, confidence, CASE WHEN event_index%7=0 THEN first.name WHEN event_index%3=2 THEN coalesce(fifth.name, artist_name) ELSE artist_name END AS artist_name
+   FROM s JOIN b USING (job_id, event_index) JOIN (SELECT job_id, arg_min(name, artist_ord) AS name FROM a GROUP BY 1) first USING (job_id) LEFT JOIN (SELECT job_id, event_index, name FROM short WHERE rank=5) fifth USING (job_id, event_index)),
+ ok AS (SELECT DISTINCT job_id, event_index, key FROM short JOIN n USING (name)), near AS (SELECT DISTINCT job_id, event_index, a.name FROM tier JOIN a USING (job_id, artist_ord) WHERE tier.r.t>=4)
+SELECT g.job_id, batch_id, g.event_index, artist_name, confidence, 'same words' AS reason, performer AS event_performer FROM g JOIN n ON n.name=g.artist_name JOIN ok ON ok.job_id=g.job_id AND ok.event_index=g.event_index AND ok.key=n.key JOIN near ON near.job_id=g.job_id AND near.event_index=g.event_index AND near.name=g.artist_name
+WHERE g.event_index%9<>0 AND g.event_index%10<>0 AND performer<>''""",
+    "suggestion_answers": f"""WITH {_EVENTS}, x AS (SELECT e.job_id, (event_index//400)::INT AS batch_id, event_index, name, performer FROM e JOIN d ON d.doc_id=event_index WHERE name<>'')
+SELECT job_id, batch_id, 0 AS response_ord, event_index, name AS artist_name, (['高','中','低'])[event_index%3+1] AS confidence, 'last' AS reason, performer AS event_performer FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.job_id=x.job_id AND y.batch_id=x.batch_id AND y.event_index%97=0)""",
+    "review_answers": f"""WITH {_DOCS} SELECT doc_id, CASE WHEN k IN (0,1) THEN true WHEN k IN (2,5) THEN false END AS is_match, CASE WHEN k IN (0,1,2,5) THEN (['高','中','低'])[doc_id%3+1] END AS confidence, CASE WHEN k IN (0,1,2,5) THEN trim(name||' {{}}') END AS reason FROM (SELECT *, doc_id%6 AS k FROM d)""",
+    "dictionary_aliases": """WITH p AS (SELECT p_partkey AS k, p_name||' '||p_partkey::VARCHAR AS name, CASE WHEN p_partkey%3=0 THEN ' (live)' ELSE '' END AS more FROM part),
+ x AS (SELECT name||more AS performer, 0 AS kind, 0 AS m, name||more AS value, '图片演出名' AS reason FROM p UNION ALL SELECT name||more, 1, 0, name, '去括号名称' FROM p WHERE more<>'' UNION ALL SELECT name||more, 2, 0, 'live', '括号内名称' FROM p WHERE more<>''
+   UNION ALL SELECT p.name||p.more, 3, o.k%8, o.name, '常见别名/译名' FROM p JOIN p o ON o.k//8=p.k//8 AND o.k<>p.k)
+SELECT performer, (row_number() OVER (PARTITION BY performer ORDER BY kind, m)-1)::INT AS alias_ord, value, reason FROM x""",
+    "playlist_ids": """SELECT page_id, CASE WHEN page_id%5<3 THEN page_id::VARCHAR WHEN page_id%5=3 THEN 'a+'||page_id::VARCHAR END AS playlist_id FROM pages""",
+    "page_fingerprints": """SELECT part, fingerprint, left(sha256(fingerprint),16) AS source_key FROM (SELECT page_id%10 AS part, sha256(string_agg(sha256(coalesce(html,''))||chr(10),'' ORDER BY page_id)) AS fingerprint FROM pages GROUP BY 1)""",
+    "stored_pages": rf"""WITH p AS (SELECT page_id, sha256(lower({_URL},1))||'://'||lower({_URL},2))||coalesce(nullif(regexp_replace({_URL},3),'/+$',''),''),'/')) AS fingerprint FROM pages),
+ x AS (SELECT *, 'first' AS stage FROM p WHERE page_id%3=0 UNION ALL SELECT *, 'second' FROM p WHERE fingerprint NOT IN (SELECT fingerprint FROM p WHERE page_id%3=0))
+SELECT * FROM x WHERE fingerprint NOT IN (SELECT fingerprint FROM p WHERE page_id%5=0) UNION ALL SELECT *, 'third' FROM p WHERE page_id%5=0""",
+    "events_read_back": f"""WITH {_EVENTS} SELECT job_id AS note_id, event_index, date_text, performer, venue, '' AS image_name, '' AS source_note FROM e WHERE performer<>''""",
+    "lines_read_back": f"WITH RECURSIVE {_LINES} SELECT k::VARCHAR AS note_id, count(*) AS n_lines, string_agg(pos::VARCHAR||':'||text,'|' ORDER BY pos) AS texts FROM (SELECT k, text, row_number() OVER (PARTITION BY k ORDER BY line_ord)-1 AS pos FROM sl) GROUP BY k",
     "deduplicated_events": f"""WITH x AS (SELECT note_id, doc_id*16777216+i-1 AS ord, '1.'||(doc_id%3)::VARCHAR AS date_text, w[i] AS performer, CASE WHEN doc_id%5=0 THEN 'hall' ELSE '' END AS venue FROM (SELECT doc_id, note_id, w, unnest(range(1,len(w)+1)) AS i FROM (SELECT doc_id, coalesce(source,'') AS note_id, regexp_extract_all(coalesce(text,''),'\\p{{L}}+') AS w FROM documents))),
  y AS (SELECT *, lower(performer) AS k FROM x)
 SELECT note_id, min(ord) AS ord, date_text, arg_min(performer, {{'b':venue='','o':ord}}) AS performer, arg_min(venue, {{'b':venue='','o':ord}}) AS venue FROM y GROUP BY note_id, date_text, k""",
