@@ -18,6 +18,7 @@ ROW, GAP_LEAST, GAP_MOST, COLUMN = 18.0, 40.0, 72.0, 70.0
 #: Short names of venues, and parts of longer ones.
 VENUE_NAMES = ["东体", "梅奔", "虹馆", "红石", "摩登", "静安", "瓦肆", "JZ", "Jz", "MAO", "MOSH", "CAVE", "Coven", "Legacy", "Encore", "Cream", "MeHub", "WEST", "翡声", "霏声", "乐无界"]
 VENUE_PARTS = r"(?i)馆|堂|空间|球场|体育场|体育馆|音乐厅|足球场|剧院|演艺|Livehouse|Legacy|Encore|Cream|MeHub|CAVE|Coven|WEST|Wast|est|MAO|MOSH|JZ|梅奔|东体|虹馆|红石|摩登|静安|瓦肆|育音堂|新歌空间|翡声|霏声|乐无界|星在|GT\.?CH|虹口|东艺"
+#: Header words of either kind of page, and weekdays.
 _HEADERS = "日期|场地|阵容|仅供参考|实际演出为准"
 _SUMMARY_HEADERS = "(?i)日期|歌手|阵容|场地|周|week|artist"
 _WEEKDAYS = "^(周|星期)?[一二三四五六日天]$"

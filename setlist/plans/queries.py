@@ -25,16 +25,17 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _words():
-    """The distinct words of a whole text, the longest first."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0)))
-    return F.sort_array(F.transform(found, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("word"))))["word"]
+def _name() -> Column:
+    """The two longest distinct words of a whole text, of equally long ones the first by letters; two passes, no sort."""
+    words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("word")))
+    second = lambda own, first: F.array_min(F.filter(own, lambda x: x != first))["word"]
+    return dates.let(words, lambda own: dates.let(F.array_min(own), lambda first: F.array_join(F.array(first["word"], second(own, first)), " ")))
 
 
 def named(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, job_id, lang, name of every document."""
     docs = _table(spark, d, "documents")
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("job_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.array_join(F.slice(_words(), 1, 2), " ").alias("name"))
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("job_id"), F.coalesce("lang", F.lit("")).alias("lang"), _name().alias("name"))
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
