@@ -10,7 +10,7 @@ _EVENTS = _DOCS + """, e AS MATERIALIZED (SELECT job_id, doc_id::INT AS event_in
   CASE WHEN doc_id%3=0 THEN '' ELSE lang END AS venue FROM d)"""
 _ARTISTS = "a AS MATERIALIZED (SELECT job_id, doc_id::INT AS artist_ord, name, (doc_id%7+1)::INT AS song_count, 'song '||doc_id::VARCHAR AS song FROM d)"
 _SUGGESTED = "s AS (SELECT job_id, doc_id::INT AS event_index, name AS artist_name, (['高','中','低'])[doc_id%3+1] AS confidence FROM d)"
-_CLEAN = lambda c: rf"regexp_replace(trim(regexp_replace({c},'\s+',' ','g')),' *([/&+×]) *','\1','g')"
+_CLEAN = lambda c: rf"regexp_replace(regexp_replace(trim(regexp_replace({c},'\s+',' ','g')),'([一-鿿]) ([一-鿿])','\1\2','g'),' *([/&+×]) *','\1','g')"
 _KEY = lambda c: rf"""regexp_replace(regexp_replace(translate(lower(strip_accents({_CLEAN(c)})),'丨|','ii'),'[&+]','and','g'),'[\s''"`.,:;!?()\[\]{{}}<>·•\-_/\\|（），。、！：；《》【】]','','g')"""
 _RANGE = """r AS (SELECT *, split_part(split_part(date_text,'-',1),'.',1)::INT AS m, split_part(split_part(date_text,'-',1),'.',2)::INT AS d,
   CASE WHEN contains(date_text,'-') THEN split_part(date_text,'-',2)::INT END AS d2,
@@ -29,7 +29,7 @@ _ALIASES = rf"""nm AS (SELECT performer AS name FROM e UNION SELECT {_CLEAN('per
  l3 AS (SELECT *, row_number() OVER (PARTITION BY name, key ORDER BY o) AS k FROM l2 WHERE key<>''),
  al AS MATERIALIZED (SELECT name, row_number() OVER (PARTITION BY name ORDER BY o)-1 AS alias_ord, value FROM l3 WHERE k=1),
  n AS MATERIALIZED (SELECT *, translate(key,'1i0','llo') AS ocr, list_distinct(list_filter(list_transform(range(1,greatest(length(key),2)), lambda i: substr(key,i,2)), lambda g: g<>'')) AS grams,
-   list_filter(list_distinct(regexp_extract_all(cf,'[a-z0-9一-鿿]+')), lambda w: w<>'and') AS words FROM (SELECT name, {_KEY('name')} AS key, replace(lower(name),'ß','ss') AS cf, regexp_matches(lower(strip_accents(name)),'[a-z]') AS latin,
+   list_filter(list_distinct(regexp_extract_all(cf,'[a-z0-9一-鿿]+')), lambda w: w<>'and') AS words FROM (SELECT name, {_KEY('name')} AS key, replace(lower(name),'ß','ss') AS cf, regexp_matches(lower(strip_accents(name)),'[a-z]') AS latin, regexp_matches(name,'[一-鿿]') AS cjk,
    list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents({_CLEAN('name')})),'[&+]',' and ','g'),'[^a-z0-9一-鿿]+'), lambda w: w NOT IN ('','and','the','live','concert','show','festival','上海','嘉宾','专场')) AS tokens FROM (SELECT name FROM nm UNION SELECT value FROM al)))"""
 
 
@@ -42,10 +42,11 @@ def _shorter(x: str, y: str) -> str:
 
 
 def _rule(x: str, y: str) -> str:
-    """The number of the first rule that joins two names without Chinese."""
+    """The number of the first rule that joins two names."""
     return f"""CASE WHEN {x}.key='' OR {y}.key='' THEN NULL WHEN {x}.key={y}.key THEN 1 WHEN {x}.ocr={y}.ocr AND length({x}.ocr)>=4 THEN 2
-  WHEN least(length({x}.key),length({y}.key))>=6 AND {_inside(x, y)} AND {_shorter(x, y)}>=0.62 THEN 3
-  WHEN len({x}.tokens)>=2 AND len({y}.tokens)>=2 AND (CASE WHEN len({x}.tokens)<=len({y}.tokens) THEN list_has_all({y}.tokens,{x}.tokens) ELSE list_has_all({x}.tokens,{y}.tokens) END) THEN 4 END"""
+  WHEN ({x}.cjk OR {y}.cjk) AND least(length({x}.key),length({y}.key))>=2 AND {_inside(x, y)} AND {_shorter(x, y)}>=0.45 THEN 3
+  WHEN NOT ({x}.cjk OR {y}.cjk) AND least(length({x}.key),length({y}.key))>=6 AND {_inside(x, y)} AND {_shorter(x, y)}>=0.62 THEN 4
+  WHEN len({x}.tokens)>=2 AND len({y}.tokens)>=2 AND (CASE WHEN len({x}.tokens)<=len({y}.tokens) THEN list_has_all({y}.tokens,{x}.tokens) ELSE list_has_all({x}.tokens,{y}.tokens) END) THEN 5 END"""
 
 
 def _spelling(a: str, b: str) -> str:
@@ -72,8 +73,8 @@ _SHORTLISTS = f"""WITH {_EVENTS}, {_ARTISTS}, {_ALIASES}, {_TIERS},
  short AS (SELECT job_id, event_index, rank::INT AS rank, artist_ord, name, r.t::INT AS tier, r.s AS score FROM ranked WHERE rank<=5)"""
 
 _FUZZY = f"""p AS (SELECT e.job_id, event_index, artist_ord, alias_ord, al.value, {_rule('x', 'y')} AS rule FROM e JOIN al ON al.name=e.performer JOIN n x ON x.name=al.value JOIN a USING (job_id) JOIN n y ON y.name=a.name),
- q AS (SELECT *, row_number() OVER (PARTITION BY job_id, event_index, artist_ord ORDER BY least(rule,5), alias_ord) AS k FROM p WHERE rule IS NOT NULL),
- f AS (SELECT job_id, event_index, artist_ord, ([1.0,0.94,0.88,0.87])[rule]::DOUBLE AS score, CASE WHEN rule=1 THEN '高' ELSE '中' END AS confidence, (['清洗后精确匹配','OCR 字形混淆匹配','英文包含匹配','英文 token 集合匹配'])[rule] AS method, value AS alias FROM q WHERE k=1)"""
+ q AS (SELECT *, row_number() OVER (PARTITION BY job_id, event_index, artist_ord ORDER BY rule, alias_ord) AS k FROM p WHERE rule IS NOT NULL),
+ f AS (SELECT job_id, event_index, artist_ord, ([1.0,0.94,0.9,0.88,0.87])[rule]::DOUBLE AS score, CASE WHEN rule=1 THEN '高' ELSE '中' END AS confidence, (['清洗后精确匹配','OCR 字形混淆匹配','中文包含匹配','英文包含匹配','英文 token 集合匹配'])[rule] AS method, value AS alias FROM q WHERE k=1)"""
 _ANCHORS = """one AS (SELECT job_id, key, min(artist_ord) AS artist_ord FROM a JOIN n USING (name) WHERE key<>'' GROUP BY ALL HAVING count(*)=1),
  two AS (SELECT job_id, ocr, min(artist_ord) AS artist_ord FROM a JOIN n USING (name) WHERE key<>'' GROUP BY ALL HAVING count(*)=1),
  f1 AS (SELECT e.job_id, event_index, one.artist_ord FROM e JOIN n ON n.name=e.performer JOIN one ON one.job_id=e.job_id AND one.key=n.key),
@@ -102,7 +103,7 @@ def _report(found: str) -> str:
  close AS MATERIALIZED (SELECT DISTINCT w.job_id, w.event_index, w.artist_ord, th.event_index AS their, th.venue, th.t-th.s AS days, w.name, th.performer FROM who w JOIN there th ON th.job_id=w.job_id AND w.s<=th.t AND th.s<=w.t),
  names AS MATERIALIZED (SELECT DISTINCT name, performer FROM close),
  alike AS (SELECT DISTINCT c.name, c.performer FROM names c JOIN n w ON w.name=c.name JOIN n v ON v.name=c.performer LEFT JOIN al x1 ON x1.name=c.name LEFT JOIN n x ON x.name=x1.value LEFT JOIN al y1 ON y1.name=c.performer LEFT JOIN n y ON y.name=y1.value
-   WHERE w.key<>'' AND v.key<>'' AND (w.key=v.key OR ({_rule('x', 'v')}) IS NOT NULL OR ({_rule('y', 'w')}) IS NOT NULL)),
+   WHERE w.key<>'' AND v.key<>'' AND (w.key=v.key OR ({_rule('x', 'v')}) IS NOT NULL OR ({_rule('y', 'w')}) IS NOT NULL OR (w.cjk OR v.cjk) AND least(length(w.key),length(v.key))>=2 AND {_inside('w', 'v')})),
  fill AS (SELECT job_id, event_index, artist_ord, arg_min(venue, {{'d':-days,'e':their}}) AS venue FROM close JOIN alike USING (name, performer) GROUP BY ALL HAVING count(DISTINCT venue)=1),
  report AS (SELECT z.job_id, row_number() OVER (PARTITION BY z.job_id ORDER BY m*100+d, performer, score DESC, days DESC, conf DESC, z.venue='', song_count DESC, origin, event_index, artist_ord)::INT AS index, date_text,
    m::VARCHAR||'月'||d::VARCHAR||'日'||CASE WHEN d2 IS NULL THEN '' ELSE '-'||d2::VARCHAR||'日' END AS date_display, performer, coalesce(fill.venue, z.venue) AS venue, artist_name, song_count AS playlist_song_count, song AS sample_songs, confidence, score, method AS match_method, alias AS matched_alias, '' AS image_name
@@ -122,6 +123,15 @@ _REVIEWED = _report(
  m0 AS (SELECT 0 AS origin, * FROM rv UNION ALL SELECT 0 AS origin, * FROM ({_suggestions('a', 'rv', '候选补充')}))"""
 )
 
+#: Letters and the Chinese characters that a view of Chinese names has in their place.
+LATIN, CHINESE = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+
+
+def _chinese(sql: str) -> str:
+    """The same report on Chinese names, with the first three fifths of some for the look-alike digits."""
+    return sql.replace(f"{_NAME} AS name", f"translate(lower({_NAME}),'{LATIN}','{CHINESE}') AS name").replace("translate(name,'lo','10')", "left(name,(length(name)*3+4)//5)")
+
+
 #: Lines of the images: by order, each line item's own.
 _LINES = r"""li AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey::VARCHAR AS p, floor(l_quantity)::INT AS q, l_linenumber*100.0::DOUBLE AS y FROM lineitem),
  ld AS (SELECT *, ((ln+0)%12+1)::VARCHAR||' / '||(q%28+1)::VARCHAR AS d0, ((ln+5)%12+1)::VARCHAR||' / '||(q%28+1)::VARCHAR AS d5, ((ln+7)%12+1)::VARCHAR||' / '||(q%28+1)::VARCHAR AS d7 FROM li),
@@ -191,6 +201,8 @@ SELECT job_id, batch_id, count(*) AS n_events, to_json({'events':list({'event_in
     "valid_suggestions": f"""WITH {_EVENTS}, {_ARTISTS}, {_SUGGESTED}, {_ALIASES}, {_TIERS}
 SELECT s.job_id, 0::INT AS batch_id, s.event_index, s.artist_name, s.confidence, 'same words' AS reason, s.artist_name AS event_performer FROM s JOIN e USING (job_id, event_index) JOIN n x ON x.name=s.artist_name JOIN n y ON y.name=e.performer JOIN tier ON tier.job_id=s.job_id AND tier.event_index=s.event_index AND tier.artist_ord=s.event_index
 WHERE s.artist_name<>'' AND x.key=y.key AND tier.r.t>=2""",
+    "chinese_report": _chinese(_RULES + " SELECT * FROM report"),
+    "chinese_anchored": _chinese(_ANCHORED + " SELECT * FROM report"),
     "reviewed_report": _REVIEWED + " SELECT * FROM report",
     "gated_suggestions": f"""{_SHORTLISTS}, {_SUGGESTED},
  b AS (SELECT job_id, event_index, performer, ((row_number() OVER (PARTITION BY job_id ORDER BY event_index)-1)//20)::INT AS batch_id FROM e),
