@@ -40,7 +40,7 @@ ROWS_WITH, FEATURES = 3, 1 << 16
 #: Log-likelihood ratio with the label from which a feature counts in full, and the value of a neutral one.
 RATIO, LEAST_VALUE = 28.0, 0.1
 FACTORS, ROUNDS, STEP = 4, 60, 0.1
-_CACHE = 200_000
+_CACHE = 40_000
 
 
 def word_terms(word: str) -> list[int]:

@@ -26,6 +26,8 @@ ALNUM_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Factors by which k-grams of word hashes are hashed; those by one tell nothing about those by the other.
 GRAM, OTHER_GRAM = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _SLICE_BYTES = 1 << 19
+#: Characters that are hashed at once.
+_AT_ONCE = 1 << 15
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer."""
@@ -51,15 +53,19 @@ class Words:
         Each character and its place in the word give a number of their own, and those are added up: no arrangement of
         characters makes two words alike but by chance.
         """
-        if not self.data.size:
-            return np.zeros(self.starts.size, np.uint64)
         size = self.ends - self.starts
-        at = np.repeat(self.starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        place = at - np.repeat(self.starts, size)
-        rolled = np.zeros(at.size + 1, np.uint64)
-        np.cumsum(mix(mix((place.astype(np.uint64) << np.uint64(24)) + self.data[at] + np.uint64(1)) + np.uint64(seed)), out=rolled[1:])
-        last = np.cumsum(size)
-        return mix(rolled[last] - rolled[last - size] + size.astype(np.uint64))
+        upto, found, first = np.cumsum(size), np.empty(size.size, np.uint64), 0
+        while first < size.size:  # some words at a time, as each character takes a few numbers
+            stop = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _AT_ONCE, "right")))
+            own = size[first:stop]
+            begin = np.cumsum(own) - own
+            place = np.arange(own.sum()) - np.repeat(begin, own)
+            sign = self.data[place + np.repeat(self.starts[first:stop], own)]
+            rolled = np.zeros(place.size + 1, np.uint64)
+            np.cumsum(mix(mix((place.astype(np.uint64) << np.uint64(24)) + sign + np.uint64(1)) + np.uint64(seed)), out=rolled[1:])
+            found[first:stop] = rolled[begin + own] - rolled[begin]
+            first = stop
+        return mix(found + size.astype(np.uint64))
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.of_text.size - 1), np.diff(self.of_text))
