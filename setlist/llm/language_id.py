@@ -7,7 +7,9 @@ of the word, by the forward algorithm on the word's lattice.
 
 Defined results: a null text and one without a letter get `und` with score 0; rows
 without a language, or in the held-out fold, teach nothing; if nothing is left to learn from,
-all texts get `und`; repeated rows each give a row; other columns are not read.
+all texts get `und`; of languages that are equally likely the first by name is taken;
+very long texts are scored whole; repeated rows each give a row; an empty table gives an
+empty one; other columns are not read.
 """
 
 from __future__ import annotations
