@@ -194,3 +194,14 @@ def test_playlist_files(spark, tmp_path):
 
 def test_clean_line(spark):
     assert spark.range(1).select(clean_line(F.lit("7  HERTZ"))).first()[0] == "7HERTZ"
+
+
+def test_written_lines_are_compressed(spark, tmp_path):
+    from setlist.sources.tables import read_lines, write_lines
+
+    lines = [(i, f"Band {i}", 1.0, 2.0, 3.0, 4.0) for i in range(50)]
+    kind = "note_id string, image_ord int, image_name string, width int, height int, lines array<struct<line_ord:int,text:string,x1:double,y1:double,x2:double,y2:double>>"
+    write_lines(spark.createDataFrame([("n", 0, "n.jpg", 1080, 1920, lines)], kind), str(tmp_path / "lines"))
+    files = [p for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-")]
+    assert files and all(p.suffix == ".gz" for p in files)
+    assert [tuple(x) for x in read_lines(spark, str(tmp_path / "lines")).first().lines] == lines
