@@ -75,8 +75,8 @@ def _prepared(images: DataFrame) -> DataFrame:
     return rows.withColumn("starts", column_starts(F.col("lines")))
 
 
-def _summary_rows(rows: DataFrame) -> DataFrame:
-    """Pages of several date columns: each performer between a date and the next column."""
+def _summary_rows() -> Column:
+    """Events of a page of several date columns: each performer between a date and the next column."""
     wide, starts, lines = F.col("wide"), F.col("starts"), F.col("lines")
     dates = F.filter(lines, lambda d: d["dated"] & F.exists(starts, lambda s: F.abs(d["x1"] - s) <= COLUMN))
 
@@ -85,12 +85,11 @@ def _summary_rows(rows: DataFrame) -> DataFrame:
         return (p["row"] == d["row"]) & (p["x1"] >= d["x2"] + F.greatest(F.lit(52.0), wide * 0.04)) & (p["x1"] < next_start - F.greatest(F.lit(16.0), wide * 0.015)) & is_summary_performer(p["text"])
 
     pair = lambda d, p: F.struct(F.struct(d["row"].cast("double").alias("a"), d["x1"].alias("b"), d["place"].alias("c"), p["place"].alias("d")).alias("at"), d["raw"].alias("date"), F.lit(None).cast("string").alias("until"), p["text"].alias("performer"), F.lit("").alias("venue"))
-    found = F.flatten(F.transform(dates, lambda d: F.transform(F.filter(lines, lambda p: inside(d, p)), lambda p: pair(d, p))))
-    return rows.select("note_id", "image_ord", "image_name", F.inline(found))
+    return F.flatten(F.transform(dates, lambda d: F.transform(F.filter(lines, lambda p: inside(d, p)), lambda p: pair(d, p))))
 
 
-def _detail_rows(rows: DataFrame) -> DataFrame:
-    """Pages of one column: each performer with the nearest venue and date of its row, or of the row just below."""
+def _detail_rows() -> Column:
+    """Events of a page of one column: each performer with the nearest venue and date of its row, or of the row just below."""
     scale = F.col("scale")
 
     def with_venue(lines: Column) -> Column:
@@ -111,15 +110,12 @@ def _detail_rows(rows: DataFrame) -> DataFrame:
 
         return F.transform(lines, told)
 
-    rows = rows.withColumn("lines", with_venue(F.col("lines")))
-    lines = F.col("lines")
-
     def nearest(some: Column, p: Column, field: str) -> Column:
         """Of the lines that have the field the one next in height, the first of equal ones."""
         own = F.filter(some, lambda x: x[field].isNotNull())
         return F.array_min(F.transform(own, lambda x: F.struct(F.abs(x["cy"] - p["cy"]).alias("far"), x["place"].alias("place"), x[field].alias("x"))))["x"]
 
-    def event(p: Column) -> Column:
+    def event(p: Column, lines: Column) -> Column:
         around = F.filter(lines, lambda x: (x["row"] == p["row"]) | (x["row"] == p["row"] + 1))
         halves = lambda near: F.struct(F.filter(near, lambda x: x["row"] == p["row"]).alias("own"), F.filter(near, lambda x: x["row"] > p["row"]).alias("under"))
 
@@ -136,15 +132,16 @@ def _detail_rows(rows: DataFrame) -> DataFrame:
 
         return let(let(around, halves), lambda rows: let(seen(rows), lambda venues: chosen(rows, venues)))
 
-    found = F.transform(F.filter(lines, lambda x: x["performer"]), event)
-    return rows.select("note_id", "image_ord", "image_name", F.inline(F.filter(found, lambda e: e["date"].isNotNull())))
+    events = lambda lines: F.transform(F.filter(lines, lambda x: x["performer"]), lambda p: event(p, lines))
+    return F.filter(let(with_venue(F.col("lines")), events), lambda e: e["date"].isNotNull())
 
 
 def layout_events(images: DataFrame) -> DataFrame:
     """note_id, event_index, date_text, performer, venue, image_name: deduplicated events in order of images and lines."""
     rows = _prepared(images)
+    # One look at each image: as a filter, the number of columns would be worked out again for each kind of page.
     several = F.size("starts") >= 2
-    found = _summary_rows(rows.where(several)).unionByName(_detail_rows(rows.where(~several)))
+    found = rows.select("note_id", "image_ord", "image_name", F.inline(F.when(several, _summary_rows()).otherwise(_detail_rows())))
     date = F.when(F.col("until").isNull(), merge_date_range(F.col("date"))).otherwise(merge_date_range(F.col("date"), F.col("until")))
     events = found.select("note_id", F.struct("image_ord", "at").alias("ord"), date.alias("date_text"), "performer", "venue", "image_name")
     return indexed(deduplicated(events, ["note_id"]))

@@ -205,3 +205,11 @@ def test_written_lines_are_compressed(spark, tmp_path):
     files = [p for p in (tmp_path / "lines").iterdir() if p.name.startswith("part-")]
     assert files and all(p.suffix == ".gz" for p in files)
     assert [tuple(x) for x in read_lines(spark, str(tmp_path / "lines")).first().lines] == lines
+
+
+def test_images_are_looked_at_once(spark):
+    from setlist.operators.layout import layout_events
+
+    kind = "note_id string, image_ord int, image_name string, width int, lines array<struct<line_ord:int,text:string,x1:double,y1:double,x2:double,y2:double>>"
+    plan = layout_events(spark.createDataFrame([], kind))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1
