@@ -14,14 +14,16 @@ MAX_BYTES, MAX_SIDE, MAX_PIXELS = 12 * 1024 * 1024, 12_000, 12_000_000
 
 
 def performer_key(performer: Column) -> Column:
-    """Lower-case letters, digits and underscores of a recognised performer."""
-    return F.lower(F.regexp_replace(clean_line(performer), r"(?U)[^\w一-鿿]", ""))
+    """Lower-case letters, digits and underscores of a recognised performer; one that has nothing else needs no cleaning."""
+    cleaned = F.regexp_replace(clean_line(performer), r"(?U)[^\w一-鿿]", "")
+    return F.lower(F.when(performer.rlike(r"(?U)^\w++\z"), performer).otherwise(cleaned))
 
 
 def deduplicated(events: DataFrame, group: list[str], order: str = "ord") -> DataFrame:
     """One row for each group, date and performer key: the first with a venue, else the first; `order` is that of the first. Blank keys go."""
-    rows = events.withColumn("pkey", performer_key(F.col("performer"))).where("pkey <> ''")
     rest = [c for c in events.columns if c not in (*group, order)]
+    # Equal rows become one before anything is worked out of them: keys are those of distinct names.
+    rows = events.groupBy(*group, *rest).agg(F.min(order).alias(order)).withColumn("pkey", performer_key(F.col("performer"))).where("pkey <> ''")
     best = F.min_by(F.struct(*rest), F.struct(F.col("venue") == "", order)).alias("e")
     return rows.groupBy(*group, F.col("date_text").alias("_date"), "pkey").agg(best, F.min(order).alias(order)).select(*group, order, "e.*")
 
