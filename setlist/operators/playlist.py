@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from setlist.functions.dates import strip
 from setlist.operators.numbering import counted
-from setlist.operators.stage import staged
 
 SAMPLES = 5
-#: Classes of titles that are cut to the first ones each for itself.
-SALTS = 8
+#: Classes into which the credits of an artist are cut.
+SALTS = 32
 
 
 def credited(song: Column) -> Column:
@@ -42,18 +41,20 @@ def resolve_songs(tracks: DataFrame, details: DataFrame, fallback: DataFrame) ->
 def roll_up(songs: DataFrame, samples: int = SAMPLES, salts: int = SALTS) -> DataFrame:
     """playlist_id, artist_ord, name, song_count, sample_songs from (playlist_id, track_ord, name, artists) rows.
 
-    Every credit counts; the samples are the first distinct titles that are not blank. Counts and first places are partial
-    sums and minima; titles are cut to the first ones by salt, and those of an artist merged from there; artists are numbered
-    by sorted ranges. So a playlist, or an artist of one, may have any share of all rows.
+    Every credit counts; the samples are the first distinct titles that are not blank. An artist's credits are cut into
+    classes, each with its count, first place and first titles, which are all that meets, and artists are numbered by sorted
+    ranges. So a playlist, an artist of one, or a title may have any share of all rows.
     """
-    credits = songs.select("playlist_id", strip(F.col("name")).alias("title"), "track_ord", F.posexplode("artists").alias("pos", "artist"))
-    at = F.struct("track_ord", "pos")
-    titles = staged(credits.groupBy("playlist_id", "artist", "title").agg(F.count("*").alias("n"), F.min(at).alias("at")))
     one = ["playlist_id", "artist"]
-    artists = titles.groupBy(*one).agg(F.sum("n").cast("int").alias("song_count"), F.min("at").alias("at"))
-    first = Window.partitionBy(*one, "salt").orderBy("at", "title")
-    kept = titles.where("title <> ''").withColumn("salt", F.pmod(F.xxhash64("title"), F.lit(salts))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= samples)
-    kept = kept.groupBy(*one).agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "title"))), 1, samples)["title"].alias("sample_songs"))
-    rows = artists.join(kept, one, "left").withColumn("sample_songs", F.coalesce("sample_songs", F.array().cast("array<string>")))
-    rows = counted(rows, "playlist_id", F.col("at"), F.col("artist"))
+    credits = songs.select("playlist_id", strip(F.col("name")).alias("title"), "track_ord", F.posexplode("artists").alias("pos", "artist"))
+    credits = credits.select(*one, "title", F.struct("track_ord", "pos").alias("at"), F.pmod(F.xxhash64("track_ord"), F.lit(salts)).alias("salt"))
+    # One shuffle of the credits serves their titles, the order of these and the classes.
+    titles = credits.repartition(*one, "salt").groupBy(*one, "salt", "title").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    first = Window.partitionBy(*one, "salt").orderBy(F.col("title") == "", "at", "title")
+    kept = F.when((F.col("k") <= samples) & (F.col("title") != ""), F.struct("at", "title"))
+    classes = titles.withColumn("k", F.row_number().over(first)).groupBy(*one, "salt").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.collect_list(kept).alias("kept"))
+    # A title among an artist's first ones is among those of the class that has its first place.
+    sample = F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list("kept")))["title"]), 1, samples)
+    rows = classes.groupBy(*one).agg(F.sum("n").cast("int").alias("song_count"), F.min("at").alias("at"), sample.alias("sample_songs"))
+    rows = counted(rows, "playlist_id", "at", "artist", spare=("at",))
     return rows.select("playlist_id", (F.col("index") - 1).alias("artist_ord"), F.col("artist").alias("name"), "song_count", "sample_songs")
