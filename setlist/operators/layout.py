@@ -1,7 +1,7 @@
 """Positioned text lines of poster images turned into event rows.
 
 images: note_id, image_ord, image_name, width, lines array<struct<line_ord,text,x1,y1,x2,y2>>. All geometry is
-within one image, so it is worked out on the row's array; only the last deduplication moves rows.
+within one image, so it is worked out on the row's array; rows move once, by note.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _WEEKDAYS = "^(周|星期)?[一二三四五六日天]$"
 def looks_like_venue(text: Column) -> Column:
     def known(plain: Column) -> Column:
         short = F.lower(F.regexp_replace(plain, r"(?U)\s+", "")).isin(*sorted({v.lower() for v in VENUE_NAMES}))
-        return ~plain.isin("", "地点", "场馆", "声") & (short | plain.rlike(VENUE_PARTS))
+        return ~plain.isin("", "地点", "场馆", "声") & (plain.rlike(VENUE_PARTS) | short)
 
     return let(clean_line(text), known)
 
@@ -38,7 +38,7 @@ def _named(plain: Column) -> Column:
 
 
 def is_performer(plain: Column, x1: Column, x2: Column, scale: Column) -> Column:
-    return _named(plain) & ~plain.rlike(_HEADERS) & (x1 >= 210 * scale) & (x2 <= 910 * scale)
+    return (x1 >= 210 * scale) & (x2 <= 910 * scale) & _named(plain) & ~plain.rlike(_HEADERS)
 
 
 def is_summary_performer(plain: Column) -> Column:
@@ -48,16 +48,16 @@ def is_summary_performer(plain: Column) -> Column:
 def clustered(lines: Column) -> Column:
     """Lines by height with the number of their row: a line joins the row whose mean height so far is near."""
     sized = F.sort_array(F.transform(lines, lambda x: F.struct(((x["y1"] + x["y2"]) / 2).alias("cy"), x["line_ord"].alias("line_ord"), x["text"].alias("raw"), x["x1"].alias("x1"), x["x2"].alias("x2"))))
-    kind = "array<struct<row:int,cy:double,line_ord:int,raw:string,x1:double,x2:double>>"
-    begin = F.struct(F.array().cast(kind).alias("out"), F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    begin = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def step(s: Column, x: Column) -> Column:
         same = (s["n"] > 0) & (F.abs(x["cy"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= ROW)
         row = F.when(same, s["row"]).otherwise(s["row"] + 1)
-        out = F.array_append(s["out"], F.struct(row.alias("row"), *[x[c].alias(c) for c in ("cy", "line_ord", "raw", "x1", "x2")]))
-        return F.struct(out.alias("out"), row.alias("row"), F.when(same, s["sum"] + x["cy"]).otherwise(x["cy"]).alias("sum"), F.when(same, s["n"] + 1).otherwise(1).alias("n"))
+        return F.struct(F.array_append(s["out"], row).alias("out"), row.alias("row"), F.when(same, s["sum"] + x["cy"]).otherwise(x["cy"]).alias("sum"), F.when(same, s["n"] + 1).otherwise(1).alias("n"))
 
-    return F.aggregate(sized, begin, step, lambda s: s["out"])
+    # Only the numbers of the rows are carried along.
+    joined = lambda x, row: F.struct(row.alias("row"), *[x[c].alias(c) for c in ("cy", "line_ord", "raw", "x1", "x2")])
+    return let(sized, lambda own: F.zip_with(own, F.aggregate(own, begin, step, lambda s: s["out"]), joined))
 
 
 def column_starts(lines: Column) -> Column:
@@ -144,7 +144,8 @@ def layout_events(images: DataFrame) -> DataFrame:
     found = rows.select("note_id", "image_ord", "image_name", F.inline(F.when(several, _summary_rows()).otherwise(_detail_rows())))
     date = F.when(F.col("until").isNull(), merge_date_range(F.col("date"))).otherwise(merge_date_range(F.col("date"), F.col("until")))
     events = found.select("note_id", F.struct("image_ord", "at").alias("ord"), date.alias("date_text"), "performer", "venue", "image_name")
-    return indexed(deduplicated(events, ["note_id"]))
+    # A note's events are numbered together in the end, so they move there at once and both groupings find them in place.
+    return indexed(deduplicated(events.repartition("note_id"), ["note_id"]))
 
 
 def indexed(events: DataFrame) -> DataFrame:

@@ -213,3 +213,28 @@ def test_images_are_looked_at_once(spark):
     kind = "note_id string, image_ord int, image_name string, width int, lines array<struct<line_ord:int,text:string,x1:double,y1:double,x2:double,y2:double>>"
     plan = layout_events(spark.createDataFrame([], kind))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate inline") == 1
+
+
+def test_events_move_once_by_note(spark):
+    """Both groupings and the numbering of a note's events shuffled them."""
+    images = spark.createDataFrame([("n", 0, "a.jpg", 1080, [(i, text, *map(float, box)) for i, (text, *box) in enumerate(PAGES["range"])])], f"note_id string, image_ord int, image_name string, width int, lines array<{LINE}>")
+    rows = layout.layout_events(images)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.date_text, r.performer, r.venue) for r in rows.collect()] == EXPECTED["range"]
+
+
+def test_lines_are_cleaned_as_by_the_plain_rules(spark):
+    from setlist.functions import dates, names
+
+    signs = [" ", "  ", "\t", "\u3000", "\xa0", "\n", "/", " / ", "／", ".", "．", "&", "+", "×", "-", "–"]
+    texts = [f.format(x) for x in signs for f in ("a{0}b", "{0}a", "a{0}", "中{0}文", "中{0}b", "7{0}20", "12{0}3{0}4", "{0}", "M{0}AO", "7{0}HERTZ", "a {0} b")]
+    texts += ["", None, "M AO", "xM AOx", "7 HERTZ", "17 HERTZ x", "13/40 2.3", "2.30", "0/1", "٧/١", "Band 12", "Band 12\n", "7.", "1234/5678"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    plain = names._tight(F.regexp_replace(names._one_line(F.col("x")), rf"(?U)([{names._CJK}])\s+([A-Za-z0-9])", "$1$2"))
+    plain = dates.strip(F.replace(F.replace(plain, F.lit("M AO"), F.lit("MAO")), F.lit("7 HERTZ"), F.lit("7HERTZ")))
+    one = dates.compact(F.col("x"))
+    found = lambda pattern: F.struct(*[F.nullif(F.regexp_extract(one, pattern, i), F.lit("")).try_cast("int").alias(n) for i, n in ((1, "month"), (2, "day"))])
+    date = F.when(one.rlike(r"(\d{1,2})/(\d{1,2})"), found(r"(\d{1,2})/(\d{1,2})")).otherwise(found(r"(\d{1,2})\.(\d{1,2})"))
+    date = F.when(date["month"].between(1, 12) & date["day"].between(1, 31), date)
+    both = rows.select("x", clean_line(F.col("x")).alias("a"), plain.alias("b"), dates.parse_date(F.col("x")).alias("c"), date.alias("d"))
+    assert both.where("not (a <=> b and c <=> d)").collect() == [] and both.where("c is not null").count() > 5
